@@ -56,7 +56,8 @@ def contained_names(long: DataFrame, short: DataFrame, k: int = 3,
         F.col("name").alias("long"), "at", F.explode("lengths").alias("n")).select(
         "long", "n", F.expr("substring(long, at, n)").alias("short"))
     exact = candidates.where(F.length("short") == F.col("n")).select("long", "short")
-    return exact.join(short.select(F.col("name").alias("short")), "short", "left_semi")
+    return lookup(exact, short.select(F.col("name").alias("short")), ["short"], "left_semi",
+                  ["long"], salts)
 
 
 def linked_names(left: DataFrame, right: DataFrame, k: int = 3,

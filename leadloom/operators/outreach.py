@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from leadloom import vocab
 from leadloom.functions.render import email_prompt, render_followup, render_prompt
 from leadloom.functions.text import blank, default_text, template_no
+from leadloom.operators.ranking import cap_per_group
 from leadloom.session import instant, parse_instant
 
 
@@ -180,9 +181,7 @@ def prompt_table(jobs: DataFrame, contacts: DataFrame, profiles: DataFrame,
 def referral_prompts(people: DataFrame, profile: DataFrame, sender: str,
                      per_company: int = 3) -> DataFrame:
     """Referral prompts for at most ``per_company`` people of a company."""
-    from leadloom.operators.ranking import cap_per_group
-
-    capped = cap_per_group(people, ["company"], ["id"], per_company)
+    capped = cap_per_group(people, ["company"], ["id", "name"], per_company)
     rows = capped.join(profile.select("variant", F.col("text").alias("profile")), "variant", "left")
     slots = {c: F.col(c) for c in ("company", "role", "name", "title", "profile")}
     return rows.select("company", "id", render_prompt(

@@ -15,6 +15,13 @@ def latest_per_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> Dat
     return last.select(*keys, "_r.*").select(*df.columns)
 
 
+def first_per_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
+    """The row with the least ``order_cols`` per key, as a combining aggregate."""
+    rest = [c for c in df.columns if c not in keys and c not in order_cols]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order_cols, *rest)).alias("_r"))
+    return first.select(*keys, "_r.*").select(*df.columns)
+
+
 def cap_per_group(df: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows per group.
 

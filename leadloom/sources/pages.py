@@ -7,18 +7,23 @@ of pages in, rows out, no grouping and no shuffle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import blank, col, digits_to_int, strip_ws, url_canonical, \
     url_join, view_url
 
+# The parser travels with the task, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&nbsp;", " "), ("&amp;", "&"))
 

@@ -87,7 +87,7 @@ def draft_documents(outreach: DataFrame, contacts: DataFrame) -> DataFrame:
     named = joined.select(
         "job_id", draft_file_name("outreach_type", "followup_day", "contact_type", "id")
         .alias("file_name"),
-        F.struct("id", "status", "subject", "body", "contact_id", "contact_name",
+        F.struct("id", "contact_id", "status", "subject", "body", "contact_name",
                  "contact_email", "contact_title").alias("_row"))
     last = named.groupBy("job_id", "file_name").agg(F.max("_row").alias("r"))
     return last.select("job_id", "file_name", draft_content(
