@@ -41,12 +41,10 @@ def keyword_match(norm: Column | str, words: tuple[str, ...]) -> Column:
         F.when(F.contains(col(norm), F.lit(w)), F.lit(w)) for w in words]))
 
 
-def keyword_gap(norm: Column | str, words: tuple[str, ...]) -> Column:
-    """The keywords that are missing from an already normalised text."""
-    if not words:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[
-        F.when(~F.contains(col(norm), F.lit(w)), F.lit(w)) for w in words]))
+def keyword_gap(matched: Column | str, words: tuple[str, ...]) -> Column:
+    """The keywords that are not in ``matched``."""
+    every = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    return F.array_except(every, col(matched))
 
 
 def _labels(norm: Column, classes) -> Column:

@@ -161,9 +161,14 @@ def contains_any(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def is_contaminated(c: Column | str, markers: tuple[str, ...] = vocab.DRAFT_MARKERS) -> Column:
-    """Empty text, or text that holds a marker in any letter case."""
-    low = F.lower(col(c))
-    return blank(c) | F.coalesce(contains_any(low, tuple(m.lower() for m in markers)), F.lit(False))
+    """Empty text, or text that holds a marker in any letter case.
+
+    The one-element array makes Spark lower-case the text once. As plain ORs in a
+    filter it would be lower-cased again for every marker.
+    """
+    words = tuple(m.lower() for m in markers)
+    found = F.exists(F.array(F.lower(col(c))), lambda low: contains_any(low, words))
+    return blank(c) | F.coalesce(found, F.lit(False))
 
 
 def repaired_subject(c: Column | str) -> Column:

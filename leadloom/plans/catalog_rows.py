@@ -203,11 +203,11 @@ def sql_hits(expr: str, words) -> str:
        {len(vocab.HARD_SKILLS)} - len(m) AS n_missing FROM (SELECT doc_id,
        {sql_hits('t', vocab.HARD_SKILLS)} AS m FROM (SELECT doc_id, {SQL_NORM} AS t FROM documents))""")
 def _(v):
-    norm = v.table("documents").select("doc_id", X.norm_text("text").alias("t"))
-    found = norm.select("doc_id", keyword_match("t", vocab.HARD_SKILLS).alias("m"),
-                        F.size(keyword_gap("t", vocab.HARD_SKILLS)).alias("n_missing"))
+    norm = v.documents().select("doc_id", X.norm_text("text").alias("t"))
+    found = norm.select("doc_id", keyword_match("t", vocab.HARD_SKILLS).alias("m"))
     return found.select("doc_id", F.size("m").alias("n_matched"),
-                        F.array_join("m", ", ").alias("matched"), "n_missing")
+                        F.array_join("m", ", ").alias("matched"),
+                        F.size(keyword_gap("m", vocab.HARD_SKILLS)).alias("n_missing"))
 
 
 WORDS = ("the", "tion", "ing", "and", "ment", "eau", "ich", "sch", "ción", "über")
@@ -217,9 +217,10 @@ WORDS = ("the", "tion", "ing", "and", "ment", "eau", "ich", "sch", "ción", "üb
        array_to_string(list_filter({sql_list(WORDS)}, lambda k: NOT contains(t, k)), ', ') AS missing
        FROM (SELECT doc_id, {SQL_NORM} AS t FROM documents)""")
 def _(v):
-    norm = v.table("documents").select("doc_id", X.norm_text("text").alias("t"))
-    return norm.select("doc_id", F.array_join(keyword_match("t", WORDS), ", ").alias("matched"),
-                       F.array_join(keyword_gap("t", WORDS), ", ").alias("missing"))
+    norm = v.documents().select("doc_id", X.norm_text("text").alias("t"))
+    found = norm.select("doc_id", keyword_match("t", WORDS).alias("m"))
+    return found.select("doc_id", F.array_join("m", ", ").alias("matched"),
+                        F.array_join(keyword_gap("m", WORDS), ", ").alias("missing"))
 
 
 QUANTITY_RE2 = (r"[0-9]+%", r"[0-9]+x\b", r"\$[0-9]+",
@@ -234,7 +235,7 @@ def sql_quantity(expr: str) -> str:
 @query("quantity_mentions",
        f"SELECT doc_id, {sql_quantity('text')} AS n FROM documents")
 def _(v):
-    return v.table("documents").select("doc_id", X.quantity_mentions("text").alias("n"))
+    return v.documents().select("doc_id", X.quantity_mentions("text").alias("n"))
 
 
 @query("safe_name", r"""SELECT p_partkey, substr(regexp_replace(trim(s), '[^\pL\pN_\-]', '_', 'g'), 1, 25)

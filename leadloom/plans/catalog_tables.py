@@ -162,7 +162,7 @@ def _(v):
 
 
 @query("fallback_enrich", with_views("v_job_contacts", then="""
-    , p AS (SELECT DISTINCT * FROM v_job_contacts WHERE contact_type IN ('hr', 'hiring_manager')),
+    , p AS (SELECT * FROM v_job_contacts WHERE contact_type IN ('hr', 'hiring_manager')),
     f AS (SELECT * FROM v_job_contacts WHERE contact_type NOT IN ('hr', 'hiring_manager')),
     few AS (SELECT f.* FROM f WHERE (SELECT count(*) FROM p WHERE p.job_id = f.job_id) < 2
       AND NOT EXISTS (SELECT 1 FROM p WHERE p.job_id = f.job_id AND p.email = f.email))
@@ -172,7 +172,7 @@ def _(v):
 def _(v):
     rows = v.job_contacts().select("job_id", "pos", "name", "email", "title", "contact_type", "id")
     first = F.col("contact_type").isin("hr", "hiring_manager")
-    out = O.fallback_enrich(rows.where(first).distinct(), rows.where(~first))
+    out = O.fallback_enrich(rows.where(first), rows.where(~first))
     return out.select("job_id", "pos", "name", "email", "title", "contact_type")
 
 

@@ -159,12 +159,12 @@ _NAV = f"""WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</l
 
 @query("extract_cards", _NAV)
 def _(v):
-    return extract_cards(v.table("pages"), NAV_CARDS)
+    return extract_cards(v.pages(), NAV_CARDS)
 
 
 @query("extract_cards_nested", _NAV)
 def _(v):
-    return extract_nested_cards(v.table("pages"), "li", "", (
+    return extract_nested_cards(v.pages(), "li", "", (
         TagField("role", "a", required=True), TagField("jd_url", "a", attr="href", required=True),
         TagField("location", "span", "location")))
 
@@ -172,7 +172,7 @@ def _(v):
 @query("extract_text", f"""SELECT page_id, {sql_markup(
     "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)", 'chr(10)')} AS text FROM pages""")
 def _(v):
-    return extract_text(v.table("pages"))
+    return extract_text(v.pages())
 
 
 def _customer_pages(v: Views) -> DataFrame:
@@ -228,7 +228,7 @@ def _linked_pages(v: Views) -> DataFrame:
         F.concat(F.lit(" https://jobs.lever.co/y/"), key, F.lit(" greenhouse.io ")),
         F.concat(F.lit('"https://a.myworkdayjobs.com/z">https://jobs.lever.co/w/'), key, F.lit("<")),
         F.lit("none")), F.pmod("page_id", F.lit(4)).cast("int"))
-    return v.table("pages").select("page_id", "url", F.concat("html", tail).alias("html"))
+    return v.pages().select("page_id", "url", F.concat("html", tail).alias("html"))
 
 
 @query("link_scan", """SELECT page_id, CASE page_id % 4
@@ -282,7 +282,7 @@ def _(v):
       trim(ltrim(e, '•-– '), {SQL_WS})), '|') AS bullets FROM l""")
 def _(v):
     listed = F.replace("text", F.lit("\n"), F.lit("\n- "))
-    rows = v.table("documents").select("doc_id", X.extract_bullets(listed).alias("b"))
+    rows = v.documents().select("doc_id", X.extract_bullets(listed).alias("b"))
     return rows.select("doc_id", F.size("b").alias("n"), F.array_join("b", "|").alias("bullets"))
 
 

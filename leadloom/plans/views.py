@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.classify import classify_title
+from leadloom.session import widen
 
 TITLES = ("Senior Recruiter", "Director of Data", "Staff Engineer", "Gardener",
           "VP Engineering", "Talent Acquisition Lead", "Chris, Designer")
@@ -39,6 +40,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        return widen(self.table("documents"), "doc_id")
+
+    def pages(self) -> DataFrame:
+        return widen(self.table("pages"), "page_id")
+
     def jobs(self) -> DataFrame:
         status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
         role = F.lit(OTHER_ROLE)
@@ -146,7 +153,7 @@ class Views:
     def texts(self) -> DataFrame:
         """Documents; the variant is the document number folded onto the profiles."""
         n = self.table("benchmark").agg(F.count("*").alias("n"))
-        return self.table("documents").select(
+        return self.documents().select(
             F.col("doc_id").alias("id"), F.col("source").alias("company"),
             F.concat(F.lit("The "), F.col("lang"), F.lit(" "), F.col("source")).alias("role"),
             "text", F.pmod(F.col("doc_id"), n.scalar()).alias("variant"))
