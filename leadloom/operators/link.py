@@ -1,16 +1,16 @@
 """Bidirectional substring link between two name columns.
 
 A left name is linked when, after normalisation, it contains a right name or is
-contained in one. Comparing every pair is quadratic. Here each direction is a
-pair of equality joins whose right side is unique on its key, so no bucket of
-names is ever paired with itself:
+contained in one. Comparing every pair is quadratic. Here both name lists are
+reduced to one list of distinct names, and two equality joins follow whose right
+side is unique on its key, so no bucket of names is ever paired with itself:
 
-1. the shorter names are summarised as (anchor, lengths): the anchor is the
-   first ``k`` characters (the whole name if shorter), and ``lengths`` the
-   distinct lengths of the names that start with it;
-2. every position of a longer name looks up its anchor, and only the lengths
-   found there are cut out of the name as candidates;
-3. a candidate is linked when it equals one of the shorter names.
+1. names are summarised as (anchor, lengths): the anchor is the first ``k``
+   characters (the whole name if shorter), and ``lengths`` the distinct lengths of
+   the left and of the right names that start with it;
+2. every position of a name looks up its anchor, and only the lengths that occur
+   on the other side are cut out of the name as candidates;
+3. a candidate that is a name of the other side makes the link.
 
 Work is linear in the total length of distinct names, whatever the skew.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from leadloom import vocab
 from leadloom.functions.text import norm_company
-from leadloom.session import SALTS, lookup
+from leadloom.session import SALTS, freeze, lookup
 
 
 def _anchors(name: Column, k: int) -> Column:
@@ -40,32 +40,33 @@ def _anchors(name: Column, k: int) -> Column:
                                      F.lit(0).alias("g"))), whole)
 
 
-def contained_names(long: DataFrame, short: DataFrame, k: int = 3,
-                    salts: int = SALTS) -> DataFrame:
-    """(long, short) for every distinct short name that occurs inside a long name.
+def linked_names(names: DataFrame, k: int = 3, salts: int = SALTS) -> DataFrame:
+    """The left names that contain, or are contained in, a right name.
 
-    Both inputs have one column ``name`` without duplicates or NULLs.
+    ``names`` has one row per name with the flags ``in_left`` and ``in_right``.
     """
-    lengths = (short.select(F.substring("name", 1, k).alias("anchor"),
-                            F.length("name").alias("n"))
-               .groupBy("anchor").agg(F.collect_set("n").alias("lengths")))
-    anchored = long.select("name", F.explode(_anchors(F.col("name"), k)).alias("a")).select(
-        "name", "a.at", "a.anchor")
+    n = F.length("name")
+    lengths = names.groupBy(F.substring("name", 1, k).alias("anchor")).agg(
+        F.collect_set(F.when(F.col("in_left"), n)).alias("left_lengths"),
+        F.collect_set(F.when(F.col("in_right"), n)).alias("right_lengths"))
+    anchored = names.select("name", "in_left", "in_right",
+                            F.explode(_anchors(F.col("name"), k)).alias("a")).select(
+        "name", "in_left", "in_right", "a.at", "a.anchor")
     found = lookup(anchored, lengths, ["anchor"], "inner", ["name", "at"], salts)
+    none = F.array().cast("array<int>")
+    wanted = F.array_union(F.when(F.col("in_left"), F.col("right_lengths")).otherwise(none),
+                           F.when(F.col("in_right"), F.col("left_lengths")).otherwise(none))
     candidates = found.select(
-        F.col("name").alias("long"), "at", F.explode("lengths").alias("n")).select(
-        "long", "n", F.expr("substring(long, at, n)").alias("short"))
-    exact = candidates.where(F.length("short") == F.col("n")).select("long", "short")
-    return lookup(exact, short.select(F.col("name").alias("short")), ["short"], "left_semi",
-                  ["long"], salts)
-
-
-def linked_names(left: DataFrame, right: DataFrame, k: int = 3,
-                 salts: int = SALTS) -> DataFrame:
-    """The distinct left names that contain, or are contained in, a right name."""
-    inside = contained_names(left, right, k, salts).select(F.col("long").alias("name"))
-    around = contained_names(right, left, k, salts).select(F.col("short").alias("name"))
-    return inside.unionByName(around).distinct()
+        F.col("name").alias("long"), F.col("in_left").alias("long_left"),
+        F.col("in_right").alias("long_right"), "at", F.explode(wanted).alias("n")).select(
+        "long", "long_left", "long_right", "n", F.expr("substring(long, at, n)").alias("name"))
+    # near the end of a name substring() is shorter than asked for
+    exact = candidates.where(F.length("name") == F.col("n")).drop("n")
+    pairs = lookup(exact, names, ["name"], "inner", ["long"], salts)
+    hits = F.array_compact(F.array(
+        F.when(F.col("long_left") & F.col("in_right"), F.col("long")),
+        F.when(F.col("long_right") & F.col("in_left"), F.col("name"))))
+    return pairs.select(F.explode(hits).alias("name")).distinct()
 
 
 def substring_link(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
@@ -81,13 +82,15 @@ def substring_link(left: DataFrame, right: DataFrame, left_col: str, right_col:
     """
     norm = norm_company(left_col, removals, mode)
     marked = left.withColumn("_norm", F.coalesce(norm, F.lit("")))
-    names = marked.select(F.col("_norm").alias("name")).distinct()
-    targets = right.select(norm_company(right_col, removals, mode).alias("name")).where(
-        F.col("name").isNotNull()).distinct()
-    if min_len:
-        names = names.where(F.length("name") >= min_len)
-        targets = targets.where(F.length("name") >= min_len)
-    hits = linked_names(names, targets, k, salts).select(
+    ours = marked.select(F.col("_norm").alias("name"), F.lit(True).alias("l"),
+                         F.lit(False).alias("r"))
+    theirs = right.select(norm_company(right_col, removals, mode).alias("name"),
+                          F.lit(False).alias("l"), F.lit(True).alias("r"))
+    names = ours.unionByName(theirs).where(F.col("name").isNotNull() & (
+        F.length("name") >= min_len)).groupBy("name").agg(
+        F.max("l").alias("in_left"), F.max("r").alias("in_right"))
+    # used three times below: written once, so the big tables are not scanned again
+    hits = linked_names(freeze(names, "names"), k, salts).select(
         F.col("name").alias("_norm"), F.lit(True).alias("_hit"))
     joined = lookup(marked, hits, ["_norm"], "left", spread, salts)
     columns = [c for c in left.columns if c != flag]

@@ -1,9 +1,11 @@
 """Keyed upserts as pure functions of the old table and a delta.
 
 A row-at-a-time upsert is a fold over (old, delta in arrival order). Every rule
-in it is associative (maximum, first row, last non-NULL value), so the fold is
-one ``groupBy`` over the union: partial aggregates run before the single
-shuffle, and a key that is repeated very often shrinks there.
+in it is associative (maximum, first row, last non-NULL value), so the delta is
+first folded to one row per key by a combining aggregate; a key that is repeated
+very often shrinks before the shuffle. The folded delta is written once, so its
+size is known: a small one is broadcast to the old table, which is then neither
+shuffled nor sorted, and a large one meets it in a sort-merge join on unique keys.
 """
 
 from __future__ import annotations
@@ -14,71 +16,89 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import blank
-from leadloom.session import instant, parse_instant
+from leadloom.session import freeze, instant, parse_instant
 
 
-def _stacked(old: DataFrame, delta: DataFrame, seq: list[str], columns: list[str]) -> DataFrame:
-    """Both tables with ``_seq``: old rows before all delta rows, these by ``seq``."""
-    def numbered(df: DataFrame, is_delta: int) -> DataFrame:
-        order = [F.col(c).alias(f"_{i}") for i, c in enumerate(seq)]
-        return df.select(*columns, F.struct(F.lit(is_delta).alias("_d"), *order).alias("_seq"))
+def _last(c: str, seq: Column, nullif_empty: bool) -> Column:
+    """Last non-NULL (with ``nullif_empty``: non-empty) value of a delta."""
+    usable = ~blank(c) if nullif_empty else F.col(c).isNotNull()
+    return F.max_by(F.col(c), F.when(usable, seq))
 
-    return numbered(old, 0).unionByName(numbered(delta, 1))
 
+def _new_text(c: str, nullif_empty: bool) -> Column:
+    """Stored text after the merge, from the old column and the folded delta."""
+    if not nullif_empty:
+        return F.coalesce(f"_last_{c}", c).alias(c)
+    return F.coalesce(f"_last_{c}", F.nullif(c, F.lit("")), c, f"_any_{c}").alias(c)
 
-def _last(c: str, nullif_empty: bool) -> Column:
-    """Last non-NULL value; with ``nullif_empty`` an empty text does not replace one."""
-    value = F.col(c)
-    usable = ~blank(value) if nullif_empty else value.isNotNull()
-    kept = F.max_by(value, F.when(usable, F.col("_seq")))
-    return F.coalesce(kept, F.max(value)) if nullif_empty else kept
+
+def _added(folded: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """The folded rows whose key is not in the old table.
+
+    The keys that are in both come from a semi join in the direction that can
+    broadcast the delta; only the key column of the old table is read for it.
+    """
+    known = old.select(key).join(folded.select(key), key, "left_semi")
+    return folded.join(known, key, "left_anti")
 
 
 def merge_companies(old: DataFrame, delta: DataFrame, asof: dt.datetime | str,
                     seq: list[str], nullif_empty: bool = False) -> DataFrame:
     """Upsert on ``name``: greatest flag and count, last non-NULL source and domain.
 
-    An empty text counts as a value and replaces a stored one unless
-    ``nullif_empty`` is set. A NULL count is skipped (SQL's two-argument MAX in
-    some engines would make the result NULL). New names have a NULL ``id``; see
-    :func:`leadloom.operators.ranking.fill_ids`.
+    ``seq`` orders the delta rows. An empty text counts as a value and replaces a
+    stored one unless ``nullif_empty`` is set. A NULL count is skipped (SQL's
+    two-argument MAX in some engines would make the result NULL). New names have a
+    NULL ``id``; see :func:`leadloom.operators.ranking.fill_ids`.
     """
+    texts = ["h1b_source", "domain"]
+    order = F.struct(*seq)
+    folded = freeze(delta.groupBy("name").agg(
+        F.max("h1b_confirmed").alias("_flag"), F.max("lca_count").alias("_count"),
+        *[_last(c, order, nullif_empty).alias(f"_last_{c}") for c in texts],
+        *[F.max(c).alias(f"_any_{c}") for c in texts]), "company-delta")
     columns = ["id", "name", "h1b_confirmed", "h1b_source", "lca_count", "domain", "created_at"]
-    rows = _stacked(old, delta, seq, columns)
-    is_old = F.col("_seq._d") == 0
+    kept = old.join(folded, "name", "left").select(
+        "id", "name", F.greatest("h1b_confirmed", "_flag").alias("h1b_confirmed"),
+        F.greatest("lca_count", "_count").alias("lca_count"),
+        *[_new_text(c, nullif_empty) for c in texts], "created_at")
     now = instant(parse_instant(asof), old.schema["created_at"].dataType)
-    return rows.groupBy("name").agg(
-        F.min(F.when(is_old, F.col("id"))).alias("id"),
-        F.max("h1b_confirmed").alias("h1b_confirmed"),
-        _last("h1b_source", nullif_empty).alias("h1b_source"),
-        F.max("lca_count").alias("lca_count"),
-        _last("domain", nullif_empty).alias("domain"),
-        F.coalesce(F.min(F.when(is_old, F.col("created_at"))), now).alias("created_at"),
-    ).select(*columns)
+    new = _added(folded, old, "name").select(
+        F.lit(None).cast("bigint").alias("id"), "name", F.col("_flag").alias("h1b_confirmed"),
+        F.col("_count").alias("lca_count"),
+        *[F.coalesce(f"_last_{c}", f"_any_{c}").alias(c) for c in texts],
+        now.alias("created_at"))
+    return kept.select(*columns).unionByName(new.select(*columns))
 
 
 def merge_jobs(old: DataFrame, delta: DataFrame, asof: dt.datetime | str, seq: list[str],
                nullif_empty: bool = False) -> DataFrame:
     """Upsert on ``jd_url``: last non-NULL description, greatest flag; every other
-    column keeps the version that came first. Delta rows without a URL are dropped."""
-    first_cols = ["company", "role", "source", "location", "applied_status"]
-    columns = ["id", "jd_url", *first_cols, "description", "h1b_confirmed", "applied_at",
-               "created_at", "updated_at"]
+    column keeps the version that came first. ``seq`` orders the delta rows; rows
+    without a URL are dropped. New listings have a NULL ``id``."""
+    first_cols = ["company", "role", "source", "location"]
+    order = F.struct(*seq)
+    folded = freeze(delta.where(~blank("jd_url")).groupBy("jd_url").agg(
+        F.min_by(F.struct(*first_cols), order).alias("_f"),
+        F.max("h1b_confirmed").alias("_flag"),
+        _last("description", order, nullif_empty).alias("_last_description"),
+        F.max("description").alias("_any_description")), "job-delta")
+    columns = ["id", "jd_url", *first_cols, "applied_status", "description", "h1b_confirmed",
+               "applied_at", "created_at", "updated_at"]
     stamp = old.schema["created_at"].dataType
     now = instant(parse_instant(asof), stamp)
-    incoming = delta.where(~blank("jd_url"))
-    defaults = {"id": F.lit(None).cast("bigint"), "applied_status": F.lit("pending"),
-                "applied_at": F.lit(None).cast(stamp), "created_at": now, "updated_at": now}
-    incoming = incoming.withColumns(defaults)
-    rows = _stacked(old, incoming, seq, columns)
-    first = F.min_by(F.struct("id", *first_cols, "applied_at", "created_at"), "_seq")
-    merged = rows.groupBy("jd_url").agg(
-        first.alias("_f"), _last("description", nullif_empty).alias("description"),
-        F.max("h1b_confirmed").alias("h1b_confirmed"),
-        F.max_by("updated_at", "_seq").alias("updated_at"))
-    return merged.select(
-        "_f.id", "jd_url", *[f"_f.{c}" for c in first_cols], "description", "h1b_confirmed",
-        "_f.applied_at", "_f.created_at", "updated_at")
+    kept = old.join(folded, "jd_url", "left").select(
+        "id", "jd_url", *first_cols, "applied_status", _new_text("description", nullif_empty),
+        F.greatest("h1b_confirmed", "_flag").alias("h1b_confirmed"), "applied_at", "created_at",
+        F.when(F.col("_flag").isNotNull() | F.col("_f").isNotNull(), now)
+        .otherwise(F.col("updated_at")).alias("updated_at"))
+    new = _added(folded, old, "jd_url").select(
+        F.lit(None).cast("bigint").alias("id"), "jd_url", *[f"_f.{c}" for c in first_cols],
+        F.lit("pending").alias("applied_status"),
+        F.coalesce("_last_description", "_any_description").alias("description"),
+        F.col("_flag").alias("h1b_confirmed"), F.lit(None).cast(stamp).alias("applied_at"),
+        now.alias("created_at"), now.alias("updated_at"))
+    return kept.select(*columns).unionByName(new.select(*columns))
 
 
 def seed_companies(names: DataFrame, source: str, lca_count: int = 100) -> DataFrame:
@@ -93,9 +113,9 @@ def insert_ignore(old: DataFrame, delta: DataFrame, key: str, seq: list[str]) ->
     """Add the delta rows whose key is new; the first of equal keys wins."""
     columns = old.columns
     rest = [c for c in columns if c != key]
-    new = delta.join(old.select(key), key, "left_anti")
-    first = new.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*seq)).alias("_r"))
-    return old.unionByName(first.select(key, "_r.*").select(*columns))
+    first = delta.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*seq)).alias("_r"))
+    folded = freeze(first.select(key, "_r.*"), "insert-delta")
+    return old.unionByName(_added(folded, old, key).select(*columns))
 
 
 def unique_violations(df: DataFrame, key: str) -> DataFrame:

@@ -81,7 +81,7 @@ def score_writeback(jobs: DataFrame, scores: DataFrame) -> DataFrame:
 
 def fk_orphans(child: DataFrame, parent: DataFrame, child_key: str,
                parent_key: str = "id") -> DataFrame:
-    """Child rows whose non-NULL key has no parent."""
+    """Child rows whose non-NULL key has no parent (``parent_key`` is unique)."""
     keys = parent.select(F.col(parent_key).alias(child_key))
     return child.where(F.col(child_key).isNotNull()).join(keys, child_key, "left_anti")
 
@@ -95,7 +95,7 @@ def fk_cascade(child: DataFrame, parent: DataFrame, child_key: str, parent_key:
         return kept.unionByName(child.where(F.col(child_key).isNull())).select(*child.columns)
     if action != "set_null":
         raise ValueError(f"unknown action {action!r}")
-    found = keys.distinct().withColumn("_found", F.lit(True))
+    found = keys.withColumn("_found", F.lit(True))
     joined = child.join(found, child_key, "left")
     return joined.withColumn(
         child_key, F.when(F.col("_found"), F.col(child_key))).select(*child.columns)

@@ -16,7 +16,7 @@ from leadloom import vocab
 from leadloom.functions.render import email_prompt, render_followup, render_prompt
 from leadloom.functions.text import blank, default_text, template_no
 from leadloom.operators.ranking import cap_per_group
-from leadloom.session import instant, parse_instant
+from leadloom.session import instant, lookup, parse_instant
 
 
 def _drafts(outreach: DataFrame, kind: str) -> DataFrame:
@@ -81,10 +81,14 @@ def recent_emails(outreach: DataFrame, contacts: DataFrame, jobs: DataFrame, n:
 
 
 def gap_report(jobs: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Pending sponsor listings without any contact."""
+    """Pending sponsor listings without any contact.
+
+    Contact keys are made distinct first: partial aggregates shrink a listing with
+    very many contacts before the shuffle, which the join then reuses.
+    """
     pending = jobs.where(F.col("h1b_confirmed") & (F.col("applied_status") == "pending")).select(
         F.col("id").alias("job_id"), "company", "jd_url", "role")
-    known = contacts.where(F.col("job_id").isNotNull()).select("job_id")
+    known = contacts.where(F.col("job_id").isNotNull()).select("job_id").distinct()
     return (pending.join(known, "job_id", "left_anti")
             .select("company", "jd_url", "role").distinct().orderBy("company", "jd_url", "role"))
 
@@ -92,11 +96,11 @@ def gap_report(jobs: DataFrame, contacts: DataFrame) -> DataFrame:
 def needs_regen(contacts: DataFrame, outreach: DataFrame) -> DataFrame:
     """Listings that have a contact but no cold e-mail.
 
-    The ids are reduced on the map side before the anti join, so a listing with
-    very many contacts costs one row.
+    Both id lists are reduced on the map side before the anti join, so a listing
+    with very many contacts or e-mails costs one row.
     """
     wanted = contacts.where(F.col("job_id").isNotNull()).select("job_id").distinct()
-    mailed = outreach.where(F.col("outreach_type") == "cold_email").select("job_id")
+    mailed = outreach.where(F.col("outreach_type") == "cold_email").select("job_id").distinct()
     return wanted.join(mailed, "job_id", "left_anti")
 
 
@@ -122,14 +126,19 @@ def sendable_drafts(outreach: DataFrame, contacts: DataFrame, jobs: DataFrame,
     return rows.withColumn("subject", subject)
 
 
-def todo(df: DataFrame, done: DataFrame, key: str, force: bool = False) -> DataFrame:
-    """Rows not processed yet (everything with ``force``)."""
-    return df if force else df.join(done.select(key), key, "left_anti")
+def todo(df: DataFrame, done: DataFrame, key: str, force: bool = False,
+         spread: list[str] | None = None) -> DataFrame:
+    """Rows not processed yet (everything with ``force``). ``spread`` names columns
+    that vary within a key, where ``df`` may hold very many rows of one key."""
+    if force:
+        return df
+    return lookup(df, done.select(key).distinct(), [key], "left_anti", spread)
 
 
-def ready(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
+def ready(df: DataFrame, done: DataFrame, key: str,
+          spread: list[str] | None = None) -> DataFrame:
     """Rows whose required earlier output exists."""
-    return df.join(done.select(key), key, "left_semi")
+    return lookup(df, done.select(key).distinct(), [key], "left_semi", spread)
 
 
 def plan_followups(df: DataFrame, days: tuple[int, ...] = vocab.FOLLOWUP_DAYS) -> DataFrame:
@@ -152,9 +161,8 @@ def fallback_enrich(primary: DataFrame, fallback: DataFrame, key: str = "job_id"
     full = primary.groupBy(key).agg(F.count("*").alias("_n")).where(
         F.col("_n") >= min_rows).select(key)
     seen = primary.select(key, dedup).distinct()
-    extra = (fallback.select(*columns)
-             .join(full, key, "left_anti")
-             .join(seen, [key, dedup], "left_anti"))
+    extra = lookup(fallback.select(*columns), full, [key], "left_anti", [dedup, order])
+    extra = lookup(extra, seen, [key, dedup], "left_anti", [order])
     rest = [c for c in columns if c not in (key, dedup, order)]
     first = (extra.groupBy(key, dedup).agg(F.min(F.struct(order, *rest)).alias("_r"))
              .select(key, dedup, "_r.*").select(*columns))

@@ -231,7 +231,7 @@ def _company_sides(v: Views):
 
 def _merged_companies(v: Views, **kw) -> DataFrame:
     old, delta, _ = _company_sides(v)
-    return G.merge_companies(old.withColumn("seq", F.col("id")), delta, ASOF, ["seq"], **kw)
+    return G.merge_companies(old, delta, ASOF, ["seq"], **kw)
 
 
 def _companies_sql(text_rule: str) -> str:
@@ -289,15 +289,13 @@ def _job_sides(v: Views):
     cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
     jobs = v.jobs().select(*JOB_LIST)
     old = first_per_key(jobs.where(F.col("created_at") < cut), ["jd_url"], ["created_at", "id"])
-    return (old.withColumns({"at": F.col("created_at"), "k": F.col("id")}),
-            jobs.where(F.col("created_at") >= cut).withColumns(
-                {"at": F.col("created_at"), "k": F.col("id")}))
+    return old, jobs.where(F.col("created_at") >= cut)
 
 
 @query("upsert_jobs", _JOBS_SQL)
 def _(v):
     old, delta = _job_sides(v)
-    return G.merge_jobs(old, delta, ASOF, ["at", "k"]).select(*_MERGED)
+    return G.merge_jobs(old, delta, ASOF, ["created_at", "id"]).select(*_MERGED)
 
 
 @query("insert_ignore", with_views("v_companies", then=f""", {_OLD_C} SELECT id, name, domain FROM b
@@ -668,11 +666,9 @@ def _(v):
     log_dir, checkpoint = _dirs(v, "ingest")
     cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
     arriving = StreamViews(v.spark, v.base).jobs().select(*JOB_LIST).where(F.col("created_at") >= cut)
-    arriving = arriving.withColumns({"at": F.col("created_at"), "k": F.col("id")})
     S.stream_ingest(arriving, log_dir, checkpoint, ASOF).awaitTermination()
     old, _ = _job_sides(v)
-    old = old.withColumns({"arrived_at": F.lit(""), "batch_id": F.lit(0)})
-    return S.ingested_jobs(old, log_dir, ASOF, ["at", "k"]).select(*_MERGED)
+    return S.ingested_jobs(old, log_dir, ASOF, ["created_at", "id"]).select(*_MERGED)
 
 
 @query("release_followups", with_views("v_outreach", "v_jobs", "v_contacts", then=f"""SELECT o.id,
