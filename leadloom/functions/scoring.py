@@ -138,9 +138,21 @@ def score_struct(parts: Column | str) -> Column:
         b.alias("breakdown"))
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, whatever fn does with it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def score(jd: Column | str, profile: Column | str, role: Column | str,
           v: ScoreVocab = DEFAULT_VOCAB) -> Column:
-    """The whole score as one column, for a row that holds both texts."""
-    jd_norm, profile_norm = norm_text(jd), norm_text(profile)
-    return score_struct(score_parts(demand_features(jd_norm, v),
-                                    profile_features(profile, profile_norm, v), role, v))
+    """The whole score as one column, for a row that holds both texts.
+
+    For many documents and few profiles use
+    :func:`leadloom.operators.score.score_docs`, which scans each profile once.
+    """
+    demand = _let(norm_text(jd), lambda t: demand_features(t, v))
+    offer = _let(F.struct(col(profile).alias("raw"), norm_text(profile).alias("norm")),
+                 lambda t: profile_features(t["raw"], t["norm"], v))
+    parts = _let(F.struct(demand.alias("d"), offer.alias("p")),
+                 lambda f: score_parts(f["d"], f["p"], role, v))
+    return _let(parts, score_struct)
