@@ -86,8 +86,10 @@ def digest_text(stats: DataFrame, digest: DataFrame, day: dt.date | str) -> Data
 
 
 def _paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two one-row tables side by side, as an equality join on a constant."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Two one-row tables side by side."""
+    names = [*a.columns, *b.columns]
+    stacked = a.unionByName(b, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
 
 
 def match_rate(jobs: DataFrame) -> DataFrame:

@@ -623,14 +623,14 @@ def _(v):
 
 @query("referral_prompts", with_views("v_job_contacts", "v_profiles", then=f""", r AS (SELECT job_id AS k,
     c.id, 'Firm ' || job_id AS company, 'Engineer' AS role, name, title, p.text AS profile
-    FROM v_job_contacts c LEFT JOIN v_profiles p ON p.variant = 0
+    FROM v_job_contacts c LEFT JOIN v_profiles p ON p.variant = c.pos
     QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY c.id, name) <= 3)
     SELECT company, id, {sql_template(PROMPTS['referral'].text, {**_SLOTS, 'name': 'name',
     'title': 'title', 'profile': 'profile'}, PROMPTS['referral'].limits)} AS prompt FROM r"""))
 def _(v):
     people = v.job_contacts().select(
         "id", F.concat(F.lit("Firm "), F.col("job_id").cast("string")).alias("company"),
-        F.lit("Engineer").alias("role"), "name", "title", F.lit(0).cast("bigint").alias("variant"))
+        F.lit("Engineer").alias("role"), "name", "title", F.col("pos").cast("bigint").alias("variant"))
     return O.referral_prompts(people, v.profiles(), SENDER)
 
 
