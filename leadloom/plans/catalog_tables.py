@@ -585,6 +585,14 @@ _PROMPT_SLOTS = {
                   "ELSE split_part(name, ' ', 1) END",
     "description": "CASE WHEN coalesce(description, '') = '' THEN 'Role: ' || role || ' at ' "
                    "|| company ELSE description END"}
+
+
+def sql_email_prompt(number: str) -> str:
+    texts = [sql_template(PROMPTS[k].text, _PROMPT_SLOTS, PROMPTS[k].limits)
+             for k in ("email_1", "email_2", "email_3")]
+    return f"CASE {number} WHEN 1 THEN {texts[0]} WHEN 2 THEN {texts[1]} ELSE {texts[2]} END"
+
+
 _KEYED = f"""jk AS (SELECT id AS jid, company, role, description, CASE
     {sql_first_match('trim(lower(role))', vocab.ROLE_VARIANTS, 'data')}
     WHEN 'data' THEN 0 WHEN 'analyst' THEN 1 WHEN 'sql' THEN 2 ELSE 3 END AS variant FROM v_jobs
@@ -601,11 +609,8 @@ def _keyed_jobs(v: Views) -> DataFrame:
 
 
 @query("render_prompts", with_views("v_jobs", "v_job_contacts", "v_profiles", then=f""", {_KEYED}
-    SELECT jid AS job_id, c.id AS contact_id, jid % 3 + 1 AS template, CASE jid % 3 + 1
-      WHEN 1 THEN {sql_template(PROMPTS['email_1'].text, _PROMPT_SLOTS, PROMPTS['email_1'].limits)}
-      WHEN 2 THEN {sql_template(PROMPTS['email_2'].text, _PROMPT_SLOTS, PROMPTS['email_2'].limits)}
-      ELSE {sql_template(PROMPTS['email_3'].text, _PROMPT_SLOTS, PROMPTS['email_3'].limits)}
-      END AS prompt FROM jp JOIN v_job_contacts c ON c.job_id = jid
+    SELECT jid AS job_id, c.id AS contact_id, jid % 3 + 1 AS template,
+      {sql_email_prompt('jid % 3 + 1')} AS prompt FROM jp JOIN v_job_contacts c ON c.job_id = jid
     WHERE email <> '' AND contact_type IN ('hr', 'hiring_manager', 'team_lead')"""))
 def _(v):
     from leadloom.operators.filters import actionable_contacts

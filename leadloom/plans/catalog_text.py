@@ -10,11 +10,13 @@ from leadloom.functions import text as X
 from leadloom.functions.profile import profile_text
 from leadloom.functions.scoring import DEFAULT_VOCAB, ScoreVocab
 from leadloom.operators.mutate import score_writeback
-from leadloom.operators.ranking import topk
 from leadloom.operators.score import flat_scores, score_docs, topk_scored
 from leadloom.plans.catalog_rows import sql_hits, sql_quantity
+from leadloom.plans import flows
+from leadloom.plans.catalog_tables import SENDER, sql_email_prompt
 from leadloom.plans.registry import query
-from leadloom.plans.views import Views, q, sql_list, with_views
+from leadloom.plans.views import Views, q, sql_first_match, sql_list, with_views
+from leadloom.schemas import JOBS_BASE
 from leadloom.sources.pages import CardSpec, Field, TagField, extract_cards, \
     extract_nested_cards, extract_table_rows, extract_text, listings_full, listings_title_only
 from leadloom.sources.tables import union_sources
@@ -42,14 +44,14 @@ def _sql_count(expr: str, words) -> str:
     return f"len({sql_hits(expr, words)})"
 
 
-def sql_scored(v: ScoreVocab) -> str:
+def sql_scored(v: ScoreVocab, docs: str = "v_texts", profiles: str = "v_profiles") -> str:
     """Common tables that end in ``r``: one row per document with all score parts."""
     stop = sql_list(v.stop_words)
     return f"""
-    d0 AS (SELECT id, company, role, variant, translate(lower(text), '-_', '  ') AS t FROM v_texts),
+    d0 AS (SELECT id, company, role, variant, translate(lower(text), '-_', '  ') AS t FROM {docs}),
     d AS (SELECT * EXCLUDE (t), {sql_hits('t', v.hard)} AS hard, {_sql_labels('t', v.levels)} AS lv,
       {_sql_labels('t', v.degrees)} AS dg FROM d0),
-    p0 AS (SELECT variant, text AS raw, translate(lower(text), '-_', '  ') AS pt FROM v_profiles),
+    p0 AS (SELECT variant, text AS raw, translate(lower(text), '-_', '  ') AS pt FROM {profiles}),
     p AS (SELECT variant, pt, {sql_hits('pt', v.hard)} AS phard, {_sql_count('pt', v.soft)} AS n_soft,
       {_sql_count('pt', v.verbs)} AS n_verbs, {_sql_labels('pt', v.levels)} AS plv,
       {_sql_labels('pt', v.degrees)} AS pdg, {sql_quantity('raw')} AS n_quantity FROM p0),
@@ -126,6 +128,29 @@ def _(v):
     return topk_scored(scored(v), 20, 0)
 
 
+_PENDING = f"""pj AS (SELECT id, company, role,
+    {sql_first_match('trim(lower(role))', vocab.ROLE_VARIANTS, 'data')} AS variant,
+    CASE WHEN coalesce(description, '') = '' THEN 'Role: ' || role || ' at ' || company
+      ELSE description END AS text FROM v_jobs WHERE applied_status = 'pending' AND h1b_confirmed)"""
+
+
+@query("score_pending", with_views("v_jobs", "v_role_profiles", then=f", {_PENDING},"
+       + sql_scored(DEFAULT_VOCAB, "pj", "v_role_profiles") + " " + _FLAT))
+def _(v):
+    return flat_scores(flows.score_pending(v.jobs(), v.role_profiles()), "id")
+
+
+@query("prompt_flow", with_views("v_jobs", "v_docs", "v_job_contacts", "v_role_profiles", then=f"""
+    , {_PENDING}, w AS (SELECT pj.*, p.text AS profile, pj.text AS description FROM pj
+      JOIN v_role_profiles p USING (variant) WHERE id NOT IN (SELECT job_id FROM v_docs))
+    SELECT job_id, contact_id, template, prompt FROM (SELECT w.id AS job_id, c.id AS contact_id,
+      w.id % 3 + 1 AS template, {sql_email_prompt('w.id % 3 + 1')} AS prompt
+      FROM w JOIN v_job_contacts c ON c.job_id = w.id WHERE email <> ''
+      AND contact_type IN ('hr', 'hiring_manager', 'team_lead'))"""))
+def _(v):
+    return flows.prompts(v.jobs(), v.docs(), v.job_contacts(), v.role_profiles(), SENDER)
+
+
 # --- pages ---
 
 NAV_CARDS = CardSpec(r"(?s)<li>(.*?)</li>", (
@@ -221,6 +246,22 @@ def _(v):
     return both.select("page_id", "role", "company", "location", "jd_url", "source")
 
 
+@query("ingest_flow", """SELECT 'https://b.example/j/' || o_orderkey AS jd_url,
+    'Role' || o_orderpriority AS role, 'Firm & ' || o_orderkey AS company, 'board_a' AS source,
+    false AS h1b_confirmed, 'pending' AS applied_status, '' AS description FROM orders UNION ALL
+    SELECT 'https://v.example/view?jk=' || o_orderkey, o_orderpriority, '', 'board_b', true, 'pending',
+    '' FROM orders WHERE o_orderkey % 2 = 0""")
+def _(v):
+    pages = _board_pages(v)
+    merged = flows.ingest(
+        v.spark.createDataFrame([], JOBS_BASE),
+        [listings_full(pages, "board_a"),
+         listings_title_only(pages, "board_b", "https://v.example/view?jk=")],
+        v.sponsors_in_texts(), "2024-01-01 00:00:00", ["source", "page_id", "pos"])
+    return merged.select("jd_url", "role", "company", "source", "h1b_confirmed", "applied_status",
+                         "description")
+
+
 def _linked_pages(v: Views) -> DataFrame:
     key = F.col("page_id").cast("string")
     tail = F.get(F.array(

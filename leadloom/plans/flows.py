@@ -14,13 +14,19 @@ from leadloom.operators.link import substring_link
 from leadloom.operators.merge import merge_jobs
 from leadloom.operators.outreach import prompt_table, todo
 from leadloom.operators.score import score_docs
+from leadloom.session import freeze
 from leadloom.sources.tables import union_sources
 
 
 def ingest(old: DataFrame, listings: list[DataFrame], sponsors: DataFrame,
            asof: dt.datetime | str, seq: list[str]) -> DataFrame:
-    """Union the sources, link them to sponsors and upsert them by URL."""
-    linked = substring_link(union_sources(*listings), sponsors, "company", "name", spread=seq)
+    """Union the sources, link them to sponsors and upsert them by URL.
+
+    Listings are written once before the link, which reads them twice: they are
+    far smaller than the pages they were cut from.
+    """
+    found = freeze(union_sources(*listings), "listings")
+    linked = substring_link(found, sponsors, "company", "name", spread=seq)
     return merge_jobs(old, linked, asof, seq)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.classify import classify_title
+from leadloom.operators.ranking import latest_per_key
 from leadloom.session import widen
 
 TITLES = ("Senior Recruiter", "Director of Data", "Staff Engineer", "Gardener",
@@ -23,6 +24,7 @@ BODIES = (  # by discount in percent
     (0, None), (1, ""), (2, "Please provide details for [X]"),
     (3, "I DON'T HAVE the figures"), (4, "At [Company] we met"), (5, "Send e.g., the plan"))
 VARIANTS = ("data", "analyst", "sql", "sde")
+LANGS = ("en", "fr", "de", "es")
 
 
 def _choice(key: Column, values: tuple[str, ...]) -> Column:
@@ -150,6 +152,14 @@ class Views:
         """Every benchmark text is a profile of its own variant."""
         return self.table("benchmark").select(F.col("item_id").alias("variant"), "text")
 
+    def role_profiles(self) -> DataFrame:
+        """One profile per role variant: the latest document of a language."""
+        variant = F.lit(VARIANTS[0])
+        for lang, name in zip(LANGS[1:], VARIANTS[1:]):
+            variant = F.when(F.col("lang") == lang, F.lit(name)).otherwise(variant)
+        docs = self.documents().select(variant.alias("variant"), "doc_id", "text")
+        return latest_per_key(docs, ["variant"], ["doc_id"]).select("variant", "text")
+
     def texts(self) -> DataFrame:
         """Documents; the variant is the document number folded onto the profiles."""
         n = self.table("benchmark").agg(F.count("*").alias("n"))
@@ -243,6 +253,8 @@ SQL = {
         user_id AS job_id, ts AS created_at FROM events""",
     "v_docs": "SELECT conv_id AS job_id, turn AS version, text AS body FROM conversations",
     "v_profiles": "SELECT item_id AS variant, text FROM benchmark",
+    "v_role_profiles": f"""SELECT {_case('lang', [(q(k), q(n)) for k, n in zip(LANGS, VARIANTS)],
+        q(VARIANTS[0]))} AS variant, arg_max(text, doc_id) AS text FROM documents GROUP BY 1""",
     "v_texts": """SELECT doc_id AS id, source AS company, 'The ' || lang || ' ' || source AS role,
         text, doc_id % (SELECT count(*) FROM benchmark) AS variant FROM documents""",
     "v_page_companies": r"""SELECT page_id AS id, upper(h[1]) || h[2:] || ', Inc.' AS company,
