@@ -25,52 +25,47 @@ from leadloom.functions.text import norm_company
 from leadloom.session import SALTS, freeze, lookup
 
 
-def _anchors(name: Column, k: int) -> Column:
-    """(position, anchor) for every position and every anchor length up to ``k``.
+def _anchored(names: DataFrame, k: int) -> DataFrame:
+    """(name, is_left, other, at, anchor) for every position and anchor length up to
+    ``k``, and once for the empty anchor, which stands for the empty name.
 
-    The empty anchor, which stands for the empty name, is listed once.
+    One counter is exploded and the rest is plain arithmetic, which stays in
+    generated code; nested array functions took several times as long.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-    every = F.flatten(F.transform(starts, lambda p: F.transform(
-        F.sequence(F.lit(1), F.lit(k)),
-        lambda g: F.struct(p.alias("at"), F.substring(name, p, g).alias("anchor"), g.alias("g")))))
-    # near the end of the name substring() is shorter than asked for
-    whole = F.filter(every, lambda a: F.length(a["anchor"]) == a["g"])
-    return F.concat(F.array(F.struct(F.lit(1).alias("at"), F.lit("").alias("anchor"),
-                                     F.lit(0).alias("g"))), whole)
-
-
-def linked_names(names: DataFrame, k: int = 3, salts: int = SALTS) -> DataFrame:
+    steps = names.select("name", "is_left", (~F.col("is_left")).alias("other"), F.explode(
+        F.sequence(F.lit(-1), F.length("name") * k - 1)).alias("i"))
+    placed = steps.select(
+        "name", "is_left", "other",
+        F.expr(f"cast(greatest(i, 0) div {k} as int) + 1").alias("at"),
+        F.expr(f"if(i < 0, 0, i % {k} + 1)").alias("g"))
+    # near the end of a name an anchor would be cut short
+    fitting = placed.where(F.col("at") + F.col("g") - 1 <= F.length("name"))
+    return fitting.select("name", "is_left", "other", "at",
+                          F.expr("substring(name, at, g)").alias("anchor"))
+
+
+def linked_names(names: DataFrame, k: int = 4, salts: int = SALTS) -> DataFrame:
     """The left names that contain, or are contained in, a right name.
 
-    ``names`` has one row per name with the flags ``in_left`` and ``in_right``.
+    ``names`` has distinct rows (name, is_left).
     """
-    n = F.length("name")
-    lengths = names.groupBy(F.substring("name", 1, k).alias("anchor")).agg(
-        F.collect_set(F.when(F.col("in_left"), n)).alias("left_lengths"),
-        F.collect_set(F.when(F.col("in_right"), n)).alias("right_lengths"))
-    anchored = names.select("name", "in_left", "in_right",
-                            F.explode(_anchors(F.col("name"), k)).alias("a")).select(
-        "name", "in_left", "in_right", "a.at", "a.anchor")
-    found = lookup(anchored, lengths, ["anchor"], "inner", ["name", "at"], salts)
-    none = F.array().cast("array<int>")
-    wanted = F.array_union(F.when(F.col("in_left"), F.col("right_lengths")).otherwise(none),
-                           F.when(F.col("in_right"), F.col("left_lengths")).otherwise(none))
+    lengths = names.groupBy(F.substring("name", 1, k).alias("anchor"),
+                            F.col("is_left").alias("other")).agg(
+        F.collect_set(F.length("name")).alias("lengths"))
+    found = lookup(_anchored(names, k), lengths, ["anchor", "other"], "inner",
+                   ["name", "at"], salts)
     candidates = found.select(
-        F.col("name").alias("long"), F.col("in_left").alias("long_left"),
-        F.col("in_right").alias("long_right"), "at", F.explode(wanted).alias("n")).select(
-        "long", "long_left", "long_right", "n", F.expr("substring(long, at, n)").alias("name"))
-    # near the end of a name substring() is shorter than asked for
-    exact = candidates.where(F.length("name") == F.col("n")).drop("n")
-    pairs = lookup(exact, names, ["name"], "inner", ["long"], salts)
-    hits = F.array_compact(F.array(
-        F.when(F.col("long_left") & F.col("in_right"), F.col("long")),
-        F.when(F.col("long_right") & F.col("in_left"), F.col("name"))))
-    return pairs.select(F.explode(hits).alias("name")).distinct()
+        F.col("name").alias("long"), F.col("is_left").alias("long_left"),
+        F.col("other").alias("is_left"), "at", F.explode("lengths").alias("n")).where(
+        F.expr("at + n - 1 <= length(long)")).select(
+        "long", "long_left", "is_left", F.expr("substring(long, at, n)").alias("name"))
+    pairs = lookup(candidates, names, ["name", "is_left"], "left_semi", ["long"], salts)
+    return pairs.select(F.when(F.col("long_left"), F.col("long")).otherwise(F.col("name"))
+                        .alias("name")).distinct()
 
 
 def substring_link(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
-                   k: int = 3, mode: str = "faithful", min_len: int = 0,
+                   k: int = 4, mode: str = "faithful", min_len: int = 0,
                    removals: tuple[str, ...] = vocab.COMPANY_REMOVALS,
                    flag: str = "h1b_confirmed", spread: list[str] | None = None,
                    salts: int = SALTS) -> DataFrame:
@@ -82,13 +77,11 @@ def substring_link(left: DataFrame, right: DataFrame, left_col: str, right_col:
     """
     norm = norm_company(left_col, removals, mode)
     marked = left.withColumn("_norm", F.coalesce(norm, F.lit("")))
-    ours = marked.select(F.col("_norm").alias("name"), F.lit(True).alias("l"),
-                         F.lit(False).alias("r"))
+    ours = marked.select(F.col("_norm").alias("name"), F.lit(True).alias("is_left"))
     theirs = right.select(norm_company(right_col, removals, mode).alias("name"),
-                          F.lit(False).alias("l"), F.lit(True).alias("r"))
-    names = ours.unionByName(theirs).where(F.col("name").isNotNull() & (
-        F.length("name") >= min_len)).groupBy("name").agg(
-        F.max("l").alias("in_left"), F.max("r").alias("in_right"))
+                          F.lit(False).alias("is_left"))
+    names = ours.unionByName(theirs).where(
+        F.col("name").isNotNull() & (F.length("name") >= min_len)).distinct()
     # used three times below: written once, so the big tables are not scanned again
     hits = linked_names(freeze(names, "names"), k, salts).select(
         F.col("name").alias("_norm"), F.lit(True).alias("_hit"))
@@ -98,7 +91,7 @@ def substring_link(left: DataFrame, right: DataFrame, left_col: str, right_col:
 
 
 def tag_linked(jobs: DataFrame, sponsors: DataFrame, company: str = "company",
-               name: str = "name", k: int = 3, flag: str = "h1b_confirmed",
+               name: str = "name", k: int = 4, flag: str = "h1b_confirmed",
                spread: list[str] | None = None) -> DataFrame:
     """Set the flag on linked rows; a flag that is already set stays."""
     linked = substring_link(jobs.withColumnRenamed(flag, "_old"), sponsors, company, name, k,
