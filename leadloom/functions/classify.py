@@ -11,13 +11,20 @@ from leadloom.functions.text import col, contains_any, strip_ws
 
 def first_match(c: Column | str, classes: tuple[tuple[str, tuple[str, ...]], ...],
                 default: str) -> Column:
-    """Label of the first class one of whose keywords is a substring."""
+    """Label of the first class one of whose keywords is a substring.
+
+    The one-element array lower-cases the text once, also inside a filter, where
+    Spark would evaluate it again for every keyword.
+    """
+    def label_of(low: Column) -> Column:
+        (label, words), *rest = classes
+        out = F.when(contains_any(low, words), F.lit(label))
+        for label, words in rest:
+            out = out.when(contains_any(low, words), F.lit(label))
+        return out.otherwise(F.lit(default))
+
     low = F.coalesce(F.lower(col(c)), F.lit(""))
-    (label, words), *rest = classes
-    out = F.when(contains_any(low, words), F.lit(label))
-    for label, words in rest:
-        out = out.when(contains_any(low, words), F.lit(label))
-    return out.otherwise(F.lit(default))
+    return F.get(F.transform(F.array(low), label_of), F.lit(0))
 
 
 def classify_title(c: Column | str) -> Column:

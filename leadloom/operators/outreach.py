@@ -155,18 +155,19 @@ def fallback_enrich(primary: DataFrame, fallback: DataFrame, key: str = "job_id"
     fallback rows with an unseen ``dedup`` value, the first of each.
 
     Row counts and first rows come from map-side combined aggregates, not from
-    windows, so no task holds all rows of a large key.
+    windows, so no task holds all rows of a large key. Fallback rows and seen
+    values are both unique on (key, value) when they meet, and the join reuses
+    that partitioning; only the check for full keys is salted.
     """
     columns = primary.columns
     full = primary.groupBy(key).agg(F.count("*").alias("_n")).where(
         F.col("_n") >= min_rows).select(key)
     seen = primary.select(key, dedup).distinct()
-    extra = lookup(fallback.select(*columns), full, [key], "left_anti", [dedup, order])
-    extra = lookup(extra, seen, [key, dedup], "left_anti", [order])
     rest = [c for c in columns if c not in (key, dedup, order)]
-    first = (extra.groupBy(key, dedup).agg(F.min(F.struct(order, *rest)).alias("_r"))
+    first = (fallback.groupBy(key, dedup).agg(F.min(F.struct(order, *rest)).alias("_r"))
+             .join(seen, [key, dedup], "left_anti")
              .select(key, dedup, "_r.*").select(*columns))
-    return primary.unionByName(first)
+    return primary.unionByName(lookup(first, full, [key], "left_anti", [dedup]).select(*columns))
 
 
 def prompt_table(jobs: DataFrame, contacts: DataFrame, profiles: DataFrame,
