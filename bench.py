@@ -3,7 +3,7 @@
 BENCH_SF_DIR   table folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local threads (default 8)
 BENCH_QUERIES  comma-separated names, or "all"
-BENCH_RUNS     timed runs per query after one warm-up; the median counts (default 3)
+BENCH_RUNS     timed runs per query after one warm-up; the median counts (default 2)
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def timed(run, runs: int) -> float:
 def main() -> None:
     base = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     asked = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if asked == "all" else (asked.split(",") if asked else list(HEADLINE))
     spark = build_session("bench", f"local[{cpus}]", **{

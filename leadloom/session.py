@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def build_session(app: str = "leadloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="leadloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -42,9 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         return base
     if not (spark.conf.get("spark.master", "") or "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    base = tempfile.mkdtemp(prefix="leadloom-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

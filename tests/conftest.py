@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,8 +14,6 @@ def spark():
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.log.level": "ERROR"})
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="leadloom-tests-"))
     yield session
     session.stop()
 
