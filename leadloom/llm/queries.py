@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import dedup, mixing, sharding
-from leadloom.llm.common import table
+from leadloom.llm import dedup, mixing, neardup, quality, sharding
+from leadloom.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.hilbert_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query("op6_minmax_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query("op4_quality_discriminant")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc32_of_id() % 3 == 1, F.lit(False))
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
