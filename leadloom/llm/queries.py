@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import dedup, mixing, neardup, quality, sharding, toxicity
+from leadloom.llm import decontam, dedup, mixing, neardup, quality, sharding, tokens, toxicity
 from leadloom.llm.common import crc32_of_id, table
 
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -75,3 +78,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score_toxicity(docs, model, "score").select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_elias_fano_tokens")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query("op2_simhash_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")

@@ -48,7 +48,16 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[list(b"@$")] = True
-_PLAIN = re.compile(rb"[\x80-\xff]")
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower case for A-Z and the accented capitals of Latin-1 (two bytes in UTF-8)."""
+    data = textbuf.lower(data)
+    if len(data) > 1:
+        second = data[1:]
+        capital = (data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+        data[1:] += capital.astype(np.uint8) << 5
+    return data
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -59,7 +68,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
             for _, _, data, offsets in textbuf.chunks(batch.column(0)):
                 s = np.zeros(len(data) + 2 * len(offsets), dtype=np.int64)
                 place = np.arange(len(data)) + 2 + 2 * np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                s[place] = _SYMBOL[textbuf.lower(data)]
+                s[place] = _SYMBOL[fold(data)]
                 at = s[:-2] * SYMBOLS ** 2 + s[1:-1] * SYMBOLS + s[2:]
                 counts += np.bincount(at, minlength=SYMBOLS ** 3)
         seen = np.flatnonzero(counts)
@@ -182,7 +191,7 @@ def _word_features(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> lis
 
 def features(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, feature) pairs of a chunk in a few arrays: plain words, then restored ones."""
-    data = textbuf.lower(data)
+    data = fold(data)
     start, end, begin = textbuf.words(data, offsets)
     if not len(start):
         return
