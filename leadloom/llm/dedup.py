@@ -25,7 +25,13 @@ from pyspark.sql import types as T
 from leadloom.llm.common import SPACE
 from leadloom.session import freeze, scratch_path
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # many small stores: no space reserved ahead, and only changes are uploaded at a commit
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(col: str = "text") -> Column:
@@ -70,7 +76,7 @@ def stream_groups(spark: SparkSession, digests: str, schema: T.StructType, state
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    with _setting(spark, {"spark.sql.streaming.stateStore.providerClass": STORE}):
+    with _setting(spark, STORE):
         query = (groups.writeStream.outputMode("update").foreachBatch(keep)
                  .option("checkpointLocation", state).trigger(availableNow=True).start())
     query.awaitTermination()
