@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontam, dedup, mixing, neardup, quality, sharding, tokens, toxicity
+from leadloom.llm import decontam, dedup, mixing, neardup, pii, quality, sharding, tokens, toxicity, urlfilter
 from leadloom.llm.common import crc32_of_id, table
 
 VOCABULARY = "byte_bpe_50k.json"
+PII_KEY = "set a secret of your own here"
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +91,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+@query("op7_surrogates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
+@query("op8_link_graph_url_filter")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
