@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct ``_row``, so that no column of the input can clash with a new one."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def crc32_of_id(col: str = "doc_id") -> Column:
     """crc32 of the id written as decimal text; NULL stays NULL."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm.common import packed
 from leadloom.session import freeze
 
 WIDTH = 5
@@ -162,5 +163,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     """The rows of ``docs`` in which no benchmark item was found, all columns unchanged."""
     found = freeze(leaks(docs, benchmark, similarity).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "decontam-found")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"])
-                     & (F.xxhash64(docs["text"]) == found["_hash"]), "left_anti")
+    return packed(docs).join(found, F.col("_row.doc_id").eqNullSafe(F.col("_id"))
+                             & (F.xxhash64("_row.text") == F.col("_hash")), "left_anti").select("_row.*")

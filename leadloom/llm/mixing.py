@@ -13,13 +13,18 @@ source, pass and place in the source; no rows give no rows; other columns are no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import WORD, running_totals
+from leadloom.llm.common import WORD, packed, running_totals
 from leadloom.session import freeze
 
 
+def _size(col: str) -> Column:
+    """Number of words."""
+    return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def cycle_weights(sources: DataFrame, cycle: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """(source, source_size) with ``weight``: the cycle dealt out in code-point order, NULL last."""
     ranked = running_totals(sources, [F.col("source").asc_nulls_last()],
@@ -56,8 +61,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.
         limit: int = 3, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, weight, target, copies, taken: one row per row of ``docs``."""
     narrow = freeze(docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        .alias("size")), "mix-rows")
+        "doc_id", "source", _size("text").alias("size")), "mix-rows")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = freeze(targets(cycle_weights(sizes, cycle), share, limit), "mix-targets")
     budget = int((sources.agg(F.sum("source_size")).first()[0] or 0) * share)
@@ -93,13 +97,13 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
         F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
     plan = freeze(plan.where("_all > 0").withColumns(
         {"_each": F.expr("_all div _rows"), "_left": F.expr("_all % _rows")}), "mix-plan")
-    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = packed(docs).withColumn("_words", _size("_row.text"))
+    same = (F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source"))
             & (F.col("_words") == F.col("_size")))
 
     def times(rows: DataFrame, n: str) -> DataFrame:
-        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select("_row.*")
 
-    even = times(sized.join(plan.where("_each > 0"), same), "_each")
-    spare = sized.join(plan.where("_left > 0"), same).dropDuplicates(keys)
+    even = times(rows.join(plan.where("_each > 0"), same), "_each")
+    spare = rows.join(plan.where("_left > 0"), same).dropDuplicates(keys)
     return even.unionByName(times(spare, "_left"))

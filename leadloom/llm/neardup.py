@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm import textbuf
-from leadloom.llm.common import components
+from leadloom.llm.common import components, packed
 from leadloom.session import freeze
 
 BANDS, ROWS = 32, 6
@@ -210,12 +210,14 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         F.sum("_n").alias("_rows"), F.min("_hash").alias("_first"))
     kept = freeze(kept.join(per_id.where("_rows > 1").select(F.col("_id").alias("_again"), "_first"),
                             (F.col("_id") == F.col("_again")) & ~F.col("_bare"), "left"), "near-kept")
-    hashed = F.xxhash64(docs["text"])
     once, again = kept.where("_again IS NULL"), kept.where("_again IS NOT NULL AND _hash = _first")
 
     def those(keys: DataFrame) -> DataFrame:
-        return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["_id"])
-                         & (hashed == keys["_hash"]), "left_semi")
+        return packed(docs).join(keys, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id"))
+                                 & (F.xxhash64("_row.text") == F.col("_hash")), "left_semi")
 
     stay = those(once)
-    return stay if again.isEmpty() else stay.unionByName(those(again).dropDuplicates(["doc_id"]))
+    if not again.isEmpty():
+        one = those(again).withColumn("_id", F.col("_row.doc_id")).dropDuplicates(["_id"]).drop("_id")
+        stay = stay.unionByName(one)
+    return stay.select("_row.*")

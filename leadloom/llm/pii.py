@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm.common import packed
 from leadloom.session import freeze
 
 # Patterns, tried in this order at each place of the text.
@@ -210,12 +211,13 @@ def replace_personal_data(docs: DataFrame, key: str, carry: tuple[str, ...] = ()
         F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_list"),
         *[F.count_if(F.col("_entity") == k).alias(f"n_{k}") for k in PATTERNS])
     rows = freeze(rows, "pii-rows")
-    around = F.split("text", ANY, -1)
+    around = F.split("_row.text", ANY, -1)
     rebuilt = F.array_join(F.zip_with(around, F.concat(F.transform("_list", lambda e: e["_new"]), F.array(F.lit(""))),
                                       lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    extra = [c for c in carry if c not in ("doc_id", "text")]
-    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["_id"])
-                     & (F.xxhash64(docs["text"]) == rows["_hash"]), "left").select(
-        docs["doc_id"], F.when(F.col("_list").isNull(), docs["text"]).otherwise(rebuilt).alias("text"),
-        F.when(F.col("_list").isNull(), 0).otherwise(F.size("_list")).alias("n_entities"),
-        *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in PATTERNS], *[docs[c] for c in extra])
+    none = F.col("_list").isNull()
+    return packed(docs).join(rows, F.col("_row.doc_id").eqNullSafe(F.col("_id"))
+                             & (F.xxhash64("_row.text") == F.col("_hash")), "left").select(
+        "_row.doc_id", F.when(none, F.col("_row.text")).otherwise(rebuilt).alias("text"),
+        F.when(none, 0).otherwise(F.size("_list")).alias("n_entities"),
+        *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in PATTERNS],
+        *[F.col(f"_row.`{c}`") for c in carry if c not in ("doc_id", "text")])
