@@ -5,11 +5,13 @@ its maximum, so a signature of n values costs n/2 hash evaluations. Values are b
 texts that share a band are candidates, and every link is confirmed on the full sets.
 
 * Texts with the same set become one node first, so copies never meet in a bucket.
-* In a bucket each node is compared with the smallest one (as many pairs as nodes). What
-  is then linked is one component. Only pairs of different components are left; a node
-  outside the bucket's largest component is compared with the others, unless their
-  exact distances to the smallest node already exclude a link (Jaccard distance obeys
-  the triangle inequality). No candidate is dropped and no bucket is listed in pairs.
+* In a bucket each node is compared with one of them, its head (as many pairs as nodes); in
+  larger buckets the head is drawn by hash, so a node of a large group meets many others over
+  its buckets. What is then linked is one component.
+* What is left are pairs of one bucket in different components. A node outside the bucket's
+  largest component is compared with that whole component, block by block (one row for
+  ``BLOCK`` x ``BLOCK`` texts, so neither pairs nor groups are listed); those outside it are
+  compared with each other. Every candidate is decided exactly; none is dropped.
 * Chance of missing a link at similarity 0.8 with 32 bands of 6 values: 6e-5; less above.
 
 Defined results: NULL text and text without words have an empty set, are linked with
@@ -33,6 +35,8 @@ from leadloom.llm.common import components, packed
 from leadloom.session import freeze
 
 BANDS, ROWS = 32, 6
+BLOCK = 64
+SMALL = 8
 _SEED = 0x5DEECE66D
 
 
@@ -136,11 +140,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80,
         F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "near-sets")
     node = F.struct(F.col("rep").alias("id"), F.col("mark1").alias("mark"))
     entries = reps.where("rep IS NOT NULL").select(node.alias("node"), F.explode("bands").alias("key"))
-    heads = entries.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    buckets = freeze(entries.join(heads.select("key", "head"), "key"), "near-buckets")
+    drawn = F.xxhash64("key", "node")
+    heads = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"),
+                                       F.min(F.struct(drawn.alias("draw"), "node")).alias("any")).where("n > 1")
+    head = F.when(F.col("n") <= SMALL, F.col("least")).otherwise(F.col("any.node"))
+    buckets = freeze(entries.join(heads.select("key", head.alias("head")), "key"), "near-buckets")
 
     linked = F.col("shared") * 100 >= F.col("total") * percent
-    star = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    star = buckets.where("node <> head").select(F.least("head", "node").alias("a"),
+                                                F.greatest("head", "node").alias("b")).distinct()
     star = freeze(star, "near-star")
     wanted = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = freeze(wanted.select("node", F.col("node.id").alias("_id"), F.col("node.mark").alias("_mark")),
@@ -154,8 +162,12 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80,
     links = checked.where(linked).select("a", "b")
     roots = freeze(components(links, "near-first"), "near-roots")
 
-    more = freeze(_open_pairs(buckets, checked, roots, percent), "near-open")
-    found = _confirm(more, sets).where(linked).select("a", "b")
+    outside = freeze(_outside(buckets, roots), "near-outside")
+    pairs = outside.alias("x").join(outside.alias("y"), "key").where("x.node < y.node AND x.root <> y.root")
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = freeze(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+    found = _confirm(pairs, sets).where(linked).select("a", "b").union(
+        _links_to_components(outside.select("node", "main").distinct(), roots, sets, percent))
     found = freeze(found, "near-found")
     if not found.isEmpty():
         roots = components(links.unionByName(found), "near-last")
@@ -171,30 +183,65 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80,
                          F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
-def _open_pairs(buckets: DataFrame, checked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that are in different components, not compared and not excluded.
-
-    ``cell`` is the distance to the bucket's head in steps as wide as the largest distance
-    of a link, so a link lies in the same or in neighbouring cells.
-    """
-    step = (100 - percent) / 100 + 1e-6
-    distance = 1 - F.col("shared") / F.col("total")
-    placed = (buckets.where("node <> head")
-              .join(checked.select(F.col("a").alias("head"), F.col("b").alias("node"),
-                                   F.floor(distance / step).cast("int").alias("cell")), ["head", "node"])
-              .join(roots, "node", "left")
-              .select("key", "node", "head", "cell", F.coalesce("root", "node").alias("root")))
+def _outside(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root, main): nodes of a bucket that are not in its largest component, ``main``."""
+    placed = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("k"))
     mixed = main.where("k > 1").select("key", F.col("top.root").alias("main"))
-    within = freeze(placed.join(mixed, "key"), "near-mixed")
-    few = within.where("root <> main").select(
-        "key", F.col("node").alias("x"), F.col("root").alias("_rx"),
-        F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    pairs = few.join(within.select("key", "cell", F.col("node").alias("y"), F.col("root").alias("_ry")),
-                     ["key", "cell"]).where("_rx <> _ry")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    return placed.join(mixed, "key").where("root <> main")
+
+
+def _blocks(members: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """(main, nodes, sets): the members (main, node) of each component in blocks of about ``BLOCK``."""
+    sizes = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    block = F.pmod(F.xxhash64("node", "main"), F.col("_n"))
+    return (members.join(sizes, "main").withColumn("_block", block).join(sets, "node")
+            .groupBy("main", "_block").agg(F.collect_list(F.struct("node", "shingles")).alias(side)))
+
+
+def _links_to_components(outside: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): per node and block of the component ``main`` one link between them, if there is any."""
+    own = roots.select(F.col("root").alias("main"), "node").join(
+        outside.select("main").distinct(), "main", "left_semi")
+    alone = outside.select("main").distinct().join(roots, F.col("main") == F.col("root"), "left_anti")
+    inside = own.union(alone.select("main", F.col("main").alias("node")))
+    pairs = _blocks(outside, sets, "xs").join(_blocks(inside, sets, "ys"), "main").select("xs", "ys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                xs, ys = _unpack(batch.column(0), i), _unpack(batch.column(1), i)
+                links = [(x, next((y for y, other in ys if _linked(one, other, percent)), None)) for x, one in xs]
+                links = [(min(x, y), max(x, y)) for x, y in links if y is not None]
+                if links:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([{"id": n[0], "mark": n[1]} for n in side], _NODE) for side in zip(*links, strict=True)],
+                        ["a", "b"])
+    return pairs.mapInArrow(run, "a struct<id: long, mark: long>, b struct<id: long, mark: long>")
+
+
+_NODE = pa.struct([("id", pa.int64()), ("mark", pa.int64())])
+
+
+def _unpack(column: pa.Array, row: int) -> list[tuple[tuple[int, int], np.ndarray]]:
+    """The nodes of a block, each with its sorted shingles."""
+    entries = column[row].values
+    nodes = entries.field("node")
+    lists = entries.field("shingles")
+    ends = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    names = zip(nodes.field("id").to_pylist(), nodes.field("mark").to_pylist(), strict=True)
+    return [(n, flat[ends[k]:ends[k + 1]]) for k, n in enumerate(names)]
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
