@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,15 @@ class EliasFano:
         return value
 
 
+_PAIRS = ["  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f"]
+_RARE = re.compile(r"[^\S\x00-\x20]")
+
+# Characters whose kind (letter, digit, space, other) Python's classes tell as the splitter's do,
+# and the splitter's words over them.
+_COMMON = re.compile(r"[\x20-\x7e\n\t\r\xc0-\u024f]+")
+_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
 class Encoder:
     """Whole texts to ids with a tokenizers file, remembering the ids of pieces of text.
 
@@ -102,16 +113,16 @@ class Encoder:
     token's string or rare white space go through the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
-        kinds = self._facts()
-        self.cuts = kinds
+        self.cuts = self._facts()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" (?=\s)", r"[^\S \n\t\r\x0b\x0c]", " $", *special]))
-        self.known: dict[str, bytes] = {}
+        self.special = re.compile("|".join(special)) if special else None
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
         self.remember = remember
 
     def _facts(self) -> bool:
@@ -126,59 +137,72 @@ class Encoder:
         return [np.array(e.ids, dtype=self.kind).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _odd(self, text: str) -> bool:
+        """Whether a space may belong to the white space before it, or a special token is there."""
+        return (text[-1:] == " " or any(pair in text for pair in _PAIRS) or "\0" in text
+                or not text.isascii() and _RARE.search(text) is not None
+                or self.special is not None and self.special.search(text) is not None)
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces. Plain ones are encoded as one text and told apart by their word numbers."""
-        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha() and p.isascii()]
-        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalpha() and p.isascii())]
+        """Ids of new pieces. Those of common characters are cut on into the splitter's own words."""
+        cut = {p: _SPLIT.findall(p) for p in pieces if _COMMON.fullmatch(p)}
+        rest = [p for p in pieces if p not in cut]
+        out = dict(zip(rest, self._ids(rest), strict=True)) if rest else {}
+        parts = self.parts
+        new = [w for w in {w for ws in cut.values() for w in ws} if w not in parts]
+        fresh = self._words(new)
+        room = self.remember - len(parts)
+        if room >= len(fresh):
+            parts.update(fresh)
+        elif room > 0:
+            parts.update(list(fresh.items())[:room])
+        for p, ws in cut.items():
+            out[p] = b"".join([fresh[w] if w in fresh else parts[w] for w in ws])
+        return out
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of the splitter. Those that begin with a space are encoded as one text and
+        told apart by their word numbers."""
+        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
         out = dict(zip(rest, self._ids(rest), strict=True)) if rest else {}
-        if plain:
-            made = self.tokenizer.encode("".join(plain), add_special_tokens=False)
-            words = np.array(made.word_ids)
+        if spaced:
+            made = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
+            number = np.array(made.word_ids)
             ids = np.array(made.ids, dtype=self.kind)
-            begin = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-            if len(begin) == len(plain):
+            begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            if len(begin) == len(spaced):
                 raw, size = ids.tobytes(), ids.itemsize
                 ends = [*begin[1:].tolist(), len(ids)]
-                out.update((p, raw[a * size:b * size]) for p, a, b in zip(plain, begin.tolist(), ends, strict=True))
+                out.update((w, raw[a * size:e * size]) for w, a, e in zip(spaced, begin.tolist(), ends, strict=True))
             else:
-                out.update(zip(plain, self._ids(plain), strict=True))
+                out.update(zip(spaced, self._ids(spaced), strict=True))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._ids(texts)
         out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.whole.search(t)]
+        odd = [i for i, t in enumerate(texts) if self._odd(t)]
         for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
             out[i] = ids
         skip = set(odd)
-        split = {i: t.replace(" ", "\0 ").split("\0") for i, t in enumerate(texts)
-                 if t and i not in skip and "\0" not in t}
-        for i, t in enumerate(texts):
-            if t and i not in skip and i not in split:
-                out[i] = self._ids([t])[0]
-        known = self.known
+        split = {i: t.replace(" ", "\0 ").split("\0") for i, t in enumerate(texts) if t and i not in skip}
         new = set()
         for pieces in split.values():
             new.update(pieces)
+        known = self.known
         new.discard("")
-        fresh = self._learn([p for p in new if p not in known]) if new else {}
-        if fresh:
-            if len(known) + len(fresh) <= self.remember:
-                known.update(fresh)
-                get = known.__getitem__
-            else:
-                room = self.remember - len(known)
-                get = {**{p: known[p] for p in new if p in known}, **fresh}.__getitem__
-                for p, b in fresh.items():
-                    if room <= 0:
-                        break
-                    known[p] = b
-                    room -= 1
-        else:
+        fresh = self._learn([p for p in new if p not in known])
+        if len(known) + len(fresh) <= self.remember:
+            known.update(fresh)
             get = known.__getitem__
+        else:
+            get = ChainMap(known, fresh).__getitem__ if len(fresh) < 50 else {
+                **{p: known[p] for p in new if p in known}, **fresh, "": b""}.__getitem__
+            known.update(islice(fresh.items(), max(0, self.remember - len(known))))
         for i, pieces in split.items():
-            out[i] = b"".join([get(p) for p in pieces if p])
+            out[i] = b"".join(map(get, pieces))
         return out
 
 
