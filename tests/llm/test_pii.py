@@ -1,0 +1,72 @@
+"""Surrogates: formats, coreference, distinctness, and what must stay as it is."""
+
+import re
+
+from fixtures import MESSY, documents, empty, messy
+
+from leadloom.llm import pii
+
+ROWS = [
+    (1, "Write to Ann.Smith34@mail7.example.com or +1 (017) 555-7713, not 129.38.82.176.", "s"),
+    (2, "ann.smith34@mail7.example.com! card 4952935900253052, again 4952-9359-0025-3052", "s"),
+    (3, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and bob@mail7.example.com', "s"),
+    (4, "+1%%% (017)&&& 555-7713$$$ und ANN.SMITH34@MAIL7.EXAMPLE.COM!!", "s"),
+    (5, "Mrs. Anna Ivers met Mr Paul Ivers; Mr Ivers left. г-жа Анна Петрова, Dr Ivers", "s"),
+    (6, "Version 1.2.3 of 2024-05-06 costs 1,234.50 at 10:30; 12345 items, a@b is no address", "s"),
+    (7, "123-45-6789 and DE89 3704 0044 0532 0130 00", "s"), (7, "123-45-6789", "s")]
+
+
+def replaced(spark, rows, **kw):
+    return sorted(pii.replace_personal_data(documents(spark, rows).repartition(3), "k1", **kw).collect(),
+                  key=lambda r: (str(r.doc_id), r.text or ""))
+
+
+def test_formats_and_coreference(spark):
+    t = {}
+    for r in replaced(spark, ROWS):
+        t.setdefault(r.doc_id, r.text)
+    email = r"([a-z]{3})\.([a-z]{5})(\d\d)@([a-z]{4}\d\.[a-z]{7}\.com)"
+    one = re.search(rf"(?i)Write to {email} or \+(\d) \((\d{{3}})\) (\d{{3}})-(\d{{4}}), not (\d+(?:\.\d+){{3}})\.$", t[1])
+    two = re.search(rf"{email}! card (\d{{16}}), again (\d{{4}}-\d{{4}}-\d{{4}}-\d{{4}})", t[2])
+    assert one and two
+    assert [g.lower() for g in one.groups()[:4]] == list(two.groups()[:4])
+    assert two[5] == two[6].replace("-", "") and two[5] != "4952935900253052"
+    three = re.fullmatch(r'token = "([0-9a-f]{40})" and ([a-z]{3})@(\S+)', t[3])
+    assert three[3] == two[4] and three[2] != "bob"
+    four = re.fullmatch(rf"\+(\d)%%% \((\d+)\)&&& (\d+)-(\d+)\$\$\$ und {email.replace('a-z', 'A-Z').replace('com', 'COM')}!!", t[4])
+    assert four.groups()[:4] == one.groups()[4:8] and four[5].lower() == two[1]
+    names = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr (\w+) (\w+); Mr (\w+) left\. г-жа ([А-Яа-я]+) ([А-Яа-я]+), Dr (\w+)", t[5])
+    assert names[2] == names[4] == names[5] == names[8] and "Ivers" not in t[5]
+    women = {n for (s, g), ns in pii.GIVEN.items() if g == "f" for n in ns.split()}
+    men = pii.GIVEN["latin", "m"].split()
+    assert names[1] in women and names[6] in women and names[3] in men and names[1] != "Anna"
+    assert t[6] == ROWS[5][1]
+    assert re.fullmatch(r"\d{3}-\d\d-\d{4}", t[7].split(" and ")[0]) and "123-45-6789" not in t[7]
+
+
+def test_counts_repeats_and_keys(spark):
+    got = replaced(spark, ROWS, carry=("source", "_hash"))
+    assert [(r.doc_id, r.n_entities) for r in got if r.doc_id != 7] == [(1, 3), (2, 3), (3, 2), (4, 2), (5, 5), (6, 0)]
+    assert all(r.source == "s" and r["_hash"] == "h" for r in got)
+    assert [r.text for r in got] == [r.text for r in replaced(spark, ROWS[::-1])]
+    other = pii.replace_personal_data(documents(spark, ROWS), "k2").collect()
+    assert {r.text for r in other if r.n_entities} .isdisjoint({r.text for r in got})
+
+
+def test_surrogates_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{c}@x{c}.example.org Mr {c.upper()}bcd", "s") for i, c in enumerate(letters)]
+    got = replaced(spark, rows)
+    seen = [set(), set(), set()]
+    for r in got:
+        user, domain, name = re.fullmatch(r"(\S+)@(\S+) Mr (\w+)", r.text).groups()
+        for s, v in zip(seen, (user, domain, name.lower()), strict=True):
+            s.add(v)
+    assert [len(s) for s in seen] == [26, 26, 26]
+    assert not seen[0] & set(letters)
+
+
+def test_messy_and_empty(spark):
+    got = pii.replace_personal_data(messy(spark), "k").collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((i, t)) for i, t, _ in MESSY)
+    assert pii.replace_personal_data(empty(spark), "k").collect() == []
