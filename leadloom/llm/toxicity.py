@@ -240,7 +240,7 @@ class ToxicityModel:
             hits.append(at[true])
         if docs:
             pair = np.unique(np.concatenate(docs) * len(self.keys) + np.concatenate(hits))
-            total = np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], n)
+            total = np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], n).astype(float)
         return total
 
     def score(self, data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> np.ndarray:
