@@ -20,6 +20,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A join side whose rows grow with the corpus: never broadcast, however few they are now."""
+    return df.hint("merge")
+
+
 def crc32_of_id(col: str = "doc_id") -> Column:
     """crc32 of the id written as decimal text; NULL stays NULL."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

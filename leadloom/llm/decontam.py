@@ -7,7 +7,7 @@ the benchmark item it is compared with (a shorter document is one window).
    some of every ``stride`` positions must hit; only windows with enough hits go on. This is
    exact: with similarity t at most (1 - t) / (1 + t) of a window's shingles are its own.
 2. Fingerprint. Each window gets a 64-bit SimHash of its words.
-3. Multi-index. Fingerprints within ``RADIUS`` agree in one of four 16-bit blocks up to a
+3. Multi-index, over the distinct fingerprints. Those within ``RADIUS`` agree in one of four 16-bit blocks up to a
    quarter of it. Items are filed under every such variant of their blocks, so an equality
    join finds all pairs within the radius; the distance is then checked.
 4. Proof. Exact similarity of the shingles weighted by how often they occur: sum of the
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import packed
+from leadloom.llm.common import growing, packed
 from leadloom.session import freeze
 
 WIDTH = 5
@@ -123,7 +123,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
     items = items.withColumn("item_print", F.expr(simhash("words", longest)))
     places = freeze(_gate(docs, items, similarity), "decontam-windows")
 
-    met = docs.select("doc_id", "text").join(places, docs["doc_id"].eqNullSafe(places["_id"]))
+    met = docs.select("doc_id", "text").join(growing(places), docs["doc_id"].eqNullSafe(places["_id"]))
     cut = met.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of("text").alias("_words"), "_at")
     window = F.explode(F.expr(
         "transform(filter(_at, x -> x.start <= greatest(size(_words) - x.length, 0)), "
@@ -134,22 +134,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
     bits = 64 // BLOCKS
     within = RADIUS // BLOCKS
     variants = F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda x: F.bit_count(x) <= within)
-    filed = items.select("item_id", F.col("words").alias("item_words"), "length", "item_print",
+    filed = items.select("item_id", "length", "item_print",
                          F.explode(F.array(*[F.lit(b) for b in range(BLOCKS)])).alias("block"))
-    filed = filed.select("*", F.explode(variants).alias("_flip")).select(
-        "item_id", "item_words", "length", "item_print", "block",
-        F.expr(f"(shiftrightunsigned(item_print, block * {bits}) & {(1 << bits) - 1}L) ^ _flip").alias("value"))
-    asked = windows.select("*", F.posexplode(F.array(*[
+    filed = freeze(filed.select("*", F.explode(variants).alias("_flip")).select(
+        "item_id", "length", "item_print", "block",
+        F.expr(f"(shiftrightunsigned(item_print, block * {bits}) & {(1 << bits) - 1}L) ^ _flip").alias("value")),
+        "decontam-index")
+    asked = windows.select("length", "print").distinct().select("*", F.posexplode(F.array(*[
         F.expr(f"shiftrightunsigned(print, {b * bits}) & {(1 << bits) - 1}L") for b in range(BLOCKS)]))
         .alias("block", "value"))
-    difference = F.expr("print ^ item_print")
+    distance = F.bit_count(F.expr("print ^ item_print"))
     earlier = F.expr(f"exists(sequence(0, {BLOCKS - 1}), b -> b < block AND bit_count("
                      f"shiftrightunsigned(print ^ item_print, b * {bits}) & {(1 << bits) - 1}L) <= {within})")
-    near = asked.join(filed, ["length", "block", "value"]).where(
-        (F.bit_count(difference) <= RADIUS) & ~earlier)
-    proven = near.select(
-        "doc_id", "text_hash", "item_id", "start", F.size("window").alias("n_words"),
-        F.bit_count(difference).alias("distance"),
+    near = freeze(asked.join(filed, ["length", "block", "value"]).where((distance <= RADIUS) & ~earlier).select(
+        "length", "print", "item_id", distance.alias("distance")), "decontam-near")
+    proven = windows.join(near, ["length", "print"]).join(
+        items.select("item_id", "length", F.col("words").alias("item_words")), ["item_id", "length"]).select(
+        "doc_id", "text_hash", "item_id", "start", F.size("window").alias("n_words"), "distance",
         F.expr(shingles("window")).alias("a_"), F.expr(shingles("item_words")).alias("b_"))
     proven = proven.withColumn("similarity", F.expr(weighted_similarity("a_", "b_"))).where(
         F.col("similarity") >= similarity - 1e-12)
@@ -163,5 +164,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     """The rows of ``docs`` in which no benchmark item was found, all columns unchanged."""
     found = freeze(leaks(docs, benchmark, similarity).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "decontam-found")
-    return packed(docs).join(found, F.col("_row.doc_id").eqNullSafe(F.col("_id"))
+    return packed(docs).join(growing(found), F.col("_row.doc_id").eqNullSafe(F.col("_id"))
                              & (F.xxhash64("_row.text") == F.col("_hash")), "left_anti").select("_row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm import textbuf
-from leadloom.llm.common import components, packed
+from leadloom.llm.common import components, growing, packed
 from leadloom.session import freeze
 
 BANDS, ROWS = 32, 6
@@ -154,7 +154,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80,
     wanted = freeze(wanted.select("node", F.col("node.id").alias("_id"), F.col("node.mark").alias("_mark")),
                     "near-wanted")
     ids = wanted.select("_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(
+        growing(ids), F.col("doc_id") == F.col("_id"), "left_semi")
     sets = shingle_sets(texts, width)
     sets = freeze(sets.join(wanted, (sets["doc_id"] == wanted["_id"]) & (sets["mark1"] == wanted["_mark"]))
                   .groupBy("node").agg(F.any_value("shingles").alias("shingles")), "near-full-sets")
@@ -260,7 +261,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     once, again = kept.where("_again IS NULL"), kept.where("_again IS NOT NULL AND _hash = _first")
 
     def those(keys: DataFrame) -> DataFrame:
-        return packed(docs).join(keys, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id"))
+        return packed(docs).join(growing(keys), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id"))
                                  & (F.xxhash64("_row.text") == F.col("_hash")), "left_semi")
 
     stay = those(once)

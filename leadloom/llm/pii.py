@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import packed
+from leadloom.llm.common import growing, packed
 from leadloom.session import freeze
 
 # Patterns, tried in this order at each place of the text.
@@ -215,7 +215,7 @@ def replace_personal_data(docs: DataFrame, key: str, carry: tuple[str, ...] = ()
     rebuilt = F.array_join(F.zip_with(around, F.concat(F.transform("_list", lambda e: e["_new"]), F.array(F.lit(""))),
                                       lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     none = F.col("_list").isNull()
-    return packed(docs).join(rows, F.col("_row.doc_id").eqNullSafe(F.col("_id"))
+    return packed(docs).join(growing(rows), F.col("_row.doc_id").eqNullSafe(F.col("_id"))
                              & (F.xxhash64("_row.text") == F.col("_hash")), "left").select(
         "_row.doc_id", F.when(none, F.col("_row.text")).otherwise(rebuilt).alias("text"),
         F.when(none, 0).otherwise(F.size("_list")).alias("n_entities"),
