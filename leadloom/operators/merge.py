@@ -15,7 +15,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom import schemas
 from leadloom.functions.text import blank
+from leadloom.operators.ranking import number_rows
 from leadloom.session import freeze, instant, parse_instant
 
 
@@ -42,40 +44,58 @@ def _added(folded: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return folded.join(known, key, "left_anti")
 
 
+def _with_ids(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """New rows with the ids that follow the greatest id of the old table, in the order of ``key``.
+
+    Only the new rows are sorted and numbered; of the old table only the id is read.
+    """
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_top"))
+    numbered = number_rows(new, [key], "_no").select("*", top.scalar().alias("_top"))
+    return numbered.withColumn("id", F.col("_top") + F.col("_no")).drop("_no", "_top")
+
+
+def _completed(new: DataFrame, old: DataFrame, defaults: dict) -> DataFrame:
+    """New rows with all columns of the old table: defaults, else NULL, where they have none."""
+    missing = {f.name: F.lit(defaults.get(f.name)).cast(f.dataType)
+               for f in old.schema.fields if f.name not in new.columns}
+    return new.withColumns(missing).select(*old.columns) if missing else new.select(*old.columns)
+
+
 def merge_companies(old: DataFrame, delta: DataFrame, asof: dt.datetime | str,
-                    seq: list[str], nullif_empty: bool = False) -> DataFrame:
+                    seq: list[str], nullif_empty: bool = False, with_ids: bool = True) -> DataFrame:
     """Upsert on ``name``: greatest flag and count, last non-NULL source and domain.
 
-    ``seq`` orders the delta rows. An empty text counts as a value and replaces a
-    stored one unless ``nullif_empty`` is set. A NULL count is skipped (SQL's
-    two-argument MAX in some engines would make the result NULL). New names have a
-    NULL ``id``; see :func:`leadloom.operators.ranking.fill_ids`.
+    ``seq`` orders the delta rows; rows without a name are dropped, for a NULL name could
+    never be found again. An empty text counts as a value and replaces a stored one unless
+    ``nullif_empty`` is set. A NULL count is skipped (SQL's two-argument MAX in some
+    engines would make the result NULL). Every column of the old table is kept. New
+    names get the next ids in name order; with ``with_ids`` off their id is NULL.
     """
     texts = ["h1b_source", "domain"]
     order = F.struct(*seq)
-    folded = freeze(delta.groupBy("name").agg(
+    folded = freeze(delta.where(F.col("name").isNotNull()).groupBy("name").agg(
         F.max("h1b_confirmed").alias("_flag"), F.max("lca_count").alias("_count"),
         *[_last(c, order, nullif_empty).alias(f"_last_{c}") for c in texts],
         *[F.max(c).alias(f"_any_{c}") for c in texts]), "company-delta")
-    columns = ["id", "name", "h1b_confirmed", "h1b_source", "lca_count", "domain", "created_at"]
-    kept = old.join(folded, "name", "left").select(
-        "id", "name", F.greatest("h1b_confirmed", "_flag").alias("h1b_confirmed"),
-        F.greatest("lca_count", "_count").alias("lca_count"),
-        *[_new_text(c, nullif_empty) for c in texts], "created_at")
+    changed = {"h1b_confirmed": F.greatest("h1b_confirmed", "_flag").alias("h1b_confirmed"),
+               "lca_count": F.greatest("lca_count", "_count").alias("lca_count"),
+               **{c: _new_text(c, nullif_empty) for c in texts}}
+    kept = old.join(folded, "name", "left").select(*[changed.get(c, F.col(c)) for c in old.columns])
     now = instant(parse_instant(asof), old.schema["created_at"].dataType)
     new = _added(folded, old, "name").select(
-        F.lit(None).cast("bigint").alias("id"), "name", F.col("_flag").alias("h1b_confirmed"),
-        F.col("_count").alias("lca_count"),
-        *[F.coalesce(f"_last_{c}", f"_any_{c}").alias(c) for c in texts],
-        now.alias("created_at"))
-    return kept.select(*columns).unionByName(new.select(*columns))
+        "name", F.col("_flag").alias("h1b_confirmed"), F.col("_count").alias("lca_count"),
+        *[F.coalesce(f"_last_{c}", f"_any_{c}").alias(c) for c in texts], now.alias("created_at"))
+    if with_ids:
+        new = _with_ids(new, old, "name")
+    return kept.unionByName(_completed(new, old, {}))
 
 
 def merge_jobs(old: DataFrame, delta: DataFrame, asof: dt.datetime | str, seq: list[str],
-               nullif_empty: bool = False) -> DataFrame:
-    """Upsert on ``jd_url``: last non-NULL description, greatest flag; every other
-    column keeps the version that came first. ``seq`` orders the delta rows; rows
-    without a URL are dropped. New listings have a NULL ``id``."""
+               nullif_empty: bool = False, with_ids: bool = True) -> DataFrame:
+    """Upsert on ``jd_url``: last non-NULL description, greatest flag; every other column of
+    the old table keeps the version that came first. ``seq`` orders the delta rows; rows
+    without a URL are dropped. New listings get the next ids in URL order (NULL with
+    ``with_ids`` off), the status pending and the defaults of the added columns."""
     first_cols = ["company", "role", "source", "location"]
     order = F.struct(*seq)
     folded = freeze(delta.where(~blank("jd_url")).groupBy("jd_url").agg(
@@ -83,22 +103,20 @@ def merge_jobs(old: DataFrame, delta: DataFrame, asof: dt.datetime | str, seq: l
         F.max("h1b_confirmed").alias("_flag"),
         _last("description", order, nullif_empty).alias("_last_description"),
         F.max("description").alias("_any_description")), "job-delta")
-    columns = ["id", "jd_url", *first_cols, "applied_status", "description", "h1b_confirmed",
-               "applied_at", "created_at", "updated_at"]
     stamp = old.schema["created_at"].dataType
     now = instant(parse_instant(asof), stamp)
-    kept = old.join(folded, "jd_url", "left").select(
-        "id", "jd_url", *first_cols, "applied_status", _new_text("description", nullif_empty),
-        F.greatest("h1b_confirmed", "_flag").alias("h1b_confirmed"), "applied_at", "created_at",
-        F.when(F.col("_flag").isNotNull() | F.col("_f").isNotNull(), now)
-        .otherwise(F.col("updated_at")).alias("updated_at"))
+    hit = F.col("_flag").isNotNull() | F.col("_f").isNotNull()
+    changed = {"description": _new_text("description", nullif_empty),
+               "h1b_confirmed": F.greatest("h1b_confirmed", "_flag").alias("h1b_confirmed"),
+               "updated_at": F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at")}
+    kept = old.join(folded, "jd_url", "left").select(*[changed.get(c, F.col(c)) for c in old.columns])
     new = _added(folded, old, "jd_url").select(
-        F.lit(None).cast("bigint").alias("id"), "jd_url", *[f"_f.{c}" for c in first_cols],
-        F.lit("pending").alias("applied_status"),
+        "jd_url", *[f"_f.{c}" for c in first_cols], F.lit("pending").alias("applied_status"),
         F.coalesce("_last_description", "_any_description").alias("description"),
-        F.col("_flag").alias("h1b_confirmed"), F.lit(None).cast(stamp).alias("applied_at"),
-        now.alias("created_at"), now.alias("updated_at"))
-    return kept.select(*columns).unionByName(new.select(*columns))
+        F.col("_flag").alias("h1b_confirmed"), now.alias("created_at"), now.alias("updated_at"))
+    if with_ids:
+        new = _with_ids(new, old, "jd_url")
+    return kept.unionByName(_completed(new, old, schemas.JOBS_ADDED_DEFAULTS))
 
 
 def seed_companies(names: DataFrame, source: str, lca_count: int = 100) -> DataFrame:

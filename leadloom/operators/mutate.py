@@ -12,13 +12,26 @@ from leadloom.functions.text import is_contaminated, repaired_subject
 from leadloom.session import instant, parse_instant
 
 
-def status_transition(jobs: DataFrame, delta: DataFrame, asof: dt.datetime | str) -> DataFrame:
-    """Set the status of the listings in ``delta`` (id, status; one row per id).
+def last_per_key(delta: DataFrame, key: str, fields: list[str], seq: list[str] | None) -> DataFrame:
+    """One row per key: updates are applied in turn, so the last in the order ``seq`` wins.
+
+    Without ``seq`` the greatest row wins, which is some fixed order. Folded by a combining
+    aggregate, so a key that is updated very often shrinks before the shuffle.
+    """
+    row = F.struct(*[F.col(c) for c in (seq or [])], *[F.col(c).alias(f"_v_{c}") for c in fields])
+    folded = delta.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(row).alias("_r"))
+    return folded.select(key, *[F.col(f"_r._v_{c}").alias(c) for c in fields])
+
+
+def status_transition(jobs: DataFrame, delta: DataFrame, asof: dt.datetime | str,
+                      seq: list[str] | None = None) -> DataFrame:
+    """Set the status of the listings in ``delta`` (id, status); the last by ``seq`` wins.
 
     ``applied_at`` is stamped for every status, not only for 'applied'.
     """
     now = instant(parse_instant(asof), jobs.schema["updated_at"].dataType)
-    joined = jobs.join(delta.select("id", F.col("status").alias("_to")), "id", "left")
+    last = last_per_key(delta.where(F.col("status").isNotNull()), "id", ["status"], seq)
+    joined = jobs.join(last.withColumnRenamed("status", "_to"), "id", "left")
     hit = F.col("_to").isNotNull()
     return joined.withColumns({
         "applied_status": F.coalesce("_to", "applied_status"),
@@ -28,9 +41,9 @@ def status_transition(jobs: DataFrame, delta: DataFrame, asof: dt.datetime | str
 
 
 def mark_sent(outreach: DataFrame, ids: DataFrame, asof: dt.datetime | str) -> DataFrame:
-    """Mark the rows in ``ids`` (column id, no duplicates) as sent now."""
+    """Mark the rows in ``ids`` (column id) as sent now."""
     now = instant(parse_instant(asof), outreach.schema["sent_at"].dataType)
-    joined = outreach.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    joined = outreach.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     return joined.withColumns({
         "status": F.when(F.col("_hit"), F.lit("sent")).otherwise(F.col("status")),
         "sent_at": F.when(F.col("_hit"), now).otherwise(F.col("sent_at")),
@@ -71,9 +84,10 @@ def repair_subjects(outreach: DataFrame) -> DataFrame:
     return outreach.withColumn("subject", repaired_subject("subject"))
 
 
-def score_writeback(jobs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Store ``score`` and ``grade`` (one row per id) on the listings."""
-    new = scores.select("id", F.col("score").alias("_score"), F.col("grade").alias("_grade"))
+def score_writeback(jobs: DataFrame, scores: DataFrame, seq: list[str] | None = None) -> DataFrame:
+    """Store ``score`` and ``grade`` on the listings; of several rows per id the last by ``seq``."""
+    new = last_per_key(scores, "id", ["score", "grade"], seq).select(
+        "id", F.col("score").alias("_score"), F.col("grade").alias("_grade"))
     return jobs.join(new, "id", "left").withColumns({
         "ats_score": F.coalesce("_score", "ats_score"),
         "ats_grade": F.coalesce("_grade", "ats_grade")}).select(*jobs.columns)
@@ -96,6 +110,7 @@ def fk_cascade(child: DataFrame, parent: DataFrame, child_key: str, parent_key:
     if action != "set_null":
         raise ValueError(f"unknown action {action!r}")
     found = keys.withColumn("_found", F.lit(True))
-    joined = child.join(found, child_key, "left")
-    return joined.withColumn(
-        child_key, F.when(F.col("_found"), F.col(child_key))).select(*child.columns)
+    # rows without a key would all meet in one partition of the outer join
+    joined = child.where(F.col(child_key).isNotNull()).join(found, child_key, "left")
+    nulled = joined.withColumn(child_key, F.when(F.col("_found"), F.col(child_key)))
+    return nulled.select(*child.columns).unionByName(child.where(F.col(child_key).isNull()))

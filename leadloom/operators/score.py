@@ -16,10 +16,12 @@ from leadloom.session import lookup
 
 def score_docs(docs: DataFrame, profiles: DataFrame, text: str = "text", role: str = "role",
                variant: str = "variant", v: ScoreVocab = DEFAULT_VOCAB,
-               spread: list[str] | None = None) -> DataFrame:
+               spread: list[str] | None = None, default: str | None = None) -> DataFrame:
     """Add the struct ``score`` to every document.
 
-    ``profiles`` has one row (variant, text) per variant. Texts are normalised
+    ``profiles`` has one row (variant, text) per variant. A document whose variant is
+    NULL or has no profile is scored against the profile of the variant ``default``, or
+    against an empty one if there is none; no document is left out. Texts are normalised
     and reduced to features before the join, so the join carries a few keywords
     instead of whole documents. Variants are few and uneven; the join is salted
     by ``spread`` so that it also holds when profiles are not broadcast.
@@ -29,7 +31,12 @@ def score_docs(docs: DataFrame, profiles: DataFrame, text: str = "text", role: s
     wanted = wanted.select(*columns, demand_features("_norm", v).alias("_d"))
     offered = profiles.select(variant, F.col("text").alias("_raw"), norm_text("text").alias("_norm"))
     offered = offered.select(variant, profile_features("_raw", "_norm", v).alias("_p"))
-    joined = lookup(wanted, offered, [variant], "inner", spread)
+    joined = lookup(wanted, offered, [variant], "left", spread)
+    blank_profile = profile_features(F.lit(""), F.lit(""), v)
+    if default is not None:
+        spare = offered.where(F.col(variant) == default).agg(F.first("_p"))
+        blank_profile = F.coalesce(spare.scalar(), blank_profile)
+    joined = joined.withColumn("_p", F.coalesce("_p", blank_profile))
     parts = joined.select(*columns, score_parts("_d", "_p", role, v).alias("_parts"))
     return parts.select(*columns, score_struct("_parts").alias("score"))
 

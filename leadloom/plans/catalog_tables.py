@@ -234,10 +234,14 @@ def _merged_companies(v: Views, **kw) -> DataFrame:
     return G.merge_companies(old, delta, ASOF, ["seq"], **kw)
 
 
+_NEXT_ID = """coalesce(min(id) FILTER (d = 0), (SELECT max(id) FROM old) + row_number() OVER (
+    PARTITION BY min(id) FILTER (d = 0) IS NULL ORDER BY {0}))"""
+
+
 def _companies_sql(text_rule: str) -> str:
     def last(c: str) -> str:
         return text_rule.format(c)
-    return with_views("v_companies", then=f", {_OLD_C} SELECT name, min(id) FILTER (d = 0) AS id, "
+    return with_views("v_companies", then=f", {_OLD_C} SELECT name, {_NEXT_ID.format('name')} AS id, "
                       f"bool_or(h1b_confirmed) AS h1b_confirmed, max(lca_count) AS lca_count, "
                       f"{last('h1b_source')} AS h1b_source, {last('domain')} AS domain, "
                       f"coalesce(min(created_at) FILTER (d = 0), {TS}) AS created_at "
@@ -261,41 +265,44 @@ def _(v):
     SELECT name, coalesce(id, (SELECT max(id) FROM k) + row_number() OVER (
       PARTITION BY id IS NULL ORDER BY name)) AS id FROM k"""))
 def _(v):
-    return fill_ids(_merged_companies(v).select("name", "id"), "id", ["name"])
+    return fill_ids(_merged_companies(v, with_ids=False).select("name", "id"), "id", ["name"])
 
 
 _SPLIT = "TIMESTAMP '1998-01-01'"
-_JOBS_SQL = with_views("v_jobs", then=f""", b AS (SELECT 0 AS d, * FROM v_jobs
+_JOBS_SQL = with_views("v_jobs", then=f""", old AS (SELECT * REPLACE (id % 100 AS ats_score,
+        CASE WHEN id % 3 = 0 THEN 'B' END AS ats_grade) FROM v_jobs
       WHERE created_at < {_SPLIT} QUALIFY row_number() OVER (PARTITION BY jd_url
-        ORDER BY created_at, id) = 1
-      UNION ALL SELECT 1, id, company, role, jd_url, source, location, description, h1b_confirmed,
-        'pending', NULL, {TS}, {TS}, ats_score, ats_grade, selected
+        ORDER BY created_at, id) = 1),
+    b AS (SELECT 0 AS d, created_at AS seen, * FROM old
+      UNION ALL SELECT 1, created_at, id, company, role, jd_url, source, location, description,
+        h1b_confirmed, 'pending', NULL, {TS}, {TS}, 0, NULL, false
       FROM v_jobs WHERE created_at >= {_SPLIT}),
-    s AS (SELECT b.*, CASE d WHEN 0 THEN b.created_at ELSE j.created_at END AS seen, b.id AS k
-      FROM b JOIN v_jobs j ON j.id = b.id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY jd_url ORDER BY d, seen, k) AS rn FROM s)
-    SELECT jd_url, min(CASE WHEN d = 0 THEN id END) AS id, arg_min(company, rn) AS company,
+    r AS (SELECT *, row_number() OVER (PARTITION BY jd_url ORDER BY d, seen, id) AS rn FROM b)
+    SELECT jd_url, {_NEXT_ID.format('jd_url')} AS id, arg_min(company, rn) AS company,
       arg_min(role, rn) AS role, arg_min(source, rn) AS source, arg_min(location, rn) AS location,
       arg_min(applied_status, rn) AS applied_status,
       max(CASE WHEN rn = 1 THEN applied_at END) AS applied_at,
       arg_min(created_at, rn) AS created_at, arg_max(updated_at, rn) AS updated_at,
       arg_max(description, rn) FILTER (description IS NOT NULL) AS description,
-      bool_or(h1b_confirmed) AS h1b_confirmed FROM r GROUP BY jd_url""")
-_MERGED = ["jd_url", "id", "company", "role", "source", "location", "applied_status", "applied_at",
-           "created_at", "updated_at", "description", "h1b_confirmed"]
+      bool_or(h1b_confirmed) AS h1b_confirmed, arg_min(ats_score, rn) AS ats_score,
+      max(CASE WHEN rn = 1 THEN ats_grade END) AS ats_grade, arg_min(selected, rn) AS selected
+    FROM r GROUP BY jd_url""")
 
 
 def _job_sides(v: Views):
+    """Old listings with scores and grades of their own, and later ones with the scraped columns."""
     cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
-    jobs = v.jobs().select(*JOB_LIST)
+    jobs = v.jobs()
     old = first_per_key(jobs.where(F.col("created_at") < cut), ["jd_url"], ["created_at", "id"])
-    return old, jobs.where(F.col("created_at") >= cut)
+    old = old.withColumns({"ats_score": (F.col("id") % 100).cast("int"),
+                           "ats_grade": F.when(F.col("id") % 3 == 0, F.lit("B"))})
+    return old, jobs.select(*JOB_LIST).where(F.col("created_at") >= cut)
 
 
 @query("upsert_jobs", _JOBS_SQL)
 def _(v):
     old, delta = _job_sides(v)
-    return G.merge_jobs(old, delta, ASOF, ["created_at", "id"]).select(*_MERGED)
+    return G.merge_jobs(old, delta, ASOF, ["created_at", "id"])
 
 
 @query("insert_ignore", with_views("v_companies", then=f""", {_OLD_C} SELECT id, name, domain FROM b
@@ -321,14 +328,16 @@ def _(v):
 
 # --- mutations ---
 
-_DELTA = """d AS (SELECT doc_id AS id, CASE quality WHEN 1 THEN 'offer' ELSE 'rejected' END AS st
-    FROM labels)"""
+_DELTA = """d AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 1 THEN 'screening'
+    WHEN quality = 1 THEN 'offer' ELSE 'rejected' END AS st FROM labels)"""
 
 
 def _decisions(v: Views) -> DataFrame:
-    return v.table("labels").select(
-        F.col("doc_id").alias("id"),
-        F.when(F.col("quality") == 1, F.lit("offer")).otherwise(F.lit("rejected")).alias("status"))
+    """Every id of the labels once as screening, the even ones then with a decision."""
+    rows = v.table("labels").select(F.col("doc_id").alias("id"), F.when(
+        F.col("quality") == 1, F.lit("offer")).otherwise(F.lit("rejected")).alias("status"))
+    first = rows.select("id", F.lit("screening").alias("status"), F.lit(0).alias("seq"))
+    return first.unionByName(rows.where("id % 2 = 0").withColumn("seq", F.lit(1)))
 
 
 @query("status_transition", with_views("v_jobs", then=f""", {_DELTA} SELECT j.id,
@@ -337,7 +346,7 @@ def _decisions(v: Views) -> DataFrame:
        CASE WHEN st IS NULL THEN updated_at ELSE {TS} END AS updated_at
        FROM v_jobs j LEFT JOIN d ON d.id = j.id"""))
 def _(v):
-    return M.status_transition(v.jobs(), _decisions(v), ASOF).select(
+    return M.status_transition(v.jobs(), _decisions(v), ASOF, ["seq"]).select(
         "id", "applied_status", "applied_at", "updated_at")
 
 
@@ -347,7 +356,7 @@ def _(v):
        CASE WHEN due.id IS NULL THEN sent_at ELSE {TS} END AS sent_at
        FROM v_outreach o LEFT JOIN due ON due.id = o.id"""))
 def _(v):
-    due = O.sendable_drafts(v.outreach(), v.contacts(), v.jobs(), False).select("id").distinct()
+    due = O.sendable_drafts(v.outreach(), v.contacts(), v.jobs(), False).select("id")
     return M.mark_sent(v.outreach(), due, ASOF).select("id", "subject", "body", "status", "sent_at")
 
 
@@ -510,15 +519,27 @@ _META = f"""m AS (SELECT id AS job_id, company, role, applied_status,
 @query("metadata_patch", with_views("v_jobs", then=f""", {_META}, {_DELTA} SELECT job_id, company, folder,
     created_at, coalesce(st, applied_status) AS applied_status,
     CASE WHEN st = 'offer' THEN 'board' END AS ats,
-    CASE WHEN st IS NOT NULL THEN '2002-01-02T00:00:00' END AS updated_at
+    CASE WHEN st IS NOT NULL THEN '2002-01-02T00:00:00' END AS updated_at,
+    CASE WHEN st IS NOT NULL THEN 1 - d.id % 2 END AS round
     FROM m LEFT JOIN d ON d.id = m.job_id"""))
 def _(v):
     delta = _decisions(v).select(
-        F.col("id").alias("job_id"), F.col("status").alias("applied_status"),
-        F.when(F.col("status") == "offer", F.lit("board")).alias("ats"))
-    out = K.metadata_patch(K.metadata_rows(v.jobs(), ASOF), delta, "2002-01-02 00:00:00")
+        F.col("id").alias("job_id"), F.col("status").alias("applied_status"), "seq",
+        F.when(F.col("status") == "offer", F.lit("board")).alias("ats"),
+        F.col("seq").alias("round"))
+    out = K.metadata_patch(K.metadata_rows(v.jobs(), ASOF), delta, "2002-01-02 00:00:00", seq=["seq"])
     return out.select("job_id", "company", "folder", "created_at", "applied_status", "ats",
-                      "updated_at")
+                      "updated_at", "round")
+
+
+@query("metadata_patch_nulls", with_views("v_jobs", then=f""", {_META}, {_DELTA} SELECT job_id, folder,
+    CASE WHEN st IS NULL THEN company WHEN st = 'offer' THEN st END AS company
+    FROM m LEFT JOIN d ON d.id = m.job_id"""))
+def _(v):
+    delta = _decisions(v).select(F.col("id").alias("job_id"), "seq",
+                                 F.when(F.col("status") == "offer", "offer").alias("company"))
+    out = K.metadata_patch(K.metadata_rows(v.jobs(), ASOF), delta, ASOF, seq=["seq"], nulls=True)
+    return out.select("job_id", "folder", "company")
 
 
 @query("metadata_status_counts", with_views("v_jobs", then="""SELECT applied_status AS status,
@@ -673,7 +694,7 @@ def _(v):
     arriving = StreamViews(v.spark, v.base).jobs().select(*JOB_LIST).where(F.col("created_at") >= cut)
     S.stream_ingest(arriving, log_dir, checkpoint, ASOF).awaitTermination()
     old, _ = _job_sides(v)
-    return S.ingested_jobs(old, log_dir, ASOF, ["created_at", "id"]).select(*_MERGED)
+    return S.ingested_jobs(old, log_dir, ASOF, ["created_at", "id"])
 
 
 @query("release_followups", with_views("v_outreach", "v_jobs", "v_contacts", then=f"""SELECT o.id,

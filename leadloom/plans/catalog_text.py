@@ -16,7 +16,7 @@ from leadloom.plans import flows
 from leadloom.plans.catalog_tables import SENDER, sql_email_prompt
 from leadloom.plans.registry import query
 from leadloom.plans.views import Views, q, sql_first_match, sql_list, with_views
-from leadloom.schemas import JOBS_BASE
+from leadloom.schemas import JOBS
 from leadloom.sources.pages import CardSpec, Field, TagField, extract_cards, \
     extract_nested_cards, extract_table_rows, extract_text, listings_full, listings_title_only
 from leadloom.sources.tables import union_sources
@@ -112,8 +112,9 @@ def _(v):
        + """ SELECT j.id, coalesce(s.score, 0) AS ats_score, s.grade AS ats_grade
        FROM v_jobs j LEFT JOIN s ON s.id = j.id"""))
 def _(v):
-    scores = scored(v, TEST_VOCAB).select("id", "score.score", "score.grade")
-    return score_writeback(v.jobs(), scores).select("id", "ats_score", "ats_grade")
+    scores = scored(v, TEST_VOCAB).select("id", "score.score", "score.grade", F.lit(1).alias("seq"))
+    earlier = scores.select("id", F.lit(1).alias("score"), F.lit("F").alias("grade"), F.lit(0).alias("seq"))
+    return score_writeback(v.jobs(), earlier.unionByName(scores), ["seq"]).select("id", "ats_score", "ats_grade")
 
 
 @query("topk_scored", _scored_sql(DEFAULT_VOCAB, """, t AS (SELECT *, row_number() OVER (
@@ -134,10 +135,13 @@ _PENDING = f"""pj AS (SELECT id, company, role,
       ELSE description END AS text FROM v_jobs WHERE applied_status = 'pending' AND h1b_confirmed)"""
 
 
-@query("score_pending", with_views("v_jobs", "v_role_profiles", then=f", {_PENDING},"
-       + sql_scored(DEFAULT_VOCAB, "pj", "v_role_profiles") + " " + _FLAT))
+@query("score_pending", with_views("v_jobs", "v_role_profiles", then=f""", {_PENDING},
+       rp AS (SELECT * FROM v_role_profiles WHERE variant <> 'sql'),
+       pk AS (SELECT * REPLACE (CASE WHEN variant IN (SELECT variant FROM rp) THEN variant
+         ELSE 'data' END AS variant) FROM pj),""" + sql_scored(DEFAULT_VOCAB, "pk", "rp") + " " + _FLAT))
 def _(v):
-    return flat_scores(flows.score_pending(v.jobs(), v.role_profiles()), "id")
+    profiles = v.role_profiles().where("variant <> 'sql'")
+    return flat_scores(flows.score_pending(v.jobs(), profiles), "id")
 
 
 @query("prompt_flow", with_views("v_jobs", "v_docs", "v_job_contacts", "v_role_profiles", then=f"""
@@ -246,20 +250,21 @@ def _(v):
     return both.select("page_id", "role", "company", "location", "jd_url", "source")
 
 
-@query("ingest_flow", """SELECT 'https://b.example/j/' || o_orderkey AS jd_url,
+@query("ingest_flow", """SELECT *, row_number() OVER (ORDER BY jd_url) AS id, 0 AS ats_score, false AS selected
+    FROM (SELECT 'https://b.example/j/' || o_orderkey AS jd_url,
     'Role' || o_orderpriority AS role, 'Firm & ' || o_orderkey AS company, 'board_a' AS source,
     false AS h1b_confirmed, 'pending' AS applied_status, '' AS description FROM orders UNION ALL
     SELECT 'https://v.example/view?jk=' || o_orderkey, o_orderpriority, '', 'board_b', true, 'pending',
-    '' FROM orders WHERE o_orderkey % 2 = 0""")
+    '' FROM orders WHERE o_orderkey % 2 = 0) t""")
 def _(v):
     pages = _board_pages(v)
     merged = flows.ingest(
-        v.spark.createDataFrame([], JOBS_BASE),
+        v.spark.createDataFrame([], JOBS),
         [listings_full(pages, "board_a"),
          listings_title_only(pages, "board_b", "https://v.example/view?jk=")],
         v.sponsors_in_texts(), "2024-01-01 00:00:00", ["source", "page_id", "pos"])
     return merged.select("jd_url", "role", "company", "source", "h1b_confirmed", "applied_status",
-                         "description")
+                         "description", "id", "ats_score", "selected")
 
 
 def _linked_pages(v: Views) -> DataFrame:

@@ -30,12 +30,12 @@ def ingest(old: DataFrame, listings: list[DataFrame], sponsors: DataFrame,
     return merge_jobs(old, linked, asof, seq)
 
 
-def score_pending(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Score the pending sponsor listings against the profile of their role."""
+def score_pending(jobs: DataFrame, profiles: DataFrame, default: str = "data") -> DataFrame:
+    """Score the pending sponsor listings against the profile of their role, else the default's."""
     docs = pending_jobs(jobs).select(
         "id", "company", "role", classify_role("role").alias("variant"),
         default_text("description", "role", "company").alias("text"))
-    return score_docs(docs, profiles, spread=["id"])
+    return score_docs(docs, profiles, spread=["id"], default=default)
 
 
 def prompts(jobs: DataFrame, docs: DataFrame, contacts: DataFrame, profiles: DataFrame,

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.classify import classify_title
 from leadloom.operators.ranking import latest_per_key
-from leadloom.session import widen
 
 TITLES = ("Senior Recruiter", "Director of Data", "Staff Engineer", "Gardener",
           "VP Engineering", "Talent Acquisition Lead", "Chris, Designer")
@@ -43,10 +42,10 @@ class Views:
         return self.spark.read.parquet(f"{self.base}/{name}.parquet")
 
     def documents(self) -> DataFrame:
-        return widen(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     def pages(self) -> DataFrame:
-        return widen(self.table("pages"), "page_id")
+        return self.table("pages")
 
     def jobs(self) -> DataFrame:
         status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")

@@ -63,18 +63,6 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer splits than there are task slots.
-
-    Text work is bound by the processor, and a table of a few files would use a
-    few cores. A scan that has splits enough is returned as it is.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, key)
-
-
 def instant(value: dt.datetime | str, dtype: T.DataType | None = None) -> Column:
     """A timestamp literal of the wanted type, so a filter on it is pushed down."""
     name = "timestamp_ntz" if isinstance(dtype, T.TimestampNTZType) else "timestamp"

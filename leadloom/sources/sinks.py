@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadloom import schemas, vocab
 from leadloom.functions.render import draft_content, draft_file_name
 from leadloom.functions.text import blank, safe_name, yes_no
+from leadloom.operators.mutate import last_per_key
 from leadloom.session import parse_instant
 
 
@@ -52,21 +53,30 @@ def metadata_rows(jobs: DataFrame, asof: dt.datetime | str) -> DataFrame:
     return rows.withColumns(missing).select(*schemas.METADATA.names)
 
 
-def metadata_patch(meta: DataFrame, delta: DataFrame, asof: dt.datetime | str,
-                   key: str = "job_id") -> DataFrame:
-    """Overlay the fields of ``delta`` (one row per key) on existing records.
+def metadata_patch(meta: DataFrame, delta: DataFrame, asof: dt.datetime | str, key: str = "job_id",
+                   seq: list[str] | None = None, nulls: bool = False) -> DataFrame:
+    """Overlay the fields of ``delta`` on existing records; the last row per key by ``seq`` wins.
 
-    A patch for a record that does not exist is ignored. A field the delta sets
-    to NULL keeps its old value.
+    A patch for a record that does not exist is ignored, a field the records lack is
+    added. A field the delta sets to NULL keeps its old value, or with ``nulls`` becomes NULL.
     """
-    fields = [c for c in delta.columns if c != key]
-    marked = delta.select(key, F.lit(True).alias("_hit"),
-                          *[F.col(c).alias(f"_new_{c}") for c in fields])
+    fields = [c for c in delta.columns if c != key and c not in (seq or [])]
+    marked = last_per_key(delta, key, fields, seq).select(
+        key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in fields])
     joined = meta.join(marked, key, "left")
     stamp = F.lit(parse_instant(asof).isoformat())
-    updates = {c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in fields}
-    updates["updated_at"] = F.when(F.col("_hit"), stamp).otherwise(F.col("updated_at"))
-    return joined.withColumns(updates).select(*meta.columns)
+
+    def patched(c: str):
+        old = F.col(c) if c in meta.columns else F.lit(None)
+        if nulls:
+            return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(old)
+        return F.coalesce(F.col(f"_new_{c}"), old)
+
+    updates = {c: patched(c) for c in fields}
+    updates["updated_at"] = F.when(F.col("_hit"), stamp).otherwise(
+        F.col("updated_at") if "updated_at" in meta.columns else F.lit(None))
+    added = [c for c in updates if c not in meta.columns]
+    return joined.withColumns(updates).select(*meta.columns, *added)
 
 
 def write_metadata(meta: DataFrame, path: str) -> None:

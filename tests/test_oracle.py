@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry_module
 from compare import diff, oracle
 
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+from leadloom.plans.catalog import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +15,8 @@ def con(data_dir):
 
 def test_every_query_has_an_oracle():
     assert sorted(QUERIES) == sorted(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
