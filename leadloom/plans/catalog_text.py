@@ -201,19 +201,21 @@ def _(v):
 @query("extract_text", f"""SELECT page_id, {sql_markup(
     "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)", 'chr(10)')} AS text FROM pages""")
 def _(v):
-    return extract_text(v.pages())
+    return extract_text(v.pages(), "article")
 
 
 def _customer_pages(v: Views) -> DataFrame:
     key = F.col("c_custkey").cast("string")
-    row = F.concat(F.lit('<tr class="r"><td><a href="/firm/'), key, F.lit('?x=1">'), F.col("c_name"),
-                   F.lit("</a></td><td>"), F.format_number(F.abs("c_acctbal").cast("bigint"), 0),
+    row = F.concat(F.lit('<tr class="r"><td><div><a title="t" href="/firm/'), key, F.lit('?x=1">'), F.col("c_name"),
+                   F.lit(" &amp; Caf&eacute; <i>&#8217;</i></a></div></td><td>"),
+                   F.format_number(F.abs("c_acctbal").cast("bigint"), 0),
                    F.lit(" filings</td><td>x</td></tr><tr><td>short</td></tr>"))
     return v.table("customer").select(F.col("c_custkey").alias("page_id"), F.concat(
-        F.lit("<table class='tbl'><tr><th>Name</th></tr>"), row, F.lit("</table>")).alias("html"))
+        F.lit("<table><tr><td><a href='/no'>no</a></td><td>1</td><td>2</td></tr></table>"
+              "<table id='t' class='wide tbl'><tr><th>Name</th></tr>"), row, F.lit("</table>")).alias("html"))
 
 
-@query("extract_table_rows", """SELECT c_custkey AS page_id, 1 AS pos, c_name AS name,
+@query("extract_table_rows", """SELECT c_custkey AS page_id, 1 AS pos, c_name || ' & Café’' AS name,
     CAST(trunc(abs(c_acctbal)) AS BIGINT) AS lca_count,
     'https://sponsors.example.com/firm/' || c_custkey || '?x=1' AS company_url, '' AS domain
     FROM customer""")
@@ -225,15 +227,15 @@ def _board_pages(v: Views) -> DataFrame:
     """One page per order with a full card, a card without a link and a title-only card."""
     key, name = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
     full = F.concat(
-        F.lit('<div class="base-card x"><h3 class="card__title"> Role <b>'), name,
-        F.lit('</b></h3><h4 class="card__subtitle"> <a href="#">Firm &amp; '), key,
-        F.lit('</a></h4><span class="card__location">Town</span>'
-              '<a class="card__full-link" href="https://b.example/j/'), key, F.lit('?ref=1">x</a></div>'))
-    broken = F.lit('<div class="base-card"><h3 class="card__title">No link</h3></div>')
+        F.lit('<div data-x="1" class="base-card x"><div class="in"><h3 class="base-search-card__title"> Role <b>'),
+        name, F.lit('</b></h3></div><h4 class="base-search-card__subtitle"> <a href="#">Firm &amp; '), key,
+        F.lit('</a></h4><div><span class="job-search-card__location">Town</span></div>'
+              '<a href="https://b.example/j/'), key, F.lit('?ref=1" class="base-card__full-link">x</a></div>'))
+    broken = F.lit('<div class="base-card"><h3 class="base-search-card__title">No link</h3></div>')
     item = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(' data-jk="'), key, F.lit('"'))) \
         .otherwise(F.lit(""))
-    title = F.concat(F.lit('<article class="job"><h2 class="jobTitle"><a'), item, F.lit(">"), name,
-                     F.lit("</a></h2></article>"))
+    title = F.concat(F.lit('<div class="job_seen_beacon"><div><h2 class="jobTitle"><a'), item, F.lit(">"), name,
+                     F.lit('</a></h2></div><div class="companyLocation">At <b>sea</b></div></div>'))
     return v.table("orders").select(F.col("o_orderkey").alias("page_id"),
                                     F.concat(full, broken, title).alias("html"))
 
@@ -241,7 +243,7 @@ def _board_pages(v: Views) -> DataFrame:
 @query("scrape_union", """SELECT o_orderkey AS page_id, 'Role' || o_orderpriority AS role,
     'Firm & ' || o_orderkey AS company, 'Town' AS location,
     'https://b.example/j/' || o_orderkey AS jd_url, 'board_a' AS source FROM orders UNION ALL
-    SELECT o_orderkey, o_orderpriority, '', '', CASE WHEN o_orderkey % 2 = 0
+    SELECT o_orderkey, o_orderpriority, '', 'Atsea', CASE WHEN o_orderkey % 2 = 0
     THEN 'https://v.example/view?jk=' || o_orderkey ELSE '' END, 'board_b' FROM orders""")
 def _(v):
     pages = _board_pages(v)

@@ -1,6 +1,8 @@
 """Records from stored web pages.
 
-Flat markup is cut with regular expressions inside the JVM. Nested markup goes
+Markup known to be flat can be cut with regular expressions inside the JVM
+(:func:`extract_cards`, which decodes the six entities of ``ENTITIES``). Listings, the
+sponsor table and main text, whose markup nests, go
 through ``mapInPandas`` with the standard library's HTML parser: one Arrow batch
 of pages in, rows out, no grouping and no shuffle.
 """
@@ -18,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import blank, col, digits_to_int, strip_ws, url_canonical, \
+from leadloom.functions.text import col, digits_to_int, strip_ws, url_canonical, \
     url_join, view_url
 
 # The parser travels with the task, so workers need not have this package.
@@ -76,65 +78,26 @@ def extract_cards(pages: DataFrame, spec: CardSpec, html: str = "html",
     return cards.select(*keep, "pos", *values)
 
 
-# The three listing layouts.
-TABLE_ROWS = r"(?s)<tr[^>]*>(.*?)</tr>"
-TABLE_CELLS = r"(?s)<td[^>]*>(.*?)</td>"
+# --- markup whose containers nest: a tree of open elements ---
 
-
-def extract_table_rows(pages: DataFrame, base_url: str, html: str = "html",
-                       keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Sponsor rows: skip the header, need three cells and a link in the first."""
-    rows = pages.select(*keep, F.posexplode(
-        F.regexp_extract_all(F.col(html), F.lit(TABLE_ROWS), F.lit(1))).alias("pos", "_row"))
-    cells = rows.where(F.col("pos") >= 1).select(
-        *keep, "pos", F.regexp_extract_all("_row", F.lit(TABLE_CELLS), F.lit(1)).alias("_cells"))
-    first = F.get("_cells", F.lit(0))
-    linked = cells.where((F.size("_cells") >= 3) & first.rlike(r"<a[\s>]"))
-    href = F.regexp_extract(first, r"(?s)<a\s[^>]*?href=\"([^\"]*)\"", 1)
-    return linked.select(
-        *keep, "pos", markup_text(F.regexp_extract(first, r"(?s)<a[^>]*>(.*?)</a>", 1)).alias("name"),
-        digits_to_int(markup_text(F.get("_cells", F.lit(1)))).alias("lca_count"),
-        url_join(base_url, href).alias("company_url"), F.lit("").alias("domain"))
-
-
-CARD_FULL = CardSpec(
-    r"(?s)<div class=\"base-card[^\"]*\">(.*?)</div>",
-    (Field("role", r"(?s)<h3 class=\"[^\"]*title\">(.*?)</h3>", True),
-     Field("company", r"(?s)<h4 class=\"[^\"]*subtitle\">\s*<a[^>]*>(.*?)</a>", True),
-     Field("location", r"(?s)<span class=\"[^\"]*location\">(.*?)</span>"),
-     Field("jd_url", r"(?s)<a class=\"[^\"]*full-link\"[^>]*?href=\"([^\"]*)\"", True, False)))
-
-CARD_TITLE_ONLY = CardSpec(
-    r"(?s)<article class=\"job[^\"]*\">(.*?)</article>",
-    (Field("role", r"(?s)<h2 class=\"jobTitle\">\s*<a[^>]*>(.*?)</a>", True),
-     Field("company", r"(?s)<span class=\"companyName\">(.*?)</span>"),
-     Field("location", r"(?s)<span class=\"companyLocation\">(.*?)</span>"),
-     Field("item", r"(?s)<h2 class=\"jobTitle\">\s*<a[^>]*?(?:data-jk|id)=\"([^\"]*)\"", False, False)))
-
-
-def listings_full(pages: DataFrame, source: str, spec: CardSpec = CARD_FULL,
-                  keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Listings that need title, company and link; the link is cut at ``?``."""
-    cards = extract_cards(pages, spec, keep=keep)
-    return cards.select(*keep, "pos", "role", "company", "location",
-                        url_canonical("jd_url").alias("jd_url"),
-                        F.lit(source).alias("source"), F.lit("").alias("description"))
+VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-def listings_title_only(pages: DataFrame, source: str, view_prefix: str,
-                        spec: CardSpec = CARD_TITLE_ONLY,
-                        keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Listings that need only a title; the link is built from the item id."""
-    cards = extract_cards(pages, spec, keep=keep)
-    return cards.select(*keep, "pos", "role", "company", "location",
-                        view_url(view_prefix, "item").alias("jd_url"),
-                        F.lit(source).alias("source"), F.lit("").alias("description"))
+@dataclass(frozen=True)
+class Pick:
+    """A field of a card: the first element that fits ``css`` inside it.
 
+    ``css`` is a path of ``tag``, ``tag.class`` or ``tag[k]`` (the k-th such tag of the card),
+    each below the one before. The value is the first of ``attrs`` that the element has and
+    that is not empty, else, without ``attrs``, its text; ``count`` gives the number of fitting
+    elements instead.
+    """
 
-def extract_text(pages: DataFrame, block: str = r"(?s)<article>(.*?)</article>",
-                 html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Text of the first matching block, one piece per line; '' if there is none."""
-    return pages.select(*keep, markup_text(F.regexp_extract(html, block, 1), "\n").alias("text"))
+    name: str
+    css: str
+    attrs: tuple[str, ...] = ()
+    required: bool = False
+    count: bool = False
 
 
 @dataclass(frozen=True)
@@ -148,83 +111,213 @@ class TagField:
     required: bool = False
     parent: str = ""
 
+    def pick(self) -> Pick:
+        css = f"{self.tag}.{self.cls}" if self.cls else self.tag
+        return Pick(self.name, f"{self.parent} {css}".strip(), (self.attr,) if self.attr else (), self.required)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Container path and the fields in it."""
+
+    container: str
+    fields: tuple[Pick, ...]
+
+
+def _path(css: str) -> list[tuple[str, str, int | None]]:
+    """(tag, class or '', place or None) per step."""
+    steps = []
+    for part in css.split():
+        name, _, place = part.rstrip("]").partition("[")
+        tag, _, cls = name.partition(".")
+        steps.append((tag, cls, int(place) if place else None))
+    return steps
 
-VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
+class _Open:
+    """An open element: its tag and classes, the cards it opens, and its place in each card."""
 
-class _CardParser(HTMLParser):
-    """Collects, per container element, the first element for every field."""
+    def __init__(self, tag: str, classes: list[str]):
+        self.tag, self.classes = tag, classes
+        self.cards: list[int] = []
+        self.places: dict[int, int] = {}
+        self.texts: list[list[str]] = []
 
-    def __init__(self, tag: str, cls: str, fields: tuple[TagField, ...]):
+    def fits(self, step: tuple[str, str, int | None], card: int | None) -> bool:
+        tag, cls, place = step
+        return (tag == self.tag and (not cls or cls in self.classes)
+                and (place is None or self.places.get(card) == place))
+
+
+class _LayoutParser(HTMLParser):
+    """Collects, per container, the first element for every field."""
+
+    def __init__(self, layout: Layout):
         super().__init__(convert_charrefs=True)
-        self.tag, self.cls, self.fields = tag, cls, fields
+        self.container = _path(layout.container)
+        self.fields = [(f, _path(f.css)) for f in layout.fields]
         self.cards: list[dict] = []
-        self.stack: list[tuple[str, list[int], list[str]]] = []
-
-    def _is(self, tag: str, cls: str, want_tag: str, want_cls: str) -> bool:
-        return tag == want_tag and (not want_cls or want_cls in cls.split())
+        self.seen: list[dict[str, int]] = []
+        self.stack: list[_Open] = []
+
+    def _match(self, element: _Open, path, card: int | None) -> bool:
+        """The last step fits ``element``, the earlier ones fit elements around it, in order."""
+        if not element.fits(path[-1], card):
+            return False
+        left = list(path[:-1])
+        for around in reversed(self.stack):
+            if left and around.fits(left[-1], card):
+                left.pop()
+        return not left
 
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
-        cls = found.get("class") or ""
-        opened: list[int] = []
-        names: list[str] = []
-        if self._is(tag, cls, self.tag, self.cls):
+        element = _Open(tag, (found.get("class") or "").split())
+        for card in [i for e in self.stack for i in e.cards]:
+            element.places[card] = self.seen[card].get(tag, 0)
+            self.seen[card][tag] = element.places[card] + 1
+            for f, path in self.fields:
+                if not self._match(element, path, card):
+                    continue
+                values = self.cards[card]
+                if f.count:
+                    values[f.name] = values.get(f.name, 0) + 1
+                elif f.name not in values and f.attrs:
+                    values[f.name] = next((found[a] for a in f.attrs if found.get(a)), "")
+                elif f.name not in values:
+                    values[f.name] = pieces = []
+                    element.texts.append(pieces)
+        if self._match(element, self.container, None):
+            element.cards.append(len(self.cards))
             self.cards.append({})
-            opened.append(len(self.cards) - 1)
-        # an element belongs to every open container around it
-        inside = [i for _, o, _ in self.stack for i in o]
-        for f in self.fields:
-            if inside and self._is(tag, cls, f.tag, f.cls) and (
-                    not f.parent or any(t == f.parent for t, _, _ in self.stack)):
-                fresh = [i for i in inside if f.name not in self.cards[i]]
-                for i in fresh:
-                    self.cards[i][f.name] = (found.get(f.attr) or "") if f.attr else []
-                if fresh and not f.attr:
-                    names.extend(f"{i}:{f.name}" for i in fresh)
+            self.seen.append({})
         if tag not in VOID_TAGS:
-            self.stack.append((tag, opened, names))
+            self.stack.append(element)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
+            if self.stack[depth].tag == tag:
                 del self.stack[depth:]
                 return
 
     def handle_data(self, data):
         piece = data.strip()
         if piece:
-            for _, _, names in self.stack:
-                for key in names:
-                    i, name = key.split(":", 1)
-                    self.cards[int(i)][name].append(piece)
+            for element in self.stack:
+                for pieces in element.texts:
+                    pieces.append(piece)
 
 
-def extract_nested_cards(pages: DataFrame, tag: str, cls: str, fields: tuple[TagField, ...],
-                         html: str = "html", key: str = "page_id") -> DataFrame:
-    """Like :func:`extract_cards` for markup whose containers nest."""
-    names = [f.name for f in fields]
-    required = [f.name for f in fields if f.required]
+def extract_layout(pages: DataFrame, layout: Layout, html: str = "html",
+                   keep: tuple[str, ...] = ("page_id",), sep: str = "") -> DataFrame:
+    """One row per container: ``keep``, its number on the page and the fields as text.
+
+    Nesting, attribute order and all character references are handled. A container
+    without a required field is dropped; a missing optional field is ''.
+    """
+    names = [f.name for f in layout.fields]
+    required = [f.name for f in layout.fields if f.required]
 
-    def cards_of(text: str):
-        parser = _CardParser(tag, cls, fields)
+    def cards_of(text: str | None):
+        parser = _LayoutParser(layout)
         parser.feed(text or "")
         parser.close()
         for pos, card in enumerate(parser.cards):
             if all(name in card for name in required):
                 values = [card.get(n, "") for n in names]
-                yield [pos, *("".join(v) if isinstance(v, list) else v for v in values)]
+                yield [pos, *(sep.join(v) if isinstance(v, list) else str(v) for v in values)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [[page, *card] for page, text in zip(batch[key], batch[html])
+            held = batch[list(keep)].itertuples(index=False, name=None)
+            rows = [[*row, *card] for row, text in zip(held, batch[html], strict=True)
                     for card in cards_of(text)]
-            yield pd.DataFrame(rows, columns=[key, "pos", *names])
+            yield pd.DataFrame(rows, columns=[*keep, "pos", *names])
 
-    key_type = pages.schema[key].dataType.simpleString()
-    out = ", ".join([f"{key} {key_type}", "pos int", *[f"{n} string" for n in names]])
-    return pages.select(key, html).mapInPandas(run, out)
+    kinds = [f"{k} {pages.schema[k].dataType.simpleString()}" for k in keep]
+    out = ", ".join([*kinds, "pos int", *[f"{n} string" for n in names]])
+    return pages.select(*keep, html).mapInPandas(run, out)
 
 
-def drop_empty_key(df: DataFrame, key: str) -> DataFrame:
-    return df.where(~blank(key))
+def extract_nested_cards(pages: DataFrame, tag: str, cls: str, fields: tuple[TagField, ...],
+                         html: str = "html", key: str = "page_id") -> DataFrame:
+    """Like :func:`extract_cards` for markup whose containers nest."""
+    layout = Layout(f"{tag}.{cls}" if cls else tag, tuple(f.pick() for f in fields))
+    return extract_layout(pages, layout, html, (key,))
+
+
+# The listing layouts, the sponsor table and the main text. These names must
+# equal those in the stored pages.
+LISTING_FULL = Layout("div.base-card", (
+    Pick("role", "h3.base-search-card__title", required=True),
+    Pick("company", "h4.base-search-card__subtitle a", required=True),
+    Pick("location", "span.job-search-card__location"),
+    Pick("jd_url", "a.base-card__full-link", ("href",), required=True)))
+LISTING_TITLE_ONLY = Layout("div.job_seen_beacon", (
+    Pick("role", "h2.jobTitle a", required=True),
+    Pick("company", "span.companyName"),
+    Pick("location", "div.companyLocation"),
+    Pick("item", "h2.jobTitle a", ("data-jk", "id"))))
+SPONSOR_ROW = Layout("table.tbl tr", (
+    Pick("n_cells", "td", count=True),
+    Pick("name", "td[0] a", required=True),
+    Pick("href", "td[0] a", ("href",)),
+    Pick("count", "td[1]")))
+MAIN_TEXT = "div.show-more-less-html__markup"
+
+
+def extract_table_rows(pages: DataFrame, base_url: str, html: str = "html",
+                       keep: tuple[str, ...] = ("page_id",), layout: Layout = SPONSOR_ROW) -> DataFrame:
+    """Sponsor rows: skip the page's header row, need three cells and a link in the first."""
+    rows = extract_layout(pages, layout, html, keep)
+    linked = rows.where((F.col("pos") >= 1) & (F.expr("try_cast(n_cells AS int)") >= 3))
+    return linked.select(*keep, "pos", "name", digits_to_int(F.col("count")).alias("lca_count"),
+                         url_join(base_url, F.col("href")).alias("company_url"), F.lit("").alias("domain"))
+
+
+def listings_full(pages: DataFrame, source: str, layout: Layout = LISTING_FULL,
+                  keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Listings that need title, company and link; the link is cut at ``?``."""
+    cards = extract_layout(pages, layout, keep=keep)
+    return cards.select(*keep, "pos", "role", "company", "location",
+                        url_canonical("jd_url").alias("jd_url"),
+                        F.lit(source).alias("source"), F.lit("").alias("description"))
+
+
+def listings_title_only(pages: DataFrame, source: str, view_prefix: str,
+                        layout: Layout = LISTING_TITLE_ONLY,
+                        keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Listings that need only a title; the link is built from the item id."""
+    cards = extract_layout(pages, layout, keep=keep)
+    return cards.select(*keep, "pos", "role", "company", "location",
+                        view_url(view_prefix, "item").alias("jd_url"),
+                        F.lit(source).alias("source"), F.lit("").alias("description"))
+
+
+def extract_text(pages: DataFrame, block: str = MAIN_TEXT, html: str = "html",
+                 keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Text of the first block that fits ``block``, one piece per line; '' if there is none."""
+    layout = Layout(block, ())
+
+    class _Text(_LayoutParser):
+        pieces: list[str] | None = None
+
+        def handle_starttag(self, tag, attrs):
+            depth = len(self.stack)
+            super().handle_starttag(tag, attrs)
+            if self.pieces is None and self.cards and len(self.stack) > depth:
+                self.pieces = []
+                self.stack[-1].texts.append(self.pieces)
+
+    def text_of(text: str | None) -> str:
+        parser = _Text(layout)
+        parser.feed(text or "")
+        parser.close()
+        return "\n".join(parser.pieces or [])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[list(keep)].assign(text=[text_of(t) for t in batch[html]])
+
+    kinds = [f"{k} {pages.schema[k].dataType.simpleString()}" for k in keep]
+    return pages.select(*keep, html).mapInPandas(run, ", ".join([*kinds, "text string"]))

@@ -39,9 +39,16 @@ def test_nested_cards(spark):
     assert [tuple(r) for r in out.collect()] == [(0, 0, "RoleOne", "Town", "/j/1?x=2")]
 
 
+def test_text_of_nested_blocks(spark):
+    html = ('<div class="x"><div id="d" class="a show-more-less-html__markup"><div>One &eacute;</div><p>two'
+            '<div>three</div></p></div>after</div>')
+    out = G.extract_text(pages(spark, html)).collect()
+    assert [r["text"] for r in out] == ["One é\ntwo\nthree"]
+
+
 def test_text_block(spark):
     html = "<article> <h1>A</h1><p>b <i>c</i></p>\n<br></article><article>no</article>"
-    out = G.extract_text(pages(spark, html, "<p>none</p>")).orderBy("page_id").collect()
+    out = G.extract_text(pages(spark, html, "<p>none</p>"), "article").orderBy("page_id").collect()
     assert [r["text"] for r in out] == ["A\nb\nc", ""]
 
 
