@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from leadloom import vocab
+from leadloom.functions.text import WHITESPACE
 
 
 def _text(value: str) -> str:
@@ -20,6 +21,11 @@ def _removed(expr: str, parts: tuple[str, ...]) -> str:
     return expr
 
 
+def _stripped(expr: str) -> str:
+    """Without white space at either end: the same characters as in the Column form."""
+    return f"btrim({expr}, {_text(WHITESPACE)})"
+
+
 def _first_match(expr: str, classes, default: str) -> str:
     whens = " ".join(
         "WHEN " + " OR ".join(f"contains({expr}, {_text(w)})" for w in words)
@@ -38,9 +44,9 @@ def definitions() -> dict[str, tuple[str, str, str]]:
                           for p in vocab.QUANTITY_PATTERNS)
     return {
         "norm_company": ("x STRING", "STRING",
-                         f"trim({_removed('lower(x)', vocab.COMPANY_REMOVALS)})"),
+                         _stripped(_removed("lower(x)", vocab.COMPANY_REMOVALS))),
         "norm_sponsor": ("x STRING", "STRING",
-                         f"trim({_removed('lower(x)', vocab.SPONSOR_REMOVALS)})"),
+                         _stripped(_removed("lower(x)", vocab.SPONSOR_REMOVALS))),
         "domain_guess": ("x STRING", "STRING",
                          f"concat({_removed('lower(x)', vocab.DOMAIN_REMOVALS)}, '.com')"),
         "url_canonical": ("x STRING", "STRING", "substring_index(x, '?', 1)"),
@@ -51,10 +57,15 @@ def definitions() -> dict[str, tuple[str, str, str]]:
         "classify_title": ("x STRING", "STRING",
                            _first_match("coalesce(lower(x), '')", vocab.CONTACT_CLASSES, "other")),
         "classify_role": ("x STRING", "STRING",
-                          _first_match("coalesce(lower(trim(x)), '')", vocab.ROLE_VARIANTS,
+                          _first_match(f"coalesce({_stripped('lower(x)')}, '')", vocab.ROLE_VARIANTS,
                                        vocab.ROLE_DEFAULT)),
         "classify_url": ("x STRING", "STRING",
                          _first_match("coalesce(lower(x), '')", vocab.PLATFORMS, "unknown")),
+        "classify_message": ("x STRING", "STRING",
+                             _first_match("coalesce(lower(x), '')", vocab.SERVICE_ERRORS, "other")),
+        "score_advice": ("x INT", "STRING", _bands("x", vocab.ADVICE_BANDS, vocab.ADVICE_DEFAULT)),
+        "strip_space": ("x STRING", "STRING", _stripped("x")),
+        "yes_no": ("x BOOLEAN", "STRING", "IF(coalesce(x, false), 'Yes', 'No')"),
         "score_grade": ("x INT", "STRING", _bands("x", vocab.GRADE_BANDS, vocab.GRADE_DEFAULT)),
     }
 

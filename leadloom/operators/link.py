@@ -93,10 +93,12 @@ def substring_link(left: DataFrame, right: DataFrame, left_col: str, right_col:
 def tag_linked(jobs: DataFrame, sponsors: DataFrame, company: str = "company",
                name: str = "name", k: int = 4, flag: str = "h1b_confirmed",
                spread: list[str] | None = None) -> DataFrame:
-    """Set the flag on linked rows; a flag that is already set stays."""
-    linked = substring_link(jobs.withColumnRenamed(flag, "_old"), sponsors, company, name, k,
+    """Set the flag on linked rows; rows whose flag is already set are not linked again."""
+    is_set = F.coalesce(F.col(flag), F.lit(False))
+    linked = substring_link(jobs.where(~is_set).withColumnRenamed(flag, "_old"), sponsors, company, name, k,
                             removals=vocab.SPONSOR_REMOVALS, flag="_new", spread=spread)
-    return linked.withColumn(flag, F.col("_old") | F.col("_new")).select(*jobs.columns)
+    tagged = linked.withColumn(flag, F.col("_old") | F.col("_new")).select(*jobs.columns)
+    return jobs.where(is_set).unionByName(tagged)
 
 
 def sponsor_set(companies: DataFrame) -> DataFrame:

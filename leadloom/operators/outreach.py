@@ -154,19 +154,19 @@ def fallback_enrich(primary: DataFrame, fallback: DataFrame, key: str = "job_id"
     """All primary rows; for keys with fewer than ``min_rows`` of them also the
     fallback rows with an unseen ``dedup`` value, the first of each.
 
-    Row counts and first rows come from map-side combined aggregates, not from
-    windows, so no task holds all rows of a large key. Fallback rows and seen
-    values are both unique on (key, value) when they meet, and the join reuses
-    that partitioning; only the check for full keys is salted.
+    Both sides are folded once by (key, value): how often a primary row has it and the
+    first fallback row with it. Counts per key are summed from the folded rows, so no task
+    holds all rows of a large key, and primary rows pass through without a shuffle; only
+    the check for full keys is salted.
     """
     columns = primary.columns
-    full = primary.groupBy(key).agg(F.count("*").alias("_n")).where(
-        F.col("_n") >= min_rows).select(key)
-    seen = primary.select(key, dedup).distinct()
     rest = [c for c in columns if c not in (key, dedup, order)]
-    first = (fallback.groupBy(key, dedup).agg(F.min(F.struct(order, *rest)).alias("_r"))
-             .join(seen, [key, dedup], "left_anti")
-             .select(key, dedup, "_r.*").select(*columns))
+    row = F.struct(order, *rest)
+    both = primary.select(key, dedup, F.lit(1).alias("_p"), F.lit(None).alias("_r")).unionByName(
+        fallback.select(key, dedup, F.lit(0).alias("_p"), row.alias("_r")))
+    folded = both.groupBy(key, dedup).agg(F.sum("_p").alias("_p"), F.min("_r").alias("_r"))
+    full = folded.groupBy(key).agg(F.sum("_p").alias("_n")).where(F.col("_n") >= min_rows).select(key)
+    first = folded.where((F.col("_p") == 0) & F.col("_r").isNotNull()).select(key, dedup, "_r.*")
     return primary.unionByName(lookup(first, full, [key], "left_anti", [dedup]).select(*columns))
 
 

@@ -65,8 +65,8 @@ def digest_text(stats: DataFrame, digest: DataFrame, day: dt.date | str) -> Data
         (-F.unix_micros(F.col("last_at").cast("timestamp"))).alias("o"), "event", "label", "n")
     )).alias("e"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     events = F.transform("e", lambda r: F.concat(
-        F.lit("  • "), r["label"], F.lit(": "), r["n"].cast("string")))
-    shown = F.when(F.size("e") > 0, events).otherwise(F.array(F.lit("  (no activity today)")))
+        F.lit("- "), r["label"], F.lit(" x "), r["n"].cast("string")))
+    shown = F.when(F.size("e") > 0, events).otherwise(F.array(F.lit("- nothing recorded")))
     stat = stats.select(F.struct("*").alias("s"))
     row = _paired(stat, lines)
 
@@ -74,14 +74,11 @@ def digest_text(stats: DataFrame, digest: DataFrame, day: dt.date | str) -> Data
         return F.col(f"s.{name}").cast("string")
 
     head = F.array(
-        F.lit(f"*Job Hunt Digest — {label}*"), F.lit(""), F.lit("📊 *Overall Stats*"),
-        F.concat(F.lit("  • Jobs found: "), v("total_jobs"), F.lit("  |  H1B confirmed: "),
-                 v("h1b_jobs")),
-        F.concat(F.lit("  • Applied: "), v("applied"), F.lit("  |  Interviews: "),
-                 v("interviews")),
-        F.concat(F.lit("  • Emails sent: "), v("emails_sent")), F.lit(""),
-        F.concat(F.lit("📅 *Today's Activity ("), F.col("total").cast("string"),
-                 F.lit(" events)*")))
+        F.lit(f"Digest for {label}"), F.lit(""),
+        F.concat(F.lit("Listings "), v("total_jobs"), F.lit(", with sponsor "), v("h1b_jobs")),
+        F.concat(F.lit("Applications "), v("applied"), F.lit(", interviews "), v("interviews")),
+        F.concat(F.lit("Mails sent "), v("emails_sent")), F.lit(""),
+        F.concat(F.lit("Events of the day: "), F.col("total").cast("string")))
     return row.select(F.array_join(F.concat(head, shown), "\n").alias("text"))
 
 

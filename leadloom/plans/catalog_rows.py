@@ -60,7 +60,7 @@ def _(v):
 
 
 @query("fresh_events", with_views("v_log", then=f"""SELECT id, event, created_at,
-       {P.whole_days(96)} AS whole_days FROM v_log
+       4 AS whole_days FROM v_log
        WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 96 HOUR"""))
 def _(v):
     rows = P.fresh(v.log(), "created_at", 96, "2024-01-30 00:00:00")

@@ -476,12 +476,12 @@ def _(v):
 
 
 @query("digest_text", with_views("v_jobs", "v_outreach", "v_log", then=f""", f AS ({_FUNNEL}),
-    e AS ({_DIGEST}) SELECT '*Job Hunt Digest — Monday, January 15*' || chr(10) || chr(10)
-    || '📊 *Overall Stats*' || chr(10) || '  • Jobs found: ' || total_jobs || '  |  H1B confirmed: '
-    || h1b_jobs || chr(10) || '  • Applied: ' || applied || '  |  Interviews: ' || interviews
-    || chr(10) || '  • Emails sent: ' || emails_sent || chr(10) || chr(10)
-    || '📅 *Today''s Activity (' || (SELECT sum(n) FROM e) || ' events)*' || chr(10)
-    || (SELECT string_agg('  • ' || label || ': ' || n, chr(10) ORDER BY last_at DESC, event) FROM e)
+    e AS ({_DIGEST}) SELECT 'Digest for Monday, January 15' || chr(10) || chr(10)
+    || 'Listings ' || total_jobs || ', with sponsor ' || h1b_jobs || chr(10)
+    || 'Applications ' || applied || ', interviews ' || interviews || chr(10)
+    || 'Mails sent ' || emails_sent || chr(10) || chr(10)
+    || 'Events of the day: ' || (SELECT sum(n) FROM e) || chr(10)
+    || (SELECT string_agg('- ' || label || ' x ' || n, chr(10) ORDER BY last_at DESC, event) FROM e)
     AS text FROM f"""))
 def _(v):
     return A.digest_text(A.funnel_stats(v.jobs(), v.outreach()),

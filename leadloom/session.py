@@ -51,9 +51,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir()
 
 
+_scratch: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, kept until :func:`drop_scratch`."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.add(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every intermediate table of this driver; call it when results are written.
+
+    Results that were not written yet can no longer be computed after it.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    for path in sorted(_scratch):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        dropped += bool(place.getFileSystem(conf).delete(place, True))
+        _scratch.discard(path)
+    return dropped
 
 
 def freeze(df: DataFrame, name: str) -> DataFrame:

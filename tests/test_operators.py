@@ -84,8 +84,8 @@ def test_merge_companies(spark):
     cols = ("name", "id", "h1b_confirmed", "h1b_source", "lca_count", "domain")
     assert rows(G.merge_companies(old, delta, ASOF, ["seq"]), *cols) == [
         ("Acme", 1, True, "x", 9, ""), ("Kept", 2, False, "s", 3, None),
-        ("New", None, True, "y", 1, "")]
-    kept = G.merge_companies(old, delta, ASOF, ["seq"], nullif_empty=True)
+        ("New", 3, True, "y", 1, "")]
+    kept = G.merge_companies(old, delta, ASOF, ["seq"], nullif_empty=True, with_ids=False)
     assert rows(kept, "name", "domain") == [("Acme", "a.com"), ("Kept", None), ("New", "n.com")]
     filled = R.fill_ids(kept, "id", ["name"])
     assert rows(filled, "name", "id") == [("Acme", 1), ("Kept", 2), ("New", 3)]
@@ -123,7 +123,7 @@ def test_merge_jobs_equals_row_by_row(spark):
     delta = spark.createDataFrame(delta_rows, JOB)
     names = old.columns
     as_dicts = lambda rs: [dict(zip(names, r)) for r in rs]
-    out = G.merge_jobs(old, delta, ASOF, ["seq"]).withColumn(
+    out = G.merge_jobs(old, delta, ASOF, ["seq"], with_ids=False).withColumn(
         "touched", F.col("updated_at") == F.lit(ASOF).cast("timestamp"))
     got = [tuple(r) for r in out.select("jd_url", "id", "company", "role", "description",
                                         "h1b_confirmed", "touched").collect()]
@@ -257,4 +257,53 @@ def test_reports_on_empty_tables(spark):
     log = spark.createDataFrame([], "event string, created_at timestamp")
     text = A.digest_text(A.funnel_stats(jobs, outreach), A.daily_digest(log, "2024-01-15"),
                          "2024-01-15").first()["text"]
-    assert text.endswith("📅 *Today's Activity (0 events)*\n  (no activity today)")
+    assert text.endswith("Events of the day: 0\n- nothing recorded")
+
+
+def test_updates_of_one_id_apply_in_turn(spark):
+    from leadloom import schemas
+    from leadloom.operators import mutate as M
+    from leadloom.sources import sinks as K
+    jobs = spark.createDataFrame([(i, "pending", 0, None) for i in (1, 2, 3)],
+                                 "id long, applied_status string, ats_score int, ats_grade string")
+    jobs = jobs.withColumns({"applied_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")})
+    delta = spark.createDataFrame([(1, "applied", 1), (1, "failed", 2), (2, None, 3), (9, "x", 1), (None, "x", 1)],
+                                  "id long, status string, seq int")
+    out = M.status_transition(jobs, delta, "2024-01-01 00:00:00", ["seq"])
+    assert rows(out, "id", "applied_status") == [(1, "failed"), (2, "pending"), (3, "pending")]
+    scores = spark.createDataFrame([(1, 50, "D", 1), (1, 90, "A", 2)], "id long, score int, grade string, seq int")
+    assert rows(M.score_writeback(jobs, scores, ["seq"]), "id", "ats_score") == [(1, 90), (2, 0), (3, 0)]
+    meta = spark.createDataFrame([(1, "a"), (2, "b")], "job_id long, company string")
+    patch = spark.createDataFrame([(1, "z", 1, "n", 1), (1, None, 2, "m", 2), (5, "q", 1, "n", 1)],
+                                  "job_id long, company string, round int, note string, seq int")
+    kept = K.metadata_patch(meta, patch, "2024-01-01 00:00:00", seq=["seq"])
+    assert rows(kept, "job_id", "company", "round", "note") == [(1, "a", 2, "m"), (2, "b", None, None)]
+    nulled = K.metadata_patch(meta, patch, "2024-01-01 00:00:00", seq=["seq"], nulls=True)
+    assert rows(nulled, "job_id", "company") == [(1, None), (2, "b")]
+    assert schemas.JOBS.names
+
+
+def test_upserts_keep_columns_give_ids_and_refuse_null_names(spark):
+    from leadloom import schemas
+    old = spark.createDataFrame([(7, "Acme", True, None, 5, "a", None)], schemas.COMPANIES).withColumn("x", F.lit("k"))
+    delta = spark.createDataFrame([(None, None, True, "s", 1, "d", None), (None, "B", False, "s", 1, "d", None),
+                                   (None, "A", False, "s", 1, "d", None)], schemas.COMPANIES)
+    delta = delta.withColumn("seq", F.lit(1))
+    once = G.merge_companies(old, delta, "2024-01-01 00:00:00", ["seq"])
+    again = G.merge_companies(once, delta, "2024-01-02 00:00:00", ["seq"])
+    assert rows(again, "id", "name", "x") == [(7, "Acme", "k"), (8, "A", None), (9, "B", None)]
+
+
+def test_scratch_is_dropped(spark):
+    import os
+
+    from leadloom import session
+    path = session.scratch_path(spark, "dropped")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file://")
+    assert os.path.isdir(local)
+    held, session._scratch = session._scratch, {path}
+    try:
+        assert session.drop_scratch(spark) == 1 and not os.path.isdir(local)
+    finally:
+        session._scratch = held

@@ -1,6 +1,4 @@
-"""The document score: fixtures and a per-row restatement on random texts."""
-
-import random
+"""The document score: fixtures and hand-computed totals."""
 
 from pyspark.sql import functions as F
 
@@ -57,45 +55,26 @@ def test_keywords_are_substrings_and_hyphens_never_match(spark):
     assert out["m"] == ["go"] and out["g"] == ["real-time", "scikit-learn"]
 
 
-def restated(jd, profile, role, v):
-    """The same rules, one row at a time, for comparison."""
-    def norm(s):
-        return s.lower().replace("-", " ").replace("_", " ")
-    j, p = norm(jd), norm(profile)
-    asked = [k for k in v.hard if k in j]
-    have = [k for k in asked if k in p]
-    parts = {"hard_skills": min(40, int(len(have) / len(asked) * 40)) if asked else 25}
-    n = sum(w in p for w in v.soft) + sum(w in p for w in v.verbs)
-    parts["soft_skills"] = min(15, int(n * 1.5))
-    wanted = [name for name, ws in v.levels if any(w in j for w in ws)]
-    offered = [name for name, ws in v.levels if any(w in p for w in ws)]
-    parts["experience_level"] = 15 if set(wanted) & set(offered) else 5 if wanted else 10
-    wanted = [name for name, ws in v.degrees if any(w in j for w in ws)]
-    both = [name for name, ws in v.degrees if name in wanted and any(w in p for w in ws)]
-    parts["education"] = (8 if not wanted else 4 if not both
-                          else 10 if both[0] in ("master", "phd") else 7)
-    words = set(norm(role).split()) - set(v.stop_words)
-    parts["title_match"] = min(10, int(sum(w in p for w in words) / max(len(words), 1) * 10)) \
-        if role else 5
-    return parts, sorted(have)[:20], sorted(set(asked) - set(have))[:15]
-
-
-def test_equals_row_by_row_restatement(spark):
-    rng = random.Random(7)
-    pool = [w for w in DEFAULT_VOCAB.hard] + list(DEFAULT_VOCAB.soft) + list(DEFAULT_VOCAB.verbs)
-    pool += [w for _, ws in DEFAULT_VOCAB.levels + DEFAULT_VOCAB.degrees for w in ws]
-
-    def text():
-        return " ; ".join(rng.sample(pool, rng.randint(0, 60)))
-
-    rows = [(text(), text(), rng.choice(["Senior Data-Engineer and the SQL", "", "A Lead"]))
-            for _ in range(150)]
-    for row, got in zip(rows, scores(spark, rows)):
-        parts, matched, missing = restated(*row, DEFAULT_VOCAB)
-        b = got["breakdown"]
-        assert {k: b[k] for k in parts} == parts
-        assert got["matched_keywords"] == matched and got["missing_keywords"] == missing
-        assert got["score"] == min(100, sum(parts.values()) + b["quantified"])
+def test_hand_computed_totals(spark):
+    """Parts added up by hand: skills + soft + level + education + quantity + title.
+
+    The one-letter skill ``r`` is in airflow and in senior.
+    """
+    rows = [
+        # 3 of 5 skills 24, no soft word 0, no level asked 10, no degree asked 8, none 0, no role 5
+        ("kafka snowflake airflow tableau", "airflow kafka", ""),
+        # no skill asked 25, nothing else asked or offered
+        ("---", "---", ""),
+        # 1 of 2 skills 20, level asked and not offered 5, degree asked and missing 4, role words missing 0
+        ("kafka senior phd", "kafka", "Zebra Keeper"),
+        # 1 of 2 skills 20, level on both sides 15, degree on both sides 10, one of two role words 5
+        ("snowflake senior phd", "senior phd zebra", "Zebra Keeper")]
+    got = scores(spark, rows)
+    assert [g["score"] for g in got] == [47, 48, 29, 50]
+    assert [g["grade"] for g in got] == ["F", "F", "F", "D"]
+    assert got[0]["matched_keywords"] == ["airflow", "kafka", "r"]
+    assert got[0]["missing_keywords"] == ["snowflake", "tableau"]
+    assert got[3]["matched_keywords"] == ["r"] and got[3]["missing_keywords"] == ["snowflake"]
 
 
 def test_smoke_listing(spark):

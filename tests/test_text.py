@@ -141,3 +141,27 @@ def test_sql_functions_equal_columns(spark):
                     "digits_to_int('1,234 LCAs') d, classify_url('http://jobs.lever.co/a') u, "
                     "norm_text('A-b_C') n, url_canonical('a?b') c").first()
     assert tuple(row) == (6, "B", 1234, "lever", "a b c", "a")
+
+
+def test_sql_functions_equal_their_column_forms(spark):
+    from leadloom import vocab
+    from leadloom.functions import classify as C
+    from leadloom.functions import scoring as S
+    from leadloom.functions import sqlfuncs
+    from leadloom.functions import text as X
+    texts = [None, "", " ", "Acme Inc.\t", "\u00a0Foo, LLC \n", "Ltd", "Senior Data Analyst\u2003", "a?b?c", "12,5 x",
+             "45% 3x $5 50k", "https://boards.greenhouse.io/x", "Rate LIMIT exceeded", "it's \\ \"q\"", "Chris, Designer"]
+    forms = {"norm_company": X.norm_company, "norm_sponsor": lambda c: X.norm_company(c, vocab.SPONSOR_REMOVALS),
+             "domain_guess": X.domain_guess, "url_canonical": X.url_canonical, "digits_to_int": X.digits_to_int,
+             "norm_text": X.norm_text, "quantity_mentions": X.quantity_mentions, "classify_title": C.classify_title,
+             "classify_role": C.classify_role, "classify_url": C.classify_url,
+             "classify_message": C.classify_message, "strip_space": X.strip_ws}
+    numbers = {"score_grade": S.grade, "score_advice": S.advice}
+    assert {*forms, *numbers, "yes_no"} == set(sqlfuncs.register_sql_functions(spark))
+    df = spark.createDataFrame([(i, t, i * 9) for i, t in enumerate(texts)], "i int, x string, n int")
+    for source, group in (("x", forms), ("n", numbers)):
+        for name, form in group.items():
+            got = df.select("i", F.expr(f"{name}({source})").alias("a"), form(source).alias("b")).collect()
+            assert [r["a"] for r in got] == [r["b"] for r in got], name
+    flags = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    assert all(r[0] == r[1] for r in flags.select(F.expr("yes_no(b)"), X.yes_no("b")).collect())
