@@ -59,6 +59,13 @@ def test_against_all_pairs(spark, width):
     assert rows_of(neardup.near_groups(documents(spark, rows).repartition(4), width)) == brute(rows, width)
 
 
+def test_crowded_buckets_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    rows = near_copies(60, seed=8, words=60, changes=12) + [(i, prose(i, 40), "s") for i in range(10)]
+    assert rows_of(neardup.near_groups(documents(spark, rows), 2)) == brute(rows, 2)
+
+
 def test_chain_in_one_bucket(spark):
     # with two bands of one value most texts share buckets, so pairs of several components meet
     rows = near_copies(40, seed=1, words=60, changes=9) + near_copies(40, seed=1, words=66, changes=9)
