@@ -20,7 +20,7 @@ from leadloom.plans.views import Views, q, sql_first_match, with_views
 from leadloom.session import scratch_path
 from leadloom.sources import sinks as K
 from leadloom.sources.payloads import contacts_from_payload
-from leadloom.sources.tables import read_metadata_lines
+from leadloom.sources.tables import load_profile, read_metadata_lines, read_table, write_version
 from leadloom.streaming import jobs as S
 
 ASOF = "2002-01-01 00:00:00"
@@ -571,6 +571,43 @@ def _(v):
     return K.snapshot_documents(v.jobs())
 
 
+# --- what is written and read again ---
+
+@query("snapshot_round_trip", with_views("v_jobs", then="""SELECT id AS job_id, 'jd_snapshot.txt' AS
+       file_name, description AS content FROM v_jobs WHERE coalesce(description, '') <> ''"""))
+def _(v):
+    path = scratch_path(v.spark, "snapshots")
+    K.write_documents(K.snapshot_documents(v.jobs()), path)
+    return v.spark.read.schema("job_id bigint, file_name string, content string").json(path)
+
+
+@query("export_round_trip", with_views("v_jobs", then="""SELECT id, company, applied_status AS status,
+       coalesce(strftime(applied_at, '%Y-%m-%d %H:%M:%S'), '') AS applied_at FROM v_jobs"""))
+def _(v):
+    path = scratch_path(v.spark, "export")
+    K.write_export(K.export_jobs(v.jobs()), path)
+    rows = v.spark.read.option("header", True).csv(path)
+    return rows.select(F.col("id").cast("bigint").alias("id"), "company", "status",
+                       F.coalesce("applied_at", F.lit("")).alias("applied_at"))
+
+
+@query("version_round_trip", with_views("v_contacts", then="""SELECT id, company, name, title, email,
+       contact_type FROM v_contacts"""))
+def _(v):
+    base = scratch_path(v.spark, "versions")
+    write_version(v.contacts(), base, "contacts", "v1")
+    return read_table(v.spark, base, "contacts", "v1").select(
+        "id", "company", "name", "title", "email", "contact_type")
+
+
+@query("profile_files", "SELECT text || chr(10) AS profile FROM benchmark")
+def _(v):
+    path = scratch_path(v.spark, "profiles")
+    v.table("benchmark").write.partitionBy("item_id").text(path)
+    default = v.table("benchmark").limit(1).select(F.lit("none").alias("profile"))
+    return load_profile(v.spark, path, default)
+
+
 # --- rendered text ---
 
 def sql_template(template: str, slots: dict[str, str], limits: dict[str, int] | None = None) -> str:

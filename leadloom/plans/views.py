@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.classify import classify_title
-from leadloom.operators.ranking import latest_per_key
 
 TITLES = ("Senior Recruiter", "Director of Data", "Staff Engineer", "Gardener",
           "VP Engineering", "Talent Acquisition Lead", "Chris, Designer")
@@ -157,7 +156,8 @@ class Views:
         for lang, name in zip(LANGS[1:], VARIANTS[1:]):
             variant = F.when(F.col("lang") == lang, F.lit(name)).otherwise(variant)
         docs = self.documents().select(variant.alias("variant"), "doc_id", "text")
-        return latest_per_key(docs, ["variant"], ["doc_id"]).select("variant", "text")
+        last = docs.groupBy("variant").agg(F.max("doc_id").alias("doc_id"))
+        return docs.join(last, ["variant", "doc_id"], "left_semi").select("variant", "text")
 
     def texts(self) -> DataFrame:
         """Documents; the variant is the document number folded onto the profiles."""
