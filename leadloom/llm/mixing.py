@@ -6,6 +6,8 @@ A source may be served ``limit`` times over. All passes are range-sorted by virt
 cut where the words reach the budget. A source that runs dry leaves its share to the
 others by weight, because the queue then moves on faster for them.
 
+The shuffle orders documents by md5 of seed and id, so SQL engines can repeat it.
+
 Defined results: NULL sources are one source, ordered last; NULL or empty text has size 0
 and takes 0; repeated rows are documents of their own; ties in virtual time are ordered by
 source, pass and place in the source; no rows give no rows; other columns are not looked at.
@@ -65,7 +67,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = freeze(targets(cycle_weights(sizes, cycle), share, limit), "mix-targets")
     budget = int((sources.agg(F.sum("source_size")).first()[0] or 0) * share)
-    shuffled = narrow.withColumn("_shuffle", F.xxhash64(F.lit(seed), "doc_id"))
+    shuffled = narrow.withColumn("_shuffle", F.md5(F.concat(F.lit(str(seed)), F.col("doc_id").cast("string"))))
     order = [F.col("source").asc_nulls_last(), F.col("_shuffle"), F.col("doc_id"), F.col("size")]
     queued = running_totals(shuffled, order, {"_upto": "size", "_pos": F.lit(1).cast("long")}, "mix-queue")
     served = freeze(

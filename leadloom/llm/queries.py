@@ -29,7 +29,45 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@query("op1_mix_sources")
+OP1_SQL = r"""
+WITH n AS (
+  SELECT doc_id, source, md5('17' || doc_id) AS h,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents),
+s AS (
+  SELECT source, source_size, 3 * source_size::DOUBLE AS cap,
+         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM n GROUP BY source)),
+b AS (SELECT sum(source_size)::DOUBLE AS budget, sum(weight) AS weights FROM s),
+f AS (
+  SELECT *, cap / weight AS fill, sum(cap) OVER w AS caps, sum(weight) OVER w AS upto_weight
+  FROM s WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT f.*, budget, caps + fill * (weights - upto_weight) < budget AS capped FROM f, b),
+v AS (
+  SELECT (any_value(budget) - coalesce(sum(cap) FILTER (capped), 0)) / sum(weight) FILTER (NOT capped) AS level
+  FROM c),
+t AS (
+  SELECT source, source_size, weight, budget,
+         CASE WHEN capped THEN cap ELSE least(cap, weight * level) END AS target
+  FROM c, v),
+q AS (
+  SELECT n.*, t.source_size, t.weight, t.target, t.budget,
+         sum(size) OVER (PARTITION BY n.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto,
+         row_number() OVER (ORDER BY n.source NULLS LAST, h, doc_id, size) AS pos
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
+p AS (
+  SELECT pos, size, budget, pass, (pass * source_size + upto)::DOUBLE / weight AS finish
+  FROM q, (SELECT unnest([0, 1, 2]) AS pass) WHERE size > 0),
+k AS (
+  SELECT pos, budget, sum(size) OVER (ORDER BY finish, pos, pass ROWS UNBOUNDED PRECEDING) AS words FROM p),
+g AS (SELECT pos, count(*) AS copies FROM k WHERE words <= budget GROUP BY pos)
+SELECT doc_id, size, source_size, target, (coalesce(copies, 0) * size)::BIGINT AS taken, source,
+       coalesce(copies, 0) AS copies
+FROM q LEFT JOIN g USING (pos)
+"""
+
+
+@query("op1_mix_sources", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
