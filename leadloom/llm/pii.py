@@ -33,7 +33,7 @@ _FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Mademoiselle|Señora|Señorit
 _NEUTRAL = r"Dr|Prof|Mx"
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?"
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?"
              r"(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)*\.\p{L}{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}"
               r"|sk-[0-9A-Za-z\-]{20,})(?![0-9A-Za-z])",
