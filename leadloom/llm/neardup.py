@@ -93,6 +93,7 @@ def _long_lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_hash, n_shingles, two marks of the set, band keys (none without shingles)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbuf.hold("near dedup")
         for batch in batches:
             ids = batch.column(0)
             for first, end, h, begin in _shingles(batch.column(1), width):
@@ -112,6 +113,7 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, mark1, shingles: the full set of each text as sorted hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbuf.hold("near dedup")
         for batch in batches:
             ids = batch.column(0)
             for first, end, h, begin in _shingles(batch.column(1), width):
@@ -221,6 +223,7 @@ def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: in
     pairs = _blocks(left, sets, "xs").join(_blocks(right, sets, "ys"), "group").select("xs", "ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbuf.hold("near dedup")
         for batch in batches:
             for i in range(batch.num_rows):
                 xs, ys = _unpack(batch.column(0), i), _unpack(batch.column(1), i)

@@ -82,6 +82,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and one double per statistic, for every row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbuf.hold("quality")
         for batch in batches:
             for first, end, data, offsets in textbuf.chunks(batch.column(1)):
                 stats = statistics(data, offsets)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -20,6 +20,21 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: dict[str, np.ndarray] = {}
 
 
+_held: dict[str, object] = {}
+
+
+def hold(name: str, make=None):
+    """What an operator keeps in a worker process between tasks; what others kept is let go.
+
+    Workers are reused by later stages, so without this every operator's memory would add up.
+    """
+    for other in [k for k in _held if k != name]:
+        del _held[other]
+    if make is not None and name not in _held:
+        _held[name] = make()
+    return _held.get(name)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every input bit over all 64 output bits; a bijection."""
     h = h ^ (h >> np.uint64(30))

@@ -113,7 +113,7 @@ class Encoder:
     token's string or rare white space go through the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 500_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
@@ -206,14 +206,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
     """One encoder per worker process, kept between its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return textbuf.hold(f"tokens {path}", lambda: Encoder(path))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,

@@ -63,6 +63,7 @@ def fold(data: np.ndarray) -> np.ndarray:
 def language_model(docs: DataFrame) -> np.ndarray:
     """log P(letter | two letters before), counted over every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbuf.hold("toxicity")
         counts = np.zeros(SYMBOLS ** 3, dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in textbuf.chunks(batch.column(0)):
@@ -275,6 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
                    .select("text", "_label"), "toxic-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbuf.hold("toxicity")
         restore = Restorer(language)
         for batch in batches:
             y = batch.column(1).to_numpy()
@@ -317,6 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     rough = ToxicityModel(language, keys[order], told["weight"].to_numpy(dtype=float)[order], 1.0, 0.0)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbuf.hold("toxicity")
         restore = Restorer(language)
         for batch in batches:
             for first, end, data, offsets in textbuf.chunks(batch.column(0)):
@@ -335,6 +338,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "toxicity"
     kind = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbuf.hold("toxicity")
         restore = Restorer(model.language)
         for batch in batches:
             for first, end, data, offsets in textbuf.chunks(batch.column(at)):
