@@ -5,7 +5,7 @@ Used inside mapInArrow: Spark places the rows, these helpers replace a loop over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,15 +106,18 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 _powers_long: dict[str, np.ndarray] = {}
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial from prefix sums, then mixed with its length."""
-    if not len(start):
-        return np.zeros(0, dtype=np.uint64)
+def word_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """From (start, end) a 64-bit hash of each word's bytes: a polynomial from prefix sums, then
+    mixed with its length."""
     up, down = _power_table(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * _MIX1)
+    return lambda start, end: mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _MIX1)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes of :func:`word_hasher` for one list of words."""
+    return word_hasher(data)(start, end) if len(start) else np.zeros(0, dtype=np.uint64)
 
 
 def shingle_hashes(h: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
