@@ -191,20 +191,31 @@ def _cores(data: np.ndarray, start: np.ndarray, end: np.ndarray,
 
 
 def _odd_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray,
-               last: np.ndarray) -> np.ndarray:
-    """Which words have a letter and, inside or next to it, something that may hide one."""
+               last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words have a letter and something that may hide one: inside (other characters, or
+    a letter twice in a row) and at an edge (signs before it, or right behind its last letter)."""
     letter = _LETTER[data]
     letters = np.concatenate([[0], np.cumsum(letter)])
     signs = np.concatenate([[0], np.cumsum(_SIGN[data])])
-    triple = np.zeros(len(data), dtype=bool)
-    if len(data) > 2:
-        triple[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:]
-    triples = np.concatenate([[0], np.cumsum(triple)])
+    stands = np.concatenate([[0], np.cumsum(_REACH[data] & ~_CORE[data])])
+    twice = np.zeros(len(data), dtype=np.int64)  # at its last byte, how many bytes the pair has
+    for size, low, high in ((1, 0x61, 0x7A), (2, 0xC3, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF4)):
+        if len(data) >= 2 * size:
+            same = data[size:] == data[:-size]
+            run = same[:len(same) - size + 1].copy()
+            for k in range(1, size):
+                run &= same[k:len(same) - size + 1 + k]
+            head = data[:len(run)]
+            twice[2 * size - 1:] += run & (head >= low) & (head <= high)
+    pairs = np.concatenate([[0], np.cumsum(twice > 0)])
     has = letters[last] > letters[first]
     mixed = letters[last] - letters[first] < last - first
-    edge = signs[end] - signs[start] > signs[last] - signs[first]
-    drawn = triples[last] > triples[np.minimum(first + 2, last)]
-    return has & (mixed | edge | drawn) & (last - first <= 64)
+    drawn = pairs[last] > pairs[np.minimum(first + 1, last)]
+    behind = np.minimum(last, len(data) - 1)
+    touched = (last < end) & (stands[behind + 1] > stands[behind]) & letter[last - 1]
+    edge = (signs[end] - signs[start] > signs[last] - signs[first]) | (stands[first] > stands[start]) | touched
+    short = last - first <= 64
+    return has & (mixed | drawn) & short, has & edge & short
 
 
 def _gains(model: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -296,14 +307,16 @@ def features(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> Iterat
     found: dict[tuple[int, bytes], None] = {}
     spelled: dict[tuple[int, bytes], None] = {}
     docs, numbers, count = [], [], 0
-    for odd, left, right in ((_odd_words(data, start, end, first, last), start, end),):
+    inside, edge = _odd_words(data, start, end, first, last)
+    for odd, left, right in ((inside, first, last), (edge, start, end)):
         at = np.flatnonzero(odd)
         _, one, number = np.unique(hashes(left[at], right[at]), return_index=True, return_inverse=True)
         for k, i in enumerate(at[one].tolist(), count):
             piece = text[left[i]:right[i]]
             for reading in restore.readings(piece):
-                for word in (*reading.split(), reading.replace(b" ", b"")):
-                    found[k, word] = None
+                if reading != piece:
+                    for word in (*reading.split(), reading.replace(b" ", b"")):
+                        found[k, word] = None
         docs.append(doc[at])
         numbers.append(number + count)
         count += len(one)
@@ -320,10 +333,10 @@ def features(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> Iterat
     numbers.append(np.arange(count, count + len(runs)))
     count += len(runs)
     if len(pairs):
-        inside = np.zeros(len(data) + 1, dtype=np.int8)
-        np.add.at(inside, first[last > first], 1)
-        np.add.at(inside, last[last > first], -1)
-        keep = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        bounds = np.zeros(len(data) + 1, dtype=np.int8)
+        bounds[first[last > first]] += 1
+        bounds[last[last > first]] -= 1
+        keep = np.cumsum(bounds[:-1], dtype=np.int8) > 0
         to = np.concatenate([[0], np.cumsum(keep)])
         hashes, first_in, last_in = textbuf.word_hasher(data[keep]), to[first], to[last]
         yield doc[pairs], hashes(first_in[pairs], last_in[pairs + 1])

@@ -39,3 +39,8 @@ def test_spacing_is_part_of_the_lattice(model, text):
 def test_spaces_do_not_join_texts(model):
     assert marked(model, "lo", "ser", "l", "o s e r", "a b 1 2 3 4") == [0] * 5
     assert marked(model, "", "stone lo", "ser winter", "loser", "mor on") == [0, 0, 0, 1, 1]
+
+
+@pytest.mark.parametrize("text", ["mmoorroonn", "looser", "!diot", "|oser", "+rash", "(!diot)", "1d10t!", "loseer,"])
+def test_doubled_letters_and_signs_at_an_edge(model, text):
+    assert marked(model, f"river stone {text} winter", "river book, letter! +summer winter") == [1, 0]
