@@ -56,6 +56,7 @@ _CORE = _LETTER | _DIGIT
 _REACH = _CORE.copy()
 _REACH[[ord(c) for c in STANDS_FOR]] = True
 _STANDS = re.compile(b"[" + re.escape("".join(STANDS_FOR)).encode() + b"]")
+_APART = re.compile(rb"[^a-z0-9\x80-\xff" + re.escape("".join(STANDS_FOR)).encode() + rb"]")
 _RIM = re.compile(r"^[^\w@$!+|*]+|[^\w@$!+|*]+$|^([@$!+|*])\1{2,}|([@$!+|*])\2{2,}$")
 _LIKELY = _SYMBOL.copy()
 for _c, _letters in STANDS_FOR.items():
@@ -124,7 +125,7 @@ class Restorer:
 
     def _decode(self, word: bytes, left_out: float) -> bytes:
         text = _RIM.sub("", word.decode("utf-8", "replace"))
-        text = re.sub(r"([^\W\d_])\1{2,}", r"\1\1", text)
+        text = re.sub(r"(.)\1{2,}", r"\1\1", text)
         # Per state its score and a chain of back-pointers (chain before, letter).
         paths = {(EDGE, EDGE): (0.0, None)}
         done, previous = [], ""
@@ -157,8 +158,8 @@ def _options(ch: str, repeated: bool, left_out: float) -> list[tuple[str | None,
     elif ch in STANDS_FOR:
         stands = STANDS_FOR[ch]
         options = [(c, 0.7 + math.log(len(stands))) for c in stands]
-        if left_out < math.inf:
-            options.append((None, left_out))
+        if repeated or left_out < math.inf:
+            options.append((None, 1.0 if repeated else left_out))
     else:
         options = [(None, 0.7), (" ", 0.7)]
     return [(c, -1 if c is None else _code(c), cost) for c, cost in options]
@@ -214,8 +215,7 @@ def _odd_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.n
     behind = np.minimum(last, len(data) - 1)
     touched = (last < end) & (stands[behind + 1] > stands[behind]) & letter[last - 1]
     edge = (signs[end] - signs[start] > signs[last] - signs[first]) | (stands[first] > stands[start]) | touched
-    short = last - first <= 64
-    return has & (mixed | drawn) & short, has & edge & short
+    return has & (mixed | drawn), has & edge
 
 
 def _gains(model: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -315,8 +315,11 @@ def features(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> Iterat
             piece = text[left[i]:right[i]]
             for reading in restore.readings(piece):
                 if reading != piece:
-                    for word in (*reading.split(), reading.replace(b" ", b"")):
+                    whole = reading.replace(b" ", b"")
+                    for word in (*reading.split(), whole):
                         found[k, word] = None
+                    if len(whole) > 2 and len(_APART.findall(piece)) + 1 >= len(whole.decode("utf-8", "replace")):
+                        spelled[k, whole] = None
         docs.append(doc[at])
         numbers.append(number + count)
         count += len(one)

@@ -44,3 +44,16 @@ def test_spaces_do_not_join_texts(model):
 @pytest.mark.parametrize("text", ["mmoorroonn", "looser", "!diot", "|oser", "+rash", "(!diot)", "1d10t!", "loseer,"])
 def test_doubled_letters_and_signs_at_an_edge(model, text):
     assert marked(model, f"river stone {text} winter", "river book, letter! +summer winter") == [1, 0]
+
+
+@pytest.mark.parametrize("text", ["l" + "o" * 70 + "ser", "m" + "0" * 90 + "ron", "l" + "." * 100 + "oser",
+                                  ".".join("youarealoserandthatisthewinterofthegarden"), ".".join("theriver" * 9 + "moron")])
+def test_long_words_are_read(model, text):
+    assert marked(model, f"river stone {text} winter") == [1]
+
+
+def test_long_words_take_linear_time(model):
+    restore = toxicity.Restorer(model.language)
+    letters = "theriverofthegarden" * 5000
+    assert restore(letters.encode() + b"1").startswith(b"theriverof")
+    assert restore(".".join(letters).encode()).replace(b" ", b"").startswith(b"theriverof")
