@@ -5,8 +5,10 @@ and the domain of an address, the parts of a name, the digits of a number). Ever
 piece of the corpus gets one surrogate by a keyed hash: of its kind, script, length and
 format, for given names of the gender its title tells. Surrogates are then checked: one that
 another piece also got, or that is itself found in the corpus, is drawn again, until all are
-distinct, so different people stay different and mentions of one stay one. Text around
-the entities is left as it is.
+distinct, so different people stay different and mentions of one stay one. A name is found by
+its titles (one or more) and has any number of capitalised words; the same words elsewhere in
+that document get the same surrogates without a title, neighbours counted as one entity. Other
+text around the entities is left as it is.
 
 All of it is DataFrame operations. A piece with very many mentions meets its surrogate in a
 join whose other side has it once.
@@ -19,7 +21,7 @@ surrogates; an empty table gives no rows; other columns are kept out of the resu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import growing, packed
@@ -31,7 +33,8 @@ _GAP = r"[^\p{L}\p{N}]{1,8}"
 _MALE = r"Mr|Sir|Herr|Herrn|Monsieur|Señor|Sr|г-н|господин|Κύριος"
 _FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Mademoiselle|Señora|Señorita|Sra|Srta|г-жа|госпожа|Κυρία"
 _NEUTRAL = r"Dr|Prof|Mx"
-_NAME = r"\p{Lu}[\p{L}'’\-]+"
+_NAME = r"\p{Lu}(?:(?!['’]s(?![\p{L}'’\-]))[\p{L}'’\-])+"
+_TITLES = rf"(?:(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? )++"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?"
              r"(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)*\.\p{L}{2,}",
@@ -45,9 +48,10 @@ PATTERNS = {
              r"|\+[0-9]{8,15}(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<!\p{{L}}){_TITLES}{_NAME}(?: (?!{_TITLES}){_NAME})*",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_WORD = rf"(?<!\p{{L}}){_NAME}"
 
 # Given names by script and gender, and syllables for family names.
 GIVEN = {
@@ -80,7 +84,7 @@ def _script(text: str) -> str:
             f"WHEN {text} RLIKE r'\\p{{IsGreek}}' THEN 'greek' ELSE 'latin' END")
 
 
-_TITLE = rf"^((?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? )"
+_TITLE = rf"^({_TITLES})"
 
 
 def _pieces() -> str:
@@ -89,16 +93,16 @@ def _pieces() -> str:
         return f"struct({kind} AS kind, {text} AS text)"
     title = f"regexp_extract(m, r'{_TITLE}', 1)"
     names = f"split(substring(m, length({title}) + 1), ' ')"
-    gender = (f"CASE WHEN m RLIKE r'^(?:{_MALE})\\.? ' THEN 'm' "
-              f"WHEN m RLIKE r'^(?:{_FEMALE})\\.? ' THEN 'f' ELSE 'n' END")
+    gender = (f"CASE WHEN {title} RLIKE r'(?:^| )(?:{_MALE})\\.? ' THEN 'm' "
+              f"WHEN {title} RLIKE r'(?:^| )(?:{_FEMALE})\\.? ' THEN 'f' ELSE 'n' END")
     family = f"concat('family ', {_script('m')})"
     given = f"concat('given ', {gender}, ' ', {_script('m')})"
     return f"""CASE
       WHEN kind = 'email' THEN array({piece("'user'", "substring_index(m, '@', 1)")},
         {piece("CAST(NULL AS STRING)", "'@'")}, {piece("'domain'", "substring_index(m, '@', -1)")})
-      WHEN kind = 'name' AND size({names}) = 2 THEN array({piece("CAST(NULL AS STRING)", title)},
-        {piece(given, f"{names}[0]")}, {piece("CAST(NULL AS STRING)", "' '")}, {piece(family, f"{names}[1]")})
-      WHEN kind = 'name' THEN array({piece("CAST(NULL AS STRING)", title)}, {piece(family, f"{names}[0]")})
+      WHEN kind = 'name' THEN concat(array({piece("CAST(NULL AS STRING)", title)}), flatten(transform({names},
+        (w, i) -> IF(i = 0, array({piece(f"IF(size({names}) > 1, {given}, {family})", "w")}),
+        array({piece("CAST(NULL AS STRING)", "' '")}, {piece(family, "w")})))))
       ELSE array({piece("kind", "m")}) END"""
 
 
@@ -193,6 +197,26 @@ def surrogates(pieces: DataFrame, key: str) -> DataFrame:
                        .union(drawn.withColumn("surrogate", made)), "pii-surrogates")
 
 
+def _named(names: Column) -> Column:
+    """Canonical name word -> surrogate, from a document's (canon, kind, surrogate) structs."""
+    ordered = F.array_sort(F.array_distinct(F.flatten(names)))
+    return F.map_from_entries(F.transform(
+        F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["canon"] != x["canon"])),
+        lambda x: F.struct(x["canon"], x["surrogate"])))
+
+
+def _untitled(gap: Column, named: Column) -> Column:
+    """(text, n): the text between entities with the document's names replaced, and how many."""
+    words, between = F.regexp_extract_all(gap, F.lit(_WORD), F.lit(0)), F.split(gap, _WORD, -1)
+    read = F.transform(words, lambda w: F.struct(w.alias("w"), named[F.lower(w)].alias("s")))
+    new = F.transform(read, lambda r: F.when(r["s"].isNull(), r["w"]).when(
+        r["w"] == F.upper(r["w"]), F.upper(r["s"])).otherwise(F.initcap(r["s"])))
+    text = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    first = F.filter(F.transform(read, lambda r, i: r["s"].isNotNull() & ~(
+        (F.get(between, i) == " ") & F.coalesce(F.get(read, i - 1)["s"].isNotNull(), F.lit(False)))), lambda x: x)
+    return F.struct(text.alias("text"), F.size(first).alias("n"))
+
+
 def replace_personal_data(docs: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text with surrogates, number of entities in all and per kind, and ``carry``."""
     found = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.regexp_extract_all(
@@ -206,18 +230,26 @@ def replace_personal_data(docs: DataFrame, key: str, carry: tuple[str, ...] = ()
     table = surrogates(parts.where("kind IS NOT NULL").select("kind", "canon"), key)
     written = parts.join(table, ["kind", "canon"], "left").withColumn("_new", F.expr(_FORMATTED))
     entities = written.groupBy("doc_id", "_hash", "_at", "_entity").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_part", "_new"))), lambda p: p["_new"]), "").alias("_new"))
+        F.array_sort(F.collect_list(F.struct("_part", "_new"))), lambda p: p["_new"]), "").alias("_new"),
+        F.collect_list(F.when(F.col("kind").rlike("^(given|family) "), F.struct("canon", "kind", "surrogate")))
+        .alias("_names"))
     rows = entities.groupBy(F.col("doc_id").alias("_id"), F.col("_hash")).agg(
         F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_list"),
+        _named(F.collect_list("_names")).alias("_named"),
         *[F.count_if(F.col("_entity") == k).alias(f"n_{k}") for k in PATTERNS])
     rows = freeze(rows, "pii-rows")
-    around = F.split("_row.text", ANY, -1)
-    rebuilt = F.array_join(F.zip_with(around, F.concat(F.transform("_list", lambda e: e["_new"]), F.array(F.lit(""))),
+    around = F.transform(F.split("_row.text", ANY, -1), lambda g: F.when(
+        F.size("_named") > 0, _untitled(g, F.col("_named"))).otherwise(F.struct(g.alias("text"), F.lit(0).alias("n"))))
+    rebuilt = F.array_join(F.zip_with(F.transform("_around", lambda g: g["text"]), F.concat(F.transform("_list", lambda e: e["_new"]), F.array(F.lit(""))),
                                       lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     none = F.col("_list").isNull()
-    return packed(docs).join(growing(rows), F.col("_row.doc_id").eqNullSafe(F.col("_id"))
-                             & (F.xxhash64("_row.text") == F.col("_hash")), "left").select(
+    more = F.aggregate("_around", F.lit(0), lambda n, g: n + g["n"])
+    placed = packed(docs).join(growing(rows), F.col("_row.doc_id").eqNullSafe(F.col("_id"))
+                               & (F.xxhash64("_row.text") == F.col("_hash")), "left").withColumn(
+        "_around", F.when(~none, around))
+    return placed.select(
         "_row.doc_id", F.when(none, F.col("_row.text")).otherwise(rebuilt).alias("text"),
-        F.when(none, 0).otherwise(F.size("_list")).alias("n_entities"),
-        *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in PATTERNS],
+        F.when(none, 0).otherwise(F.size("_list") + more).alias("n_entities"),
+        *[F.coalesce(F.col(f"n_{k}") + more if k == "name" else F.col(f"n_{k}"), F.lit(0)).alias(f"n_{k}")
+          for k in PATTERNS],
         *[F.col(f"_row.`{c}`") for c in carry if c not in ("doc_id", "text")])

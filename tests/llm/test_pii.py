@@ -70,3 +70,20 @@ def test_messy_and_empty(spark):
     got = pii.replace_personal_data(messy(spark), "k").collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((i, t)) for i, t, _ in MESSY)
     assert pii.replace_personal_data(empty(spark), "k").collect() == []
+
+
+def test_stacked_titles_long_names_and_later_mentions(spark):
+    rows = [(1, "Prof. Dr. Anna Schmidt met Frau Dr. Berta Klein. Anna Schmidt, SCHMIDT and Schmidt's dog; Klein left.", "s"),
+            (2, "Dr. Maria Garcia Lopez spoke. Lopez and Garcia agree, Haus Lopezia too.", "s"),
+            (3, "Schmidt without a title, Lopez as well", "s"), (None, "Mr Paul Ivers Dr Ivers: Ivers", "s")]
+    got = {r.doc_id: r for r in replaced(spark, rows)}
+    one = re.fullmatch(r"Prof\. Dr\. (\w+) (\w+) met Frau Dr\. (\w+) (\w+)\. (\w+) (\w+), (\w+) and (\w+)'s dog; (\w+) left\.",
+                       got[1].text).groups()
+    assert one[0] == one[4] and one[1] == one[5] == one[7] == one[6].capitalize() and one[6].isupper() and one[3] == one[8]
+    assert not set(one) & {"Anna", "Schmidt", "Berta", "Klein", "Dr"} and (got[1].n_name, got[1].n_entities) == (6, 6)
+    assert one[2] in pii.GIVEN["latin", "f"].split()
+    two = re.fullmatch(r"Dr\. (\w+) (\w+) (\w+) spoke\. (\w+) and (\w+) agree, Haus Lopezia too\.", got[2].text).groups()
+    assert two[1:3] == two[4:2:-1] and not set(two) & {"Maria", "Garcia", "Lopez"} and got[2].n_name == 3
+    assert got[3].text == rows[2][1] and got[3].n_entities == 0
+    four = re.fullmatch(r"Mr (\w+) (\w+) Dr (\w+): (\w+)", got[None].text).groups()
+    assert four[1] == four[2] == four[3] != "Ivers" and got[None].n_name == 3
