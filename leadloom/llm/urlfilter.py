@@ -4,7 +4,8 @@ Rules name a host (with its subdomains) and a path prefix; the longest that fits
 Other pages get the verdict of their host: trust flows from hosts with allowed pages along
 host edges, distrust from hosts with blocked pages against them (a host that leads to
 bad ones is suspect), both as personalised PageRank; a host is blocked where its distrust
-is at least ``threshold`` of the two. Edges are host names found in a page's markup
+is at least ``threshold`` of the two. Rounds go on until the changes of a round sum up to
+less than ``TOLERANCE`` and no host was reached for the first time, however far it is. Edges are host names found in a page's markup
 (links and plain mentions) that are hosts of pages themselves, weighted by pages.
 
 Defined results: a NULL url or one without ``://`` has an empty host and path, fits no rule
@@ -22,7 +23,7 @@ from leadloom.session import freeze
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NAMES = r"(?<![A-Za-z0-9.\-])[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
-ROUNDS = 10
+TOLERANCE = 1e-6  # of the two flows' mass of 1 each; what is still unsent is below 6 times that
 DAMPING = 0.85
 
 
@@ -59,12 +60,12 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return counted.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
 
 
-def flow(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def flow(hosts: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from (host, seed_trust, seed_distrust) and (src, dst, weight).
 
     Shares along edges are worked out once. Each round sends both flows in one pass and is
     written, so a lost executor never repeats earlier rounds. What reaches a host without
-    further links stays there.
+    further links stays there. Ends as the module says, by one aggregate a round.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("_in"))
@@ -73,22 +74,29 @@ def flow(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: floa
         (F.col("weight") / F.col("_in")).alias("up")), "url-shares")
     state = freeze(hosts.select("host", "seed_trust", "seed_distrust", F.col("seed_trust").alias("trust"),
                                 F.col("seed_distrust").alias("distrust")), "url-flow")
-    for _ in range(rounds):
+    while True:
         forward = shares.join(state.where("trust > 0"), F.col("src") == F.col("host")).select(
             F.col("dst").alias("host"), (F.col("trust") * F.col("down")).alias("t"), F.lit(0.0).alias("d"))
         backward = shares.join(state.where("distrust > 0"), F.col("dst") == F.col("host")).select(
             F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("up")).alias("d"))
         got = forward.union(backward).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        state = freeze(state.join(got, "host", "left").select(
-            "host", "seed_trust", "seed_distrust",
+        sent = state.join(got, "host", "left").select(
+            "host", "seed_trust", "seed_distrust", F.col("trust").alias("_t"), F.col("distrust").alias("_d"),
             ((1 - damping) * F.col("seed_trust") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
-            ((1 - damping) * F.col("seed_distrust") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust")),
-            "url-flow")
+            ((1 - damping) * F.col("seed_distrust") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"))
+        state = freeze(sent.select(
+            "host", "seed_trust", "seed_distrust", "trust", "distrust",
+            (F.abs(F.col("trust") - F.col("_t")) + F.abs(F.col("distrust") - F.col("_d"))).alias("change"),
+            (((F.col("_t") == 0) & (F.col("trust") > 0)) | ((F.col("_d") == 0) & (F.col("distrust") > 0)))
+            .alias("reached")), "url-flow")
+        moved = state.agg(F.sum("change").alias("change"), F.count_if("reached").alias("reached")).first()
+        if (moved["change"] or 0.0) < tolerance and not moved["reached"]:
+            break
     return state.select("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = 0.5,
-          rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+          tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row per row of ``pages``."""
     host, path = url_parts("url")
     whole = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -107,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = 0.5
         "host", (F.coalesce("allowed", F.lit(0)) / F.lit(float(sums["a"] or 1))).alias("seed_trust"),
         (F.coalesce("blocked", F.lit(0)) / F.lit(float(sums["b"] or 1))).alias("seed_distrust"))
     edges = freeze(host_edges(whole, hosts), "url-edges")
-    scores = flow(seeds, edges, rounds, damping)
+    scores = flow(seeds, edges, tolerance, damping)
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
     own = F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow")
     return judged.join(scores, "host", "left").select(

@@ -79,3 +79,18 @@ def test_against_plain_iteration(spark):
 
 def test_empty(spark):
     assert urlfilter.judge(table(spark).limit(0), RULES).collect() == []
+
+
+def test_chain_of_more_than_ten_hosts(spark):
+    n = 14
+    rows = [(i, f"http://h{i}.example.org/", f"see h{i + 1}.example.org") for i in range(n)]
+    rows += [(n, f"http://h{n}.example.org/es/", "h13.example.org"), (n + 1, f"http://h{n}.example.org/", None)]
+    got = {r.page_id: r for r in urlfilter.judge(table(spark, rows), [("block", f"h{n}.example.org/es/")]).collect()}
+    weight = {(i, i + 1): 1 for i in range(n)} | {(n, n - 1): 1}
+    bad = dict.fromkeys(range(n + 1), 0.0)
+    for _ in range(400):
+        sent = {s: sum(bad[d] * w / sum(v for (_, y), v in weight.items() if y == d)
+                       for (x, d), w in weight.items() if x == s) for s in bad}
+        bad = {h: 0.15 * (h == n) + 0.85 * sent[h] for h in bad}
+    assert all(got[i].verdict == "block" and got[i].distrust == pytest.approx(bad[i], abs=1e-5) for i in range(n))
+    assert got[0].distrust > 0 and got[n + 1].verdict == "block"
