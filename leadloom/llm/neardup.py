@@ -12,7 +12,9 @@ texts that share a band are candidates, and every link is confirmed on the full
   largest component is compared with that whole component, block by block (one row for
   ``BLOCK`` x ``BLOCK`` texts, so neither pairs nor groups are listed); those outside it are
   compared with each other, in blocks where they are many. Every candidate is decided exactly; none is dropped.
-* Chance of missing a link at similarity 0.8 with 32 bands of 6 values: 6e-5; less above.
+* Chance of missing a link at similarity 0.8 with 32 bands of 6 values: 6e-5 for large sets, less
+  above. Minimum and maximum of one permutation agree together with i(i-1)/(u(u-1)) for i common
+  of u shingles, so small sets miss more: 4.2e-4 at 4 of 5, 1.5e-4 at 8 of 10.
 
 Defined results: NULL text and text without words have an empty set, are linked with
 nothing and are their own component; fewer words than a shingle needs make one shingle;
