@@ -21,6 +21,10 @@ from leadloom.operators.ranking import number_rows
 from leadloom.session import freeze, instant, parse_instant
 
 
+COMPANY_TEXTS = ("h1b_source", "domain")
+JOB_FIRST = ("company", "role", "source", "location")
+
+
 def _last(c: str, seq: Column, nullif_empty: bool) -> Column:
     """Last non-NULL (with ``nullif_empty``: non-empty) value of a delta."""
     usable = ~blank(c) if nullif_empty else F.col(c).isNotNull()
@@ -61,6 +65,93 @@ def _completed(new: DataFrame, old: DataFrame, defaults: dict) -> DataFrame:
     return new.withColumns(missing).select(*old.columns) if missing else new.select(*old.columns)
 
 
+def fold_companies(delta: DataFrame, seq: list[str], nullif_empty: bool = False) -> DataFrame:
+    """The delta as one row per name, in the order ``seq``; rows without a name are dropped."""
+    order = F.struct(*seq)
+    return delta.where(F.col("name").isNotNull()).groupBy("name").agg(
+        F.max("h1b_confirmed").alias("_flag"), F.max("lca_count").alias("_count"),
+        *[_last(c, order, nullif_empty).alias(f"_last_{c}") for c in COMPANY_TEXTS],
+        *[F.max(c).alias(f"_any_{c}") for c in COMPANY_TEXTS])
+
+
+def fold_jobs(delta: DataFrame, seq: list[str], nullif_empty: bool = False) -> DataFrame:
+    """The delta as one row per URL, in the order ``seq``; rows without a URL are dropped."""
+    order = F.struct(*seq)
+    return delta.where(~blank("jd_url")).groupBy("jd_url").agg(
+        F.min_by(F.struct(*JOB_FIRST), order).alias("_f"),
+        F.max("h1b_confirmed").alias("_flag"),
+        _last("description", order, nullif_empty).alias("_last_description"),
+        F.max("description").alias("_any_description"))
+
+
+def fold_job_folds(folds: DataFrame, seq: list[str]) -> DataFrame:
+    """Folds of several batches as one row per URL; ``seq`` orders the batches."""
+    order = F.struct(*seq)
+    return folds.groupBy("jd_url").agg(
+        F.min_by("_f", order).alias("_f"), F.max("_flag").alias("_flag"),
+        F.max_by("_last_description", F.when(F.col("_last_description").isNotNull(), order))
+        .alias("_last_description"),
+        F.max("_any_description").alias("_any_description"))
+
+
+def _company_rules(nullif_empty: bool, now: Column) -> tuple[dict, dict]:
+    """Columns of a name that was there, and of a new one, from the old row and the fold."""
+    changed = {"h1b_confirmed": F.greatest("h1b_confirmed", "_flag"), "lca_count": F.greatest("lca_count", "_count"),
+               **{c: _new_text(c, nullif_empty) for c in COMPANY_TEXTS}}
+    added = {"h1b_confirmed": F.col("_flag"), "lca_count": F.col("_count"), "created_at": now,
+             **{c: F.coalesce(f"_last_{c}", f"_any_{c}") for c in COMPANY_TEXTS}}
+    return changed, added
+
+
+def _job_rules(nullif_empty: bool, now: Column) -> tuple[dict, dict]:
+    hit = F.col("_flag").isNotNull() | F.col("_f").isNotNull()
+    changed = {"description": _new_text("description", nullif_empty),
+               "h1b_confirmed": F.greatest("h1b_confirmed", "_flag"),
+               "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    added = {**{c: F.col(f"_f.{c}") for c in JOB_FIRST}, "applied_status": F.lit("pending"),
+             "description": F.coalesce("_last_description", "_any_description"),
+             "h1b_confirmed": F.col("_flag"), "created_at": now, "updated_at": now}
+    return changed, added
+
+
+def _two_parts(old: DataFrame, folded: DataFrame, key: str, rules: tuple[dict, dict], defaults: dict,
+               with_ids: bool) -> DataFrame:
+    """Old rows with their changes, and the new rows: a small delta is broadcast."""
+    changed, added = rules
+    kept = old.join(folded, key, "left").select(
+        *[changed[c].alias(c) if c in changed else F.col(c) for c in old.columns])
+    new = _added(folded, old, key).select(key, *[e.alias(c) for c, e in added.items()])
+    if with_ids:
+        new = _with_ids(new, old, key)
+    return kept.unionByName(_completed(new, old, defaults))
+
+
+def _one_pass(old: DataFrame, folded: DataFrame, key: str, rules: tuple[dict, dict], defaults: dict,
+              buckets: int) -> DataFrame:
+    """Old and new rows out of one full outer join, which a table stored by its key enters as it is.
+
+    The delta is dealt into the table's number of buckets last, for Spark keeps the larger of two
+    partitionings and would otherwise shuffle a table with few buckets.
+
+    Of the new keys only the key is sorted and numbered; finding them reads one more time
+    the key column of the old table, again without moving it.
+    """
+    changed, added = rules
+    keys = folded.select(key).join(old.select(key), key, "left_anti")
+    numbered = _with_ids(keys, old, key).select(key, F.col("id").alias("_id"))
+    delta = folded.join(numbered, key, "left").repartition(buckets, key)
+    both = old.withColumn("_old", F.lit(True)).join(delta, key, "full_outer")
+    is_old = F.col("_old").isNotNull()
+
+    def column(f) -> Column:
+        if f.name == key:
+            return F.col(key)
+        new = F.col("_id") if f.name == "id" else added.get(f.name, F.lit(defaults.get(f.name)))
+        return F.when(is_old, changed.get(f.name, F.col(f.name))).otherwise(new.cast(f.dataType)).alias(f.name)
+
+    return both.select(*[column(f) for f in old.schema.fields])
+
+
 def merge_companies(old: DataFrame, delta: DataFrame, asof: dt.datetime | str,
                     seq: list[str], nullif_empty: bool = False, with_ids: bool = True) -> DataFrame:
     """Upsert on ``name``: greatest flag and count, last non-NULL source and domain.
@@ -71,23 +162,9 @@ def merge_companies(old: DataFrame, delta: DataFrame, asof: dt.datetime | str,
     engines would make the result NULL). Every column of the old table is kept. New
     names get the next ids in name order; with ``with_ids`` off their id is NULL.
     """
-    texts = ["h1b_source", "domain"]
-    order = F.struct(*seq)
-    folded = freeze(delta.where(F.col("name").isNotNull()).groupBy("name").agg(
-        F.max("h1b_confirmed").alias("_flag"), F.max("lca_count").alias("_count"),
-        *[_last(c, order, nullif_empty).alias(f"_last_{c}") for c in texts],
-        *[F.max(c).alias(f"_any_{c}") for c in texts]), "company-delta")
-    changed = {"h1b_confirmed": F.greatest("h1b_confirmed", "_flag").alias("h1b_confirmed"),
-               "lca_count": F.greatest("lca_count", "_count").alias("lca_count"),
-               **{c: _new_text(c, nullif_empty) for c in texts}}
-    kept = old.join(folded, "name", "left").select(*[changed.get(c, F.col(c)) for c in old.columns])
     now = instant(parse_instant(asof), old.schema["created_at"].dataType)
-    new = _added(folded, old, "name").select(
-        "name", F.col("_flag").alias("h1b_confirmed"), F.col("_count").alias("lca_count"),
-        *[F.coalesce(f"_last_{c}", f"_any_{c}").alias(c) for c in texts], now.alias("created_at"))
-    if with_ids:
-        new = _with_ids(new, old, "name")
-    return kept.unionByName(_completed(new, old, {}))
+    folded = freeze(fold_companies(delta, seq, nullif_empty), "company-delta")
+    return _two_parts(old, folded, "name", _company_rules(nullif_empty, now), {}, with_ids)
 
 
 def merge_jobs(old: DataFrame, delta: DataFrame, asof: dt.datetime | str, seq: list[str],
@@ -96,27 +173,31 @@ def merge_jobs(old: DataFrame, delta: DataFrame, asof: dt.datetime | str, seq: l
     the old table keeps the version that came first. ``seq`` orders the delta rows; rows
     without a URL are dropped. New listings get the next ids in URL order (NULL with
     ``with_ids`` off), the status pending and the defaults of the added columns."""
-    first_cols = ["company", "role", "source", "location"]
-    order = F.struct(*seq)
-    folded = freeze(delta.where(~blank("jd_url")).groupBy("jd_url").agg(
-        F.min_by(F.struct(*first_cols), order).alias("_f"),
-        F.max("h1b_confirmed").alias("_flag"),
-        _last("description", order, nullif_empty).alias("_last_description"),
-        F.max("description").alias("_any_description")), "job-delta")
-    stamp = old.schema["created_at"].dataType
-    now = instant(parse_instant(asof), stamp)
-    hit = F.col("_flag").isNotNull() | F.col("_f").isNotNull()
-    changed = {"description": _new_text("description", nullif_empty),
-               "h1b_confirmed": F.greatest("h1b_confirmed", "_flag").alias("h1b_confirmed"),
-               "updated_at": F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at")}
-    kept = old.join(folded, "jd_url", "left").select(*[changed.get(c, F.col(c)) for c in old.columns])
-    new = _added(folded, old, "jd_url").select(
-        "jd_url", *[f"_f.{c}" for c in first_cols], F.lit("pending").alias("applied_status"),
-        F.coalesce("_last_description", "_any_description").alias("description"),
-        F.col("_flag").alias("h1b_confirmed"), now.alias("created_at"), now.alias("updated_at"))
-    if with_ids:
-        new = _with_ids(new, old, "jd_url")
-    return kept.unionByName(_completed(new, old, schemas.JOBS_ADDED_DEFAULTS))
+    now = instant(parse_instant(asof), old.schema["created_at"].dataType)
+    folded = freeze(fold_jobs(delta, seq, nullif_empty), "job-delta")
+    return _two_parts(old, folded, "jd_url", _job_rules(nullif_empty, now), schemas.JOBS_ADDED_DEFAULTS, with_ids)
+
+
+def merge_companies_stored(old: DataFrame, delta: DataFrame, asof: dt.datetime | str, seq: list[str],
+                           buckets: int, nullif_empty: bool = False) -> DataFrame:
+    """:func:`merge_companies` for an old table that is stored by ``name`` (see ``sources.keyed``) and a
+    delta of any size: the old table is neither shuffled nor read twice as a whole."""
+    now = instant(parse_instant(asof), old.schema["created_at"].dataType)
+    folded = freeze(fold_companies(delta, seq, nullif_empty), "company-delta")
+    return _one_pass(old, folded, "name", _company_rules(nullif_empty, now), {}, buckets)
+
+
+def merge_job_folds(old: DataFrame, folded: DataFrame, asof: dt.datetime | str, buckets: int,
+                    nullif_empty: bool = False) -> DataFrame:
+    """The next version of a listing table stored by ``jd_url`` from the rows of :func:`fold_jobs`."""
+    now = instant(parse_instant(asof), old.schema["created_at"].dataType)
+    return _one_pass(old, folded, "jd_url", _job_rules(nullif_empty, now), schemas.JOBS_ADDED_DEFAULTS, buckets)
+
+
+def merge_jobs_stored(old: DataFrame, delta: DataFrame, asof: dt.datetime | str, seq: list[str], buckets: int,
+                      nullif_empty: bool = False) -> DataFrame:
+    """:func:`merge_jobs` for an old table that is stored by ``jd_url`` and a delta of any size."""
+    return merge_job_folds(old, freeze(fold_jobs(delta, seq, nullif_empty), "job-delta"), asof, buckets, nullif_empty)
 
 
 def seed_companies(names: DataFrame, source: str, lca_count: int = 100) -> DataFrame:

@@ -19,9 +19,12 @@ from leadloom.plans.registry import query
 from leadloom.plans.views import Views, q, sql_first_match, with_views
 from leadloom.session import scratch_path
 from leadloom.sources import sinks as K
+from leadloom.sources.keyed import KeyedTable
 from leadloom.sources.payloads import contacts_from_payload
 from leadloom.sources.tables import load_profile, read_metadata_lines, read_table, write_version
 from leadloom.streaming import jobs as S
+from leadloom.streaming.ledger import ReleaseLedger
+from leadloom.streaming.listings import ListingStore
 
 ASOF = "2002-01-01 00:00:00"
 TS = f"TIMESTAMP '{ASOF}'"
@@ -269,16 +272,21 @@ def _(v):
 
 
 _SPLIT = "TIMESTAMP '1998-01-01'"
-_JOBS_SQL = with_views("v_jobs", then=f""", old AS (SELECT * REPLACE (id % 100 AS ats_score,
+
+
+def _jobs_sql(flag: str = "h1b_confirmed", group: str = "0", views: tuple = ("v_jobs",), more: str = "") -> str:
+    """Listings after the upsert; new ones get their ids by ``group``, then by URL."""
+    next_id = _NEXT_ID.format("min(g), jd_url")
+    return with_views(*views, then=f""" {more}, old AS (SELECT * REPLACE (id % 100 AS ats_score,
         CASE WHEN id % 3 = 0 THEN 'B' END AS ats_grade) FROM v_jobs
       WHERE created_at < {_SPLIT} QUALIFY row_number() OVER (PARTITION BY jd_url
         ORDER BY created_at, id) = 1),
-    b AS (SELECT 0 AS d, created_at AS seen, * FROM old
-      UNION ALL SELECT 1, created_at, id, company, role, jd_url, source, location, description,
-        h1b_confirmed, 'pending', NULL, {TS}, {TS}, 0, NULL, false
+    b AS (SELECT 0 AS d, 0 AS g, created_at AS seen, * FROM old
+      UNION ALL SELECT 1, {group}, created_at, id, company, role, jd_url, source, location, description,
+        {flag}, 'pending', NULL, {TS}, {TS}, 0, NULL, false
       FROM v_jobs WHERE created_at >= {_SPLIT}),
     r AS (SELECT *, row_number() OVER (PARTITION BY jd_url ORDER BY d, seen, id) AS rn FROM b)
-    SELECT jd_url, {_NEXT_ID.format('jd_url')} AS id, arg_min(company, rn) AS company,
+    SELECT jd_url, {next_id} AS id, arg_min(company, rn) AS company,
       arg_min(role, rn) AS role, arg_min(source, rn) AS source, arg_min(location, rn) AS location,
       arg_min(applied_status, rn) AS applied_status,
       max(CASE WHEN rn = 1 THEN applied_at END) AS applied_at,
@@ -289,6 +297,9 @@ _JOBS_SQL = with_views("v_jobs", then=f""", old AS (SELECT * REPLACE (id % 100 A
     FROM r GROUP BY jd_url""")
 
 
+_JOBS_SQL = _jobs_sql()
+
+
 def _job_sides(v: Views):
     """Old listings with scores and grades of their own, and later ones with the scraped columns."""
     cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
@@ -305,6 +316,25 @@ def _(v):
     return G.merge_jobs(old, delta, ASOF, ["created_at", "id"])
 
 
+@query("upsert_jobs_stored", _JOBS_SQL)
+def _(v):
+    old, delta = _job_sides(v)
+    table = KeyedTable(v.spark, scratch_path(v.spark, "jobs"), "jd_url", buckets=8)
+    table.create(old)
+    table.write(G.merge_jobs_stored(table.read(), delta, ASOF, ["created_at", "id"], table.buckets), 1)
+    return table.read()
+
+
+@query("upsert_companies_stored", _companies_sql(
+    "arg_max({0}, d * 1000000000000 + seq) FILTER ({0} IS NOT NULL)"))
+def _(v):
+    old, delta, _ = _company_sides(v)
+    table = KeyedTable(v.spark, scratch_path(v.spark, "companies"), "name", buckets=8)
+    table.create(old)
+    table.write(G.merge_companies_stored(table.read(), delta, ASOF, ["seq"], table.buckets), 1)
+    return table.read()
+
+
 @query("insert_ignore", with_views("v_companies", then=f""", {_OLD_C} SELECT id, name, domain FROM b
     QUALIFY row_number() OVER (PARTITION BY name ORDER BY d, seq) = 1"""))
 def _(v):
@@ -744,3 +774,47 @@ def _(v):
     S.release_followups(drafts, v.jobs(), v.contacts(), 7, ledger, checkpoint,
                         ASOF).awaitTermination()
     return S.read_ledger(v.spark, ledger).select("id", "job_id", "to_email")
+
+
+_WAVES = ("1998-01-01", "1999-06-01", "2000-06-01", "9999-01-01")
+
+
+@query("ingest_store", _jobs_sql(
+    flag="EXISTS (SELECT 1 FROM s WHERE contains(n, s.m) OR contains(s.m, n))",
+    group=f"CASE WHEN created_at < TIMESTAMP '{_WAVES[1]}' THEN 1 ELSE 2 END",
+    more=f""", s AS (SELECT trim({sql_removed("lower('Customer ' || c_custkey || ' LLC')", vocab.COMPANY_REMOVALS)}) AS m
+        FROM customer WHERE c_acctbal > 9000)""").replace("FROM v_jobs WHERE created_at >=", f"""FROM (SELECT *, trim({
+            sql_removed('lower(company)', vocab.COMPANY_REMOVALS)}) AS n FROM v_jobs) WHERE created_at >="""))
+def _(v):
+    """Three waves in three batches; the first is merged before the others come, these two in one refresh."""
+    old, delta = _job_sides(v)
+    sponsors = v.table("customer").where("c_acctbal > 9000").select(
+        F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.lit(" LLC")).alias("name"))
+    store = ListingStore(v.spark, scratch_path(v.spark, "listings"), buckets=8)
+    store.create(old)
+    arrived = scratch_path(v.spark, "arrivals")
+    for n, (low, high) in enumerate(zip(_WAVES, _WAVES[1:])):
+        part = (F.col("created_at") >= F.lit(low).cast("timestamp_ntz")) & (
+            F.col("created_at") < F.lit(high).cast("timestamp_ntz"))
+        delta.where(part).write.mode("append").parquet(arrived)
+        stream = S.file_stream(v.spark, arrived, delta.schema)
+        store.ingest(stream, sponsors, ["created_at", "id"], ["id"]).awaitTermination()
+        if n != 1:
+            store.refresh(ASOF)
+    return store.table.read()
+
+
+@query("release_ledger", with_views("v_outreach", "v_jobs", "v_contacts", then=f"""SELECT o.id, o.followup_day,
+    arg_min(o.job_id, c.email) AS job_id, min(c.email) AS to_email FROM {_WITH_C}
+    JOIN v_jobs j ON j.id = o.job_id WHERE o.outreach_type = 'followup' AND o.status = 'draft'
+    AND o.followup_day IN (3, 7) AND coalesce(c.email, '') <> '' GROUP BY o.id, o.followup_day"""))
+def _(v):
+    """Two days, the second released twice with a compaction between: every draft is there once for each day."""
+    base, checkpoint = _dirs(v, "ledger")
+    ledger = ReleaseLedger(v.spark, base, buckets=4)
+    for n, day in enumerate((3, 7, 7)):
+        drafts = StreamViews(v.spark, v.base).outreach()
+        ledger.release(drafts, v.jobs(), v.contacts(), day, f"{checkpoint}-{n}", ASOF).awaitTermination()
+        ledger.compact(least=1 + n)
+    rows = ledger.rows().groupBy("id", "followup_day").agg(F.min(F.struct("job_id", "to_email")).alias("_r"))
+    return rows.select("id", "followup_day", "_r.job_id", "_r.to_email")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,29 +55,61 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scratch: set[str] = set()
+_scope: ContextVar[list[str] | None] = ContextVar("_scope", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, kept until :func:`drop_scratch`."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _scratch.add(path)
+    if _scope.get() is not None:
+        _scope.get().append(path)
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete every intermediate table of this driver; call it when results are written.
-
-    Results that were not written yet can no longer be computed after it.
-    """
+def delete_paths(spark: SparkSession, paths: Iterable[str]) -> int:
+    """Delete folders through the file system they are on; how many there were."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    for path in sorted(_scratch):
+    for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         dropped += bool(place.getFileSystem(conf).delete(place, True))
         _scratch.discard(path)
     return dropped
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every intermediate table of this driver; call it when results are written.
+
+    Results that were not written yet can no longer be computed after it.
+    """
+    return delete_paths(spark, sorted(_scratch))
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Intermediate tables that this thread writes inside are deleted at the end.
+
+    For jobs that also write their result inside, such as a micro-batch.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        delete_paths(spark, paths)
+
+
+def list_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path``; none if it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory())
+
+
 def freeze(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so later branches see the same rows."""
     path = scratch_path(df.sparkSession, name)
