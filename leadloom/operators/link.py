@@ -17,7 +17,7 @@ Work is linear in the total length of distinct names, whatever the skew.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import vocab
@@ -25,43 +25,70 @@ from leadloom.functions.text import norm_company
 from leadloom.session import SALTS, freeze, lookup
 
 
-def _anchored(names: DataFrame, k: int) -> DataFrame:
-    """(name, is_left, other, at, anchor) for every position and anchor length up to
-    ``k``, and once for the empty anchor, which stands for the empty name.
+#: Slots of the table of first letters; letters that share a slot share their anchor lengths.
+LETTERS = 1024
+
+#: starts: one row with a table of fixed size, by side and first letter the anchor lengths that occur, length g
+#: as bit g - 1. anchored: the anchors that a name of the other side can have, at each of a name's positions,
+#: and once the empty anchor, which stands for the empty name; a position whose letter begins no name
+#: of the other side is dropped before anything is cut. candidates: pieces as long as some name with that anchor.
+_ANCHORED = """
+WITH bits AS (
+  SELECT is_left, pmod(ascii(name), {letters}) AS letter,
+         bit_or(shiftleft(1, least(length(name), {k}) - 1)) AS bits
+  FROM {names} WHERE length(name) > 0 GROUP BY ALL),
+starts AS (
+  SELECT transform(sequence(0, 2 * {letters} - 1), i -> coalesce(try_element_at(m, i), 0)) AS by_letter
+  FROM (SELECT map_from_entries(collect_list(struct(cast(is_left AS INT) * {letters} + letter, bits))) AS m FROM bits)),
+steps AS (
+  SELECT name, is_left, NOT is_left AS other, explode(sequence(1, length(name))) AS at
+  FROM {names} WHERE length(name) > 0),
+found AS (
+  SELECT *, get((SELECT by_letter FROM starts),
+                cast(other AS INT) * {letters} + pmod(ascii(substring(name, at, 1)), {letters})) AS bits
+  FROM steps),
+anchored AS (
+  SELECT name, is_left, other, at, substring(name, at, g) AS anchor
+  FROM (SELECT *, explode(get({lengths_of_bits}, bits)) AS g FROM found WHERE bits <> 0)
+  WHERE at + g - 1 <= length(name)
+  UNION ALL SELECT name, is_left, NOT is_left, 1, '' FROM {names})"""
+
+_LINKED = _ANCHORED + """,
+lengths AS (
+  SELECT substring(name, 1, {k}) AS anchor, is_left AS other, collect_set(length(name)) AS lengths
+  FROM {names} GROUP BY ALL),
+spread AS (SELECT *, explode(sequence(0, {salts} - 1)) AS salt FROM lengths),
+candidates AS (
+  SELECT name AS long, is_left AS long_left, other AS is_left, substring(name, at, n) AS name,
+         pmod(xxhash64(name), {salts}) AS salt
+  FROM (SELECT a.*, explode(l.lengths) AS n FROM (SELECT *, pmod(xxhash64(name, at), {salts}) AS salt FROM anchored) a
+        JOIN spread l ON a.anchor = l.anchor AND a.other = l.other AND a.salt = l.salt)
+  WHERE at + n - 1 <= length(name))
+SELECT DISTINCT if(long_left, long, c.name) AS name
+FROM candidates c LEFT SEMI JOIN (SELECT *, explode(sequence(0, {salts} - 1)) AS salt FROM {names}) t
+  ON c.name = t.name AND c.is_left = t.is_left AND c.salt = t.salt
+"""
 
-    One counter is exploded and the rest is plain arithmetic, which stays in
-    generated code; nested array functions took several times as long.
-    """
-    steps = names.select("name", "is_left", (~F.col("is_left")).alias("other"), F.explode(
-        F.sequence(F.lit(-1), F.length("name") * k - 1)).alias("i"))
-    placed = steps.select(
-        "name", "is_left", "other",
-        F.expr(f"cast(greatest(i, 0) div {k} as int) + 1").alias("at"),
-        F.expr(f"if(i < 0, 0, i % {k} + 1)").alias("g"))
-    # near the end of a name an anchor would be cut short
-    fitting = placed.where(F.col("at") + F.col("g") - 1 <= F.length("name"))
-    return fitting.select("name", "is_left", "other", "at",
-                          F.expr("substring(name, at, g)").alias("anchor"))
+
+def _run(query: str, names: DataFrame, k: int, salts: int) -> DataFrame:
+    """One statement is analysed once; a chain of a dozen DataFrame calls is analysed at every call."""
+    table = ", ".join(f"array({', '.join(str(g + 1) for g in range(k) if bits >> g & 1)})" for bits in range(1, 1 << k))
+    query = query.replace("{lengths_of_bits}", f"array(cast(array() AS ARRAY<INT>), {table})")
+    return names.sparkSession.sql(query, names=names, k=k, salts=salts, letters=LETTERS)
+
+
+def anchored(names: DataFrame, k: int = 4) -> DataFrame:
+    """name, is_left, other, at, anchor: what is looked up for ``names`` (name, is_left)."""
+    return _run(_ANCHORED + " SELECT * FROM anchored", names, k, SALTS)
 
 
 def linked_names(names: DataFrame, k: int = 4, salts: int = SALTS) -> DataFrame:
     """The left names that contain, or are contained in, a right name.
 
-    ``names`` has distinct rows (name, is_left).
+    ``names`` has distinct rows (name, is_left). Right sides are repeated per salt, so a very common
+    anchor or piece is spread over ``salts`` tasks.
     """
-    lengths = names.groupBy(F.substring("name", 1, k).alias("anchor"),
-                            F.col("is_left").alias("other")).agg(
-        F.collect_set(F.length("name")).alias("lengths"))
-    found = lookup(_anchored(names, k), lengths, ["anchor", "other"], "inner",
-                   ["name", "at"], salts)
-    candidates = found.select(
-        F.col("name").alias("long"), F.col("is_left").alias("long_left"),
-        F.col("other").alias("is_left"), "at", F.explode("lengths").alias("n")).where(
-        F.expr("at + n - 1 <= length(long)")).select(
-        "long", "long_left", "is_left", F.expr("substring(long, at, n)").alias("name"))
-    pairs = lookup(candidates, names, ["name", "is_left"], "left_semi", ["long"], salts)
-    return pairs.select(F.when(F.col("long_left"), F.col("long")).otherwise(F.col("name"))
-                        .alias("name")).distinct()
+    return _run(_LINKED, names, k, salts)
 
 
 def substring_link(left: DataFrame, right: DataFrame, left_col: str, right_col: str,

@@ -307,3 +307,25 @@ def test_scratch_is_dropped(spark):
         assert session.drop_scratch(spark) == 1 and not os.path.isdir(local)
     finally:
         session._scratch = held
+
+
+def test_link_cuts_only_anchors_that_occur(spark):
+    import random
+
+    from leadloom.operators.link import anchored, linked_names
+
+    rng = random.Random(7)
+    word = lambda low, high: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(low, high)))
+    left = {word(0, 9) for _ in range(150)} | {"zz", "z" * 30, "ab"}
+    right = {word(3, 12) for _ in range(80)} | {"b"}
+    rows = [(n, True) for n in left] + [(n, False) for n in right]
+    names = spark.createDataFrame(rows, "name string, is_left boolean")
+    want = {n for n in left if any(n in m or m in n for m in right)}
+    assert {r["name"] for r in linked_names(names).collect()} == want
+    assert {r["name"] for r in linked_names(names, k=2, salts=1).collect()} == want
+    cut = anchored(names).where("anchor <> ''").collect()
+    every = sum(min(4, len(n) - i) for n, _ in rows for i in range(len(n)))
+    assert len(cut) < every / 2
+    firsts = {side: {(m[:1], min(4, len(m))) for m in (left if side else right)} for side in (True, False)}
+    assert all((r["anchor"][:1], len(r["anchor"])) in firsts[r["other"]] for r in cut)
+    assert not [r for r in cut if r["anchor"].startswith("z") and not r["other"]]  # no right name begins with it

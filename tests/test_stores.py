@@ -179,9 +179,14 @@ def test_ledger_reads_only_the_partitions_of_its_drafts(spark, tmp_path):
     ledger._write(rows)
     ledger._write(rows.where("id < 20").withColumn("batch", F.lit("y-1")))
     known = ledger.known(3, [1, 5], but="y-1")
-    pruned = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", plan_of(known))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = plan_of(ledger.known(3, [1, 5], but="y-1"))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pruned = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", plan)
     assert all(x in pruned[1] for x in ("= 3)", "IN (1,5)", "batch#")) and pruned[2] == ""
-    assert "ReadSchema: struct<id:bigint>" in plan_of(known)
+    assert "ReadSchema: struct<id:bigint>" in plan
     got = {(r["id"], r["bucket"]) for r in known.collect()}
     assert got == {(r["id"], r["bucket"]) for r in rows.where("followup_day = 3 and bucket in (1, 5)").collect()} != set()
 
