@@ -89,3 +89,20 @@ def actionable_contacts(contacts: DataFrame) -> DataFrame:
 def above(df: DataFrame, threshold: int = vocab.DEFAULT_THRESHOLD,
           column: str = "score") -> DataFrame:
     return df.where(F.col(column) >= threshold)
+
+
+def last_day(log: DataFrame, back: int = 0) -> DataFrame:
+    """Events of the last day that a table stored by ``day`` holds, or of the day ``back`` days before.
+
+    The day is a scalar subquery over the partition column, so the scan opens only that day's files.
+    """
+    newest = log.agg(F.max("day").alias("d")).select(F.date_sub("d", back))
+    return log.where(F.col("day") == newest.scalar())
+
+
+def fresh_stored(log: DataFrame, hours: int | None, asof: dt.datetime | str, ts: str = "created_at") -> DataFrame:
+    """:func:`fresh` on a table stored by ``day``: days that end before the window are not opened."""
+    if not hours:
+        return log
+    first = (parse_instant(asof) - dt.timedelta(hours=hours)).date()
+    return fresh(log, ts, hours, asof).where((F.col("day") >= F.lit(first)) | F.col("day").isNull())

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import vocab
 from leadloom.functions.text import is_contaminated, repaired_subject
-from leadloom.session import instant, parse_instant
+from leadloom.session import freeze, instant, parse_instant
 
 
 def last_per_key(delta: DataFrame, key: str, fields: list[str], seq: list[str] | None) -> DataFrame:
@@ -114,3 +115,72 @@ def fk_cascade(child: DataFrame, parent: DataFrame, child_key: str, parent_key:
     joined = child.where(F.col(child_key).isNotNull()).join(found, child_key, "left")
     nulled = joined.withColumn(child_key, F.when(F.col("_found"), F.col(child_key)))
     return nulled.select(*child.columns).unionByName(child.where(F.col(child_key).isNull()))
+
+
+class ForeignKey(NamedTuple):
+    child: str
+    key: str
+    parent: str
+    action: str  # cascade or set_null
+
+
+FOREIGN_KEYS = (
+    ForeignKey("contacts", "job_id", "jobs", "set_null"),
+    ForeignKey("tailored_docs", "job_id", "jobs", "cascade"),
+    ForeignKey("outreach", "job_id", "jobs", "cascade"),
+    ForeignKey("outreach", "contact_id", "contacts", "cascade"))
+
+
+def _parents_first(root: str, keys: tuple[ForeignKey, ...]) -> list[str]:
+    """The tables that a deletion in ``root`` can reach, each after all its parents among them."""
+    reached, grown = {root}, True
+    while grown:
+        more = {k.child for k in keys if k.parent in reached} - reached
+        reached, grown = reached | more, bool(more)
+    order: list[str] = []
+    while len(order) < len(reached):
+        free = sorted(t for t in reached - set(order)
+                      if all(k.parent in order for k in keys if k.child == t and k.parent in reached))
+        if not free:
+            raise ValueError(f"keys form a cycle among {sorted(reached - set(order))}")
+        order += free
+    return order
+
+
+def delete_cascade(tables: dict[str, DataFrame], root: str, ids: DataFrame,
+                   keys: tuple[ForeignKey, ...] = FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """Delete the rows of ``root`` with these ids (column id) and all that hangs on them, through every level.
+
+    Tables are taken parents first. What goes on to the next level are only the ids of deleted rows, written once
+    so that their number is known: a short list is broadcast and the child is not shuffled. Keys
+    that were already without a parent stay; rows without a key are not moved.
+    """
+    keys = tuple(k for k in keys if k.child in tables and k.parent in tables)
+    out, gone = dict(tables), {}
+    for name in _parents_first(root, keys):
+        rows = tables[name]
+        cascades = [k for k in keys if k.child == name and k.parent in gone and k.action == "cascade"]
+        lost = ids.select("id") if name == root else None
+        for k in cascades:
+            mine = rows.join(gone[k.parent].withColumnRenamed("id", k.key), k.key, "left_semi").select("id")
+            lost = mine if lost is None else lost.unionByName(mine)
+        if lost is not None and any(k.parent == name for k in keys):
+            gone[name] = freeze(lost.where("id is not null").distinct(), f"gone-{name}")
+        kept = rows
+        if name == root:
+            kept = kept.join(gone[name] if name in gone else ids.select("id").distinct(), "id", "left_anti")
+        for k in keys:
+            if k.child != name or k.parent not in gone:
+                continue
+            parents, without = gone[k.parent].withColumnRenamed("id", k.key), kept.where(F.col(k.key).isNull())
+            keyed = kept.where(F.col(k.key).isNotNull())
+            if k.action == "cascade":
+                keyed = keyed.join(parents, k.key, "left_anti")
+            elif k.action == "set_null":
+                keyed = keyed.join(parents.withColumn("_gone", F.lit(True)), k.key, "left").withColumn(
+                    k.key, F.when(F.col("_gone").isNull(), F.col(k.key)))
+            else:
+                raise ValueError(f"unknown action {k.action!r}")
+            kept = keyed.select(*rows.columns).unionByName(without.select(*rows.columns))
+        out[name] = kept.select(*rows.columns)
+    return out

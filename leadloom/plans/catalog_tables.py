@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from leadloom import vocab
 from leadloom.functions.render import FOLLOWUP_BODIES, FOLLOWUP_SUBJECT, PROMPTS
 from leadloom.functions.classify import classify_role
+from leadloom.operators import filters as P
 from leadloom.operators import link as L
+from leadloom.operators import maintain as D
 from leadloom.operators import merge as G
 from leadloom.operators import mutate as M
 from leadloom.operators import outreach as O
 from leadloom.operators import reports as A
+from leadloom.operators.changes import apply_feed, change_feed
 from leadloom.operators.ranking import fill_ids, first_per_key
 from leadloom.plans.catalog_rows import JOB_LIST, SQL_BAD, sql_removed
 from leadloom.plans.registry import query
@@ -21,7 +24,8 @@ from leadloom.session import scratch_path
 from leadloom.sources import sinks as K
 from leadloom.sources.keyed import KeyedTable
 from leadloom.sources.payloads import contacts_from_payload
-from leadloom.sources.tables import load_profile, read_metadata_lines, read_table, write_version
+from leadloom.sources.tables import (load_profile, read_by_day, read_metadata_lines, read_table, write_by_day,
+                                     write_version)
 from leadloom.streaming import jobs as S
 from leadloom.streaming.ledger import ReleaseLedger
 from leadloom.streaming.listings import ListingStore
@@ -818,3 +822,132 @@ def _(v):
         ledger.compact(least=1 + n)
     rows = ledger.rows().groupBy("id", "followup_day").agg(F.min(F.struct("job_id", "to_email")).alias("_r"))
     return rows.select("id", "followup_day", "_r.job_id", "_r.to_email")
+
+
+# --- counts from deltas, deletion through several tables, change feeds, events by day ---
+
+_DUE_IDS = f"due AS (SELECT DISTINCT id FROM ({_SENDABLE.format('')}))"
+_MUTATED = f""", {_DELTA}, {_DUE_IDS},
+    j AS (SELECT v_jobs.* REPLACE (coalesce(st, applied_status) AS applied_status) FROM v_jobs LEFT JOIN d ON d.id = v_jobs.id),
+    o AS (SELECT v_outreach.* REPLACE (CASE WHEN due.id IS NULL THEN status ELSE 'sent' END AS status)
+      FROM v_outreach LEFT JOIN due ON due.id = v_outreach.id)"""
+
+
+@query("dashboard_maintained", with_views("v_jobs", "v_outreach", "v_contacts", then=_MUTATED + f""",
+    p AS (SELECT * FROM o WHERE NOT (outreach_type = 'cold_email' AND coalesce({SQL_BAD}, false)))
+    SELECT (SELECT count(*) FROM j) AS total, (SELECT count(*) FROM j WHERE h1b_confirmed) AS h1b,
+    (SELECT count(*) FROM j WHERE applied_status = 'pending' AND h1b_confirmed) AS pending,
+    (SELECT count(*) FROM j WHERE applied_status = 'applied') AS applied,
+    (SELECT count(*) FROM p WHERE status = 'sent') AS emails,
+    (SELECT count(*) FROM p WHERE status = 'draft') AS drafts, (SELECT count(*) FROM v_contacts) AS contacts"""))
+def _(v):
+    """Status changes, sent marks and a purge, each counted from its own rows; the oracle recounts everything."""
+    jobs, mails, contacts = v.jobs(), v.outreach(), v.contacts()
+    counts = D.MaintainedCounts(v.spark, scratch_path(v.spark, "counts"), D.dashboard_metrics())
+    counts.start({"jobs": jobs, "outreach": mails, "contacts": contacts})
+    decisions = _decisions(v)
+    before = D.touched(jobs, decisions)
+    counts.apply(1, "jobs", before, M.status_transition(before, decisions, ASOF, ["seq"]))
+    due = O.sendable_drafts(mails, contacts, jobs, False).select("id")
+    before = D.touched(mails, due)
+    counts.apply(2, "outreach", before, M.mark_sent(before, due, ASOF))
+    before = P.bad_bodies(M.mark_sent(mails, due, ASOF))
+    counts.apply(3, "outreach", before, M.purge_bad(before))
+    return counts.current()
+
+
+@query("status_counts_maintained", with_views("v_jobs", then=f""", {_DELTA} SELECT coalesce(st, applied_status)
+    AS applied_status, count(*) AS n FROM v_jobs LEFT JOIN d ON d.id = v_jobs.id GROUP BY 1"""))
+def _(v):
+    jobs, decisions, key = v.jobs(), _decisions(v), ["applied_status"]
+    before = D.touched(jobs, decisions)
+    moved = D.signed_groups(before, M.status_transition(before, decisions, ASOF, ["seq"]), key)
+    return D.add_groups(A.status_counts(jobs, "applied_status"), moved, key)
+
+
+_GONE = "g AS (SELECT id FROM v_jobs WHERE applied_status = 'failed')"
+
+
+def _cascaded(v: Views, keys=M.FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """All tables after the failed listings went; a contact of this view belongs to the outreach with its id."""
+    tables = {"jobs": v.jobs(), "contacts": v.job_contacts(), "tailored_docs": v.docs().withColumn("id", F.col("version")),
+              "outreach": v.outreach().withColumn("contact_id", F.col("id"))}
+    return M.delete_cascade(tables, "jobs", v.jobs().where(F.col("applied_status") == "failed"), keys)
+
+
+@query("delete_cascade", with_views("v_jobs", "v_job_contacts", "v_docs", "v_outreach", then=f""", {_GONE}
+    SELECT 'jobs' AS kind, id AS key, NULL::BIGINT AS job FROM v_jobs WHERE id NOT IN (SELECT id FROM g) UNION ALL
+    SELECT 'contacts', c.id, CASE WHEN g.id IS NULL THEN job_id END FROM v_job_contacts c LEFT JOIN g ON g.id = job_id UNION ALL
+    SELECT 'docs', version, job_id FROM v_docs WHERE job_id NOT IN (SELECT id FROM g) UNION ALL
+    SELECT 'outreach', id, job_id FROM v_outreach WHERE job_id NOT IN (SELECT id FROM g)"""))
+def _(v):
+    t = _cascaded(v)
+    kinds = {"jobs": F.lit(None).cast("bigint"), "contacts": F.col("job_id"), "docs": F.col("job_id"),
+             "outreach": F.col("job_id")}
+    parts = [t["tailored_docs" if k == "docs" else k].select(F.lit(k).alias("kind"), F.col("id").alias("key"), j.alias("job"))
+             for k, j in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("delete_cascade_two_levels", with_views("v_jobs", "v_job_contacts", "v_outreach", then=f""", {_GONE},
+    c AS (SELECT id FROM v_job_contacts WHERE job_id IN (SELECT id FROM g))
+    SELECT 'contacts' AS kind, id AS key FROM v_job_contacts WHERE id NOT IN (SELECT id FROM c) UNION ALL
+    SELECT 'outreach', id FROM v_outreach WHERE id NOT IN (SELECT id FROM c)"""))
+def _(v):
+    """Outreach hangs on contacts only, and contacts cascade: the deletion reaches it through them."""
+    t = _cascaded(v, (M.ForeignKey("contacts", "job_id", "jobs", "cascade"),
+                      M.ForeignKey("outreach", "contact_id", "contacts", "cascade")))
+    return t["contacts"].select(F.lit("contacts").alias("kind"), F.col("id").alias("key")).unionByName(
+        t["outreach"].select(F.lit("outreach").alias("kind"), F.col("id").alias("key")))
+
+
+_V2 = """n AS (SELECT * REPLACE (CASE WHEN id % 5 = 1 THEN 'seen' ELSE applied_status END AS applied_status,
+    CASE WHEN id % 7 = 0 THEN NULL ELSE description END AS description) FROM v_jobs WHERE id % 11 <> 3
+    UNION ALL SELECT * REPLACE (-id AS id) FROM v_jobs WHERE id % 13 = 2)"""
+
+
+def _second_version(v: Views) -> DataFrame:
+    jobs, key = v.jobs(), F.col("id")
+    changed = jobs.where(key % 11 != 3).withColumns({
+        "applied_status": F.when(key % 5 == 1, F.lit("seen")).otherwise(F.col("applied_status")),
+        "description": F.when(key % 7 != 0, F.col("description"))})
+    return changed.unionByName(jobs.where(key % 13 == 2).withColumn("id", -key))
+
+
+def _stored_versions(v: Views) -> KeyedTable:
+    table = KeyedTable(v.spark, scratch_path(v.spark, "versions"), "id", buckets=8)
+    table.create(v.jobs())
+    table.write(_second_version(v).repartition(table.buckets, "id"), 1)
+    return table
+
+
+@query("change_feed", with_views("v_jobs", then=f""", {_V2} SELECT CASE WHEN n.id IS NULL THEN 'delete'
+    WHEN o.id IS NULL THEN 'insert' ELSE 'update' END AS change, coalesce(n.id, o.id) AS id, n.applied_status, n.description
+    FROM v_jobs o FULL JOIN n ON n.id = o.id WHERE o.id IS NULL OR n.id IS NULL
+    OR o.applied_status IS DISTINCT FROM n.applied_status OR o.description IS DISTINCT FROM n.description"""))
+def _(v):
+    table = _stored_versions(v)
+    return change_feed(table.read(0), table.read(1), "id").select("change", "id", "applied_status", "description")
+
+
+@query("change_feed_applied", with_views("v_jobs", then=f", {_V2} SELECT * FROM n"))
+def _(v):
+    table = _stored_versions(v)
+    return apply_feed(table.read(0), change_feed(table.read(0), table.read(1), "id"), "id")
+
+
+@query("events_last_day", with_views("v_log", then="""SELECT * FROM v_log WHERE CAST(created_at AS DATE) =
+    (SELECT max(CAST(created_at AS DATE)) FROM v_log)"""))
+def _(v):
+    log = v.log()
+    path = write_by_day(log, scratch_path(v.spark, "log-by-day"))
+    return P.last_day(read_by_day(v.spark, path, log.schema)).drop("day")
+
+
+@query("fresh_events_stored", with_views("v_log", then="""SELECT id, event, created_at FROM v_log
+    WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 31 HOUR"""))
+def _(v):
+    log = v.log()
+    path = write_by_day(log, scratch_path(v.spark, "log-by-day"))
+    rows = P.fresh_stored(read_by_day(v.spark, path, log.schema), 31, "2024-01-30 00:00:00")
+    return rows.select("id", "event", "created_at")

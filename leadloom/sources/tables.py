@@ -85,3 +85,18 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def write_by_day(df: DataFrame, path: str, ts: str = "created_at") -> str:
+    """Store an event table partitioned by ``day``; a day with very many events becomes several files."""
+    dated = df.withColumn("day", F.to_date(ts))
+    dated.repartitionByRange("day", ts).write.mode("overwrite").partitionBy("day").parquet(path)
+    return path
+
+
+def read_by_day(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table of :func:`write_by_day`; filters on ``day`` are settled before a file is opened."""
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())]))
+    return reader.parquet(path)
