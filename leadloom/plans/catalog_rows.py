@@ -163,6 +163,32 @@ def _(v):
         X.url_host(F.substring_index("url", "://", -1)).alias("bare_host"))
 
 
+@query("sql_urls", r"""SELECT page_id, replace(lower(split_part(regexp_extract(
+       url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), ':', 1)), 'www.', '') AS host,
+       'https://listings.example.com' || regexp_extract(url, '^https?://[^/]*(/.*)$', 1) AS absolute,
+       url AS unchanged FROM pages""")
+def _(v):
+    register_sql_functions(v.spark)
+    return v.spark.sql(r"""SELECT page_id, url_host(url) AS host,
+        url_join('https://listings.example.com', regexp_extract(url, '^https?://[^/]*(/.*)$', 1)) AS absolute,
+        url_join('https://listings.example.com', url) AS unchanged FROM {pages}""", pages=v.pages())
+
+
+@query("sql_labels_and_files", with_views("v_outreach", "v_contacts", then=r"""SELECT o.id, CASE WHEN outreach_type =
+       'cold_email' THEN 'cold_email_' || coalesce(contact_type, 'None') || '.txt'
+       ELSE 'followup_day' || followup_day || '.txt' END AS file_name, strftime(o.created_at, '%A, %B %d') AS day_label,
+       substr(coalesce(CAST(sent_at AS VARCHAR), CAST(o.created_at AS VARCHAR), ''), 1, 10) AS first_date,
+       CASE outreach_type WHEN 'cold_email' THEN 'Cold Email' ELSE 'Followup' END AS label,
+       substr(regexp_replace(trim(coalesce(subject, '')), '[^\pL\pN_\-]', '_', 'g'), 1, 25) AS safe
+       FROM v_outreach o LEFT JOIN v_contacts c ON c.id = o.contact_id"""))
+def _(v):
+    register_sql_functions(v.spark)
+    return v.spark.sql("""SELECT o.id, draft_file_name(outreach_type, followup_day, contact_type, o.id) AS file_name,
+        date_label(created_at) AS day_label, first_date(CAST(sent_at AS STRING), CAST(created_at AS STRING)) AS first_date,
+        title_label(outreach_type) AS label, safe_name(coalesce(subject, '')) AS safe
+        FROM {o} o LEFT JOIN {c} c ON c.id = o.contact_id""", o=v.outreach(), c=v.contacts())
+
+
 @query("url_canonical", "SELECT page_id, split_part(url, '?', 1) AS url FROM pages")
 def _(v):
     return v.table("pages").select("page_id", X.url_canonical("url").alias("url"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom import vocab
 from leadloom.functions.render import FOLLOWUP_BODIES, FOLLOWUP_SUBJECT, PROMPTS
 from leadloom.functions.classify import classify_role
+from leadloom.functions.sqlfuncs import register_table_functions
 from leadloom.operators import filters as P
 from leadloom.operators import link as L
 from leadloom.operators import maintain as D
@@ -18,7 +19,7 @@ from leadloom.operators import reports as A
 from leadloom.operators.changes import apply_feed, change_feed
 from leadloom.operators.ranking import fill_ids, first_per_key
 from leadloom.plans.catalog_rows import JOB_LIST, SQL_BAD, sql_removed
-from leadloom.plans.registry import query
+from leadloom.plans.registry import ORACLE, query
 from leadloom.plans.views import Views, q, sql_first_match, with_views
 from leadloom.session import scratch_path
 from leadloom.sources import sinks as K
@@ -57,6 +58,27 @@ def _(v):
 _WITH_C = "v_outreach o LEFT JOIN v_contacts c ON c.id = o.contact_id"
 
 
+def _sql_tables(v: Views) -> None:
+    v.jobs().createOrReplaceTempView("leadloom_jobs")
+    v.outreach().createOrReplaceTempView("leadloom_outreach")
+    v.job_contacts().createOrReplaceTempView("leadloom_contacts")
+    v.jobs().select("id", "role", "company", F.col("ats_score").alias("score"), F.col("ats_grade").alias(
+        "grade")).createOrReplaceTempView("leadloom_scored")
+    register_table_functions(v.spark, "leadloom_jobs", "leadloom_outreach", "leadloom_contacts", "leadloom_scored")
+
+
+@query("sql_due_followups", ORACLE["due_followups"])
+def _(v):
+    _sql_tables(v)
+    return v.spark.sql("SELECT * FROM due_followups(7)")
+
+
+@query("sql_due_followups_by_date", ORACLE["due_followups_by_date"])
+def _(v):
+    _sql_tables(v)
+    return v.spark.sql("SELECT * FROM due_followups_by_date(TIMESTAMP '2000-01-01 00:00:00')")
+
+
 @query("followups_unresolved", with_views("v_outreach", "v_jobs", "v_contacts", then=f"""
        SELECT o.id, o.job_id, o.contact_id, c.email AS to_email FROM {_WITH_C}
        JOIN v_jobs j ON j.id = o.job_id WHERE o.outreach_type = 'followup' AND o.status = 'draft'
@@ -93,6 +115,19 @@ def _(v):
     return O.gap_report(v.jobs(), v.job_contacts())
 
 
+@query("sql_gap_report", ORACLE["gap_report"])
+def _(v):
+    _sql_tables(v)
+    return v.spark.sql("SELECT * FROM gap_report()")
+
+
+@query("sql_pending_jobs", with_views("v_jobs", then="""SELECT id, company, role, jd_url, description FROM v_jobs
+       WHERE applied_status = 'pending' AND h1b_confirmed"""))
+def _(v):
+    _sql_tables(v)
+    return v.spark.sql("SELECT * FROM pending_jobs()")
+
+
 @query("needs_regen", with_views("v_outreach", "v_job_contacts", then="""SELECT DISTINCT job_id
        FROM v_job_contacts c WHERE NOT EXISTS (SELECT 1 FROM v_outreach o
        WHERE o.job_id = c.job_id AND o.outreach_type = 'cold_email')"""))

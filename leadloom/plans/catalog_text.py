@@ -9,12 +9,13 @@ from leadloom import vocab
 from leadloom.functions import text as X
 from leadloom.functions.profile import profile_text
 from leadloom.functions.scoring import DEFAULT_VOCAB, ScoreVocab
+from leadloom.functions.sqlfuncs import register_sql_functions, register_table_functions
 from leadloom.operators.mutate import score_writeback
 from leadloom.operators.score import flat_scores, score_docs, topk_scored
 from leadloom.plans.catalog_rows import sql_hits, sql_quantity
 from leadloom.plans import flows
 from leadloom.plans.catalog_tables import SENDER, sql_email_prompt
-from leadloom.plans.registry import query
+from leadloom.plans.registry import ORACLE, query
 from leadloom.plans.views import Views, q, sql_first_match, sql_list, with_views
 from leadloom.schemas import JOBS
 from leadloom.sources.pages import CardSpec, Field, TagField, extract_cards, \
@@ -295,6 +296,17 @@ _RAW = """CASE WHEN role = 'user' THEN 'Subject: ' || substr(text, 1, 40) || chr
     ELSE ' ' || text END"""
 
 
+def _raw_labelled(v: Views) -> DataFrame:
+    text, key = F.col("text"), F.col("conv_id").cast("string")
+    raw = (F.when(F.col("role") == "user",
+                  F.concat(F.lit("Subject: "), F.substring(text, 1, 40), F.lit("\n\n"), text))
+           .when(F.col("role") == "assistant", F.concat(
+               F.lit("intro\n[subject:] ] Hi "), key, F.lit(" \n [body:]\n"), text,
+               F.lit("\n---\n*Note: x\ny")))
+           .otherwise(F.concat(F.lit(" "), text)))
+    return v.table("conversations").select("conv_id", "turn", raw.alias("raw"))
+
+
 @query("parse_labelled", f"""WITH r AS (SELECT conv_id, turn, {_RAW} AS raw FROM conversations),
     l AS (SELECT *, string_split(raw, chr(10)) AS ls, contains(lower(raw), '[subject')
       OR starts_with(lower(raw), 'subject:') AS lab FROM r),
@@ -311,15 +323,7 @@ _RAW = """CASE WHEN role = 'user' THEN 'Subject: ' || substr(text, 1, 40) || chr
     SELECT conv_id, turn, subject,
       trim(regexp_replace(b, '(?s)\\n---\\n\\*.*$', ''), {SQL_WS}) AS body FROM o""")
 def _(v):
-    text = F.col("text")
-    key = F.col("conv_id").cast("string")
-    raw = (F.when(F.col("role") == "user",
-                  F.concat(F.lit("Subject: "), F.substring(text, 1, 40), F.lit("\n\n"), text))
-           .when(F.col("role") == "assistant", F.concat(
-               F.lit("intro\n[subject:] ] Hi "), key, F.lit(" \n [body:]\n"), text,
-               F.lit("\n---\n*Note: x\ny")))
-           .otherwise(F.concat(F.lit(" "), text)))
-    rows = v.table("conversations").select("conv_id", "turn", X.parse_labelled(raw).alias("p"))
+    rows = _raw_labelled(v).select("conv_id", "turn", X.parse_labelled("raw").alias("p"))
     return rows.select("conv_id", "turn", "p.subject", "p.body")
 
 
@@ -377,3 +381,31 @@ _POSITION = """chr(10) || '{0} ' || o_orderkey || '  |  Firm  |  2001 – 2005'
     || chr(10) || 'EDUCATION' || chr(10) || 'MSc — School (1999)' AS text FROM orders""")
 def _(v):
     return _profile_structs(v).select("o_orderkey", profile_text("profile").alias("text"))
+
+
+# --- the same for SQL users ---
+
+@query("sql_parse_labelled", ORACLE["parse_labelled"])
+def _(v):
+    register_sql_functions(v.spark)
+    return v.spark.sql("SELECT conv_id, turn, p.subject, p.body FROM "
+                       "(SELECT conv_id, turn, parse_labelled(raw) AS p FROM {rows})", rows=_raw_labelled(v))
+
+
+@query("sql_extract_bullets", ORACLE["extract_bullets"])
+def _(v):
+    register_sql_functions(v.spark)
+    return v.spark.sql("SELECT doc_id, size(b) AS n, array_join(b, '|') AS bullets FROM (SELECT doc_id, "
+                       "extract_bullets(replace(text, '\n', '\n- ')) AS b FROM {docs})", docs=v.documents())
+
+
+@query("sql_top_scored", _scored_sql(DEFAULT_VOCAB, """, t AS (SELECT *, row_number() OVER (
+    ORDER BY score DESC, id) AS rank FROM s WHERE score >= 30 ORDER BY score DESC, id LIMIT 25)
+    SELECT CAST(rank AS INT) AS rank, id, role, company, score, grade FROM t"""))
+def _(v):
+    scored(v).select("id", "role", "company", "score.score", "score.grade").createOrReplaceTempView("leadloom_scored")
+    v.jobs().createOrReplaceTempView("leadloom_jobs")
+    v.outreach().createOrReplaceTempView("leadloom_outreach")
+    v.job_contacts().createOrReplaceTempView("leadloom_contacts")
+    register_table_functions(v.spark, "leadloom_jobs", "leadloom_outreach", "leadloom_contacts", "leadloom_scored")
+    return v.spark.sql("SELECT * FROM top_scored(25, 30)")
