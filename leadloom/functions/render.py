@@ -70,6 +70,16 @@ def render_prompt(kind: str, slots: dict[str, Column]) -> Column:
     return render_template(template.text, slots, template.limits)
 
 
+def slot_limit(slot: str, *kinds: str) -> int | None:
+    """Characters of a slot that some of these prompts can show; None if one shows all of it."""
+    limits = [PROMPTS[k].limits.get(slot) for k in kinds]
+    return None if None in limits else max(limits)
+
+
+def cut(value: Column, limit: int | None) -> Column:
+    return value if limit is None else F.substring(value, 1, limit)
+
+
 def email_prompt(number: Column, slots: dict[str, Column]) -> Column:
     """The e-mail prompt for template 1, 2 or (anything else) 3."""
     full = {**slots, "first_name": first_name(slots["name"])}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import vocab
-from leadloom.functions.render import email_prompt, render_followup, render_prompt
+from leadloom.functions.render import cut, email_prompt, render_followup, render_prompt, slot_limit
 from leadloom.functions.text import blank, default_text, template_no
 from leadloom.operators.ranking import cap_per_group
 from leadloom.session import instant, lookup, parse_instant
@@ -170,6 +170,19 @@ def fallback_enrich(primary: DataFrame, fallback: DataFrame, key: str = "job_id"
     return primary.unionByName(lookup(first, full, [key], "left_anti", [dedup]).select(*columns))
 
 
+def _with_profile(rows: DataFrame, profiles: DataFrame, spread: list[str], *kinds: str) -> DataFrame:
+    """Rows with the ``profile`` of their variant, as much of it as the prompts of ``kinds`` show.
+
+    Texts are cut before they are joined, so a shuffle moves no character that no prompt shows. There are few
+    variants; rows of one are spread over several tasks by the columns ``spread``.
+    """
+    short = profiles.select("variant", cut(F.col("text"), slot_limit("profile", *kinds)).alias("profile"))
+    return lookup(rows, short, ["variant"], "left", spread)
+
+
+EMAILS = ("email_1", "email_2", "email_3")
+
+
 def prompt_table(jobs: DataFrame, contacts: DataFrame, profiles: DataFrame,
                  sender: str) -> DataFrame:
     """One e-mail prompt per listing and actionable contact, for batch inference.
@@ -177,21 +190,20 @@ def prompt_table(jobs: DataFrame, contacts: DataFrame, profiles: DataFrame,
     ``jobs`` holds ``variant``; ``profiles`` is one row per variant.
     """
     people = contacts.select("job_id", F.col("id").alias("contact_id"), "name", "title")
-    rows = (people.join(jobs.withColumnRenamed("id", "job_id"), "job_id")
-            .join(profiles.select("variant", F.col("text").alias("profile")), "variant", "left"))
+    shown = cut(default_text("description", "role", "company"), slot_limit("description", *EMAILS))
+    listings = jobs.select(F.col("id").alias("job_id"), "company", "role", "variant", shown.alias("description"))
+    rows = _with_profile(people.join(listings, "job_id"), profiles, ["job_id", "contact_id"], *EMAILS)
     number = template_no("job_id")
-    slots = {"company": F.col("company"), "role": F.col("role"), "name": F.col("name"),
-             "title": F.col("title"), "profile": F.col("profile"), "sender": F.lit(sender),
-             "description": default_text("description", "role", "company")}
+    slots = {c: F.col(c) for c in ("company", "role", "name", "title", "profile", "description")}
     return rows.select("job_id", "contact_id", number.alias("template"),
-                       email_prompt(number, slots).alias("prompt"))
+                       email_prompt(number, {**slots, "sender": F.lit(sender)}).alias("prompt"))
 
 
 def referral_prompts(people: DataFrame, profile: DataFrame, sender: str,
                      per_company: int = 3) -> DataFrame:
     """Referral prompts for at most ``per_company`` people of a company."""
     capped = cap_per_group(people, ["company"], ["id", "name"], per_company)
-    rows = capped.join(profile.select("variant", F.col("text").alias("profile")), "variant", "left")
+    rows = _with_profile(capped, profile, ["company", "id"], "referral")
     slots = {c: F.col(c) for c in ("company", "role", "name", "title", "profile")}
     return rows.select("company", "id", render_prompt(
         "referral", {**slots, "sender": F.lit(sender)}).alias("prompt"))
@@ -199,7 +211,7 @@ def referral_prompts(people: DataFrame, profile: DataFrame, sender: str,
 
 def listing_prompts(jobs: DataFrame, profiles: DataFrame, sender: str) -> DataFrame:
     """The two per-listing prompts (bullets and letter)."""
-    rows = jobs.join(profiles.select("variant", F.col("text").alias("profile")), "variant", "left")
+    rows = _with_profile(jobs, profiles, ["id"], "bullets", "letter")
     slots = {"company": F.col("company"), "role": F.col("role"), "profile": F.col("profile"),
              "sender": F.lit(sender),
              "description": default_text("description", "role", "company")}

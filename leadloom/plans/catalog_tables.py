@@ -25,8 +25,8 @@ from leadloom.session import scratch_path
 from leadloom.sources import sinks as K
 from leadloom.sources.keyed import KeyedTable
 from leadloom.sources.payloads import contacts_from_payload
-from leadloom.sources.tables import (load_profile, read_by_day, read_metadata_lines, read_table, write_by_day,
-                                     write_version)
+from leadloom.sources.tables import (load_profile, read_by_day, read_metadata_lines, read_table, scan_metadata,
+                                     stream_metadata, write_by_day, write_version)
 from leadloom.streaming import jobs as S
 from leadloom.streaming.ledger import ReleaseLedger
 from leadloom.streaming.listings import ListingStore
@@ -619,6 +619,42 @@ def _(v):
     return A.metadata_status_counts(read_metadata_lines(v.spark, path))
 
 
+_FOLDERS = """m AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'applied' WHEN 1 THEN 'pending' END AS status,
+    page_id % 5 = 0 AS damaged FROM pages WHERE page_id % 7 <> 0)"""
+
+
+def _metadata_folders(v: Views) -> str:
+    """A folder per page with a metadata file: a fifth is cut short, a seventh of the folders has none."""
+    key, path = F.col("page_id"), scratch_path(v.spark, "metadata-folders")
+    status = F.when(key % 3 == 0, F.lit("applied")).when(key % 3 == 1, F.lit("pending"))
+    text = F.to_json(F.struct(key.alias("job_id"), F.col("url").alias("jd_url"), status.alias("applied_status")))
+    rows = v.pages().where(key % 7 != 0).select(
+        F.concat(F.lit("folder_"), key.cast("string")).alias("folder"),
+        F.when(key % 5 == 0, F.substring(text, 1, 12)).otherwise(text).alias("value"))
+    rows.write.partitionBy("folder").text(path)
+    return path
+
+
+@query("metadata_folders", f"""WITH {_FOLDERS} SELECT 'folder_' || page_id AS folder, damaged,
+    CASE WHEN NOT damaged THEN page_id END AS job_id, CASE WHEN NOT damaged THEN status END AS status FROM m""")
+def _(v):
+    rows = scan_metadata(v.spark, _metadata_folders(v), "part-*.txt")
+    good = ~F.col("damaged")
+    return rows.select(F.regexp_extract("file", r"folder=(\w+)", 1).alias("folder"), "damaged",
+                       F.when(good, F.col("job_id")).alias("job_id"), F.when(good, F.col("applied_status")).alias("status"))
+
+
+@query("metadata_folders_stream", f"""WITH {_FOLDERS} SELECT coalesce(status, 'pending') AS status, count(*) AS n
+    FROM m WHERE NOT damaged GROUP BY 1""")
+def _(v):
+    """The same files as a stream into a table, in batches of at most 100 files; then the status counts."""
+    out, checkpoint = _dirs(v, "metadata-stream")
+    rows = stream_metadata(v.spark, _metadata_folders(v), "part-*.txt", 100)
+    (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+    return A.metadata_status_counts(v.spark.read.schema(rows.schema).parquet(out).where(~F.col("damaged")))
+
+
 @query("draft_documents", with_views("v_outreach", "v_contacts", then=""", d AS (SELECT o.*, c.id AS cid,
     c.name, c.email, c.title, CASE WHEN outreach_type = 'cold_email'
       THEN 'cold_email_' || coalesce(contact_type, 'None') || '.txt'
@@ -706,6 +742,20 @@ def _(v):
     return O.followups_resolved(v.outreach(), v.jobs(), v.contacts(), 7, SENDER)
 
 
+def _followup_sql(day: int, body: int | None) -> str:
+    slots = {**_SLOTS, "company": "j.company", "role": "j.role"}
+    return f"""SELECT o.id, o.job_id, o.contact_id, c.email AS to_email, {sql_template(FOLLOWUP_SUBJECT, slots)} AS subject,
+        {sql_template(FOLLOWUP_BODIES[body], slots)} AS body FROM {_WITH_C} JOIN v_jobs j ON j.id = o.job_id
+        WHERE o.outreach_type = 'followup' AND o.status = 'draft' AND o.followup_day = {day} AND coalesce(c.email, '') <> ''"""
+
+
+@query("render_followups_first_and_last", with_views("v_outreach", "v_jobs", "v_contacts",
+       then=_followup_sql(3, 3) + " UNION ALL " + _followup_sql(14, None)))
+def _(v):
+    first, last = (O.followups_resolved(v.outreach(), v.jobs(), v.contacts(), day, SENDER) for day in (3, 14))
+    return first.unionByName(last)
+
+
 _PROMPT_SLOTS = {
     **_SLOTS, "title": "title", "profile": "profile",
     "first_name": "CASE WHEN coalesce(name, '') IN ('', 'Hiring Team') THEN 'there' "

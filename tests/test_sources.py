@@ -159,3 +159,54 @@ def test_exports_round_trip(spark, tmp_path):
 def test_read_table_uses_declared_schema(spark, tmp_path):
     spark.createDataFrame([], schemas.CONTACTS).write.parquet(str(tmp_path / "contacts"))
     assert T.read_table(spark, str(tmp_path), "contacts").schema == schemas.CONTACTS
+
+
+def test_damaged_and_missing_metadata(spark, tmp_path):
+    from leadloom.sources.tables import scan_metadata, stream_metadata
+
+    files = {"good": '{"job_id": 1, "applied_status": "applied",\n "extra": [1, 2]}', "cut": '{"job_id": 2, "company": "c',
+             "empty": "", "array": "[]", "text": "no json", "typed": '{"job_id": "x", "company": "C"}', "none": "{}",
+             "utf": '{"job_id": 9, "company": "Ünï"}'}
+    for name, text in files.items():
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "metadata.json").write_text(text, encoding="utf-8")
+    (tmp_path / "in" / "bare").mkdir()
+    (tmp_path / "in" / "good" / "other.json").write_text("{}")
+    found = scan_metadata(spark, str(tmp_path / "in"))
+    rows = {r["file"].split("/")[-2]: r for r in found.collect()}
+    assert sorted(rows) == sorted(files)
+    assert {n for n, r in rows.items() if not r["damaged"]} == {"good", "utf"}
+    assert (rows["good"]["job_id"], rows["utf"]["company"], rows["typed"]["company"]) == (1, "Ünï", "C")
+
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def run():
+        stream = stream_metadata(spark, str(tmp_path / "in"), max_files=3)
+        (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start().awaitTermination())
+        return spark.read.schema(stream.schema).parquet(out)
+
+    assert sorted(map(str, run().collect())) == sorted(map(str, found.collect()))
+    (tmp_path / "in" / "late").mkdir()
+    (tmp_path / "in" / "late" / "metadata.json").write_text('{"job_id": 77}')
+    assert run().count() == len(files) + 1
+
+
+def test_prompts_cut_texts_before_the_join(spark):
+    from leadloom.functions.render import slot_limit
+    from leadloom.operators.outreach import EMAILS, prompt_table
+
+    assert slot_limit("profile", *EMAILS) == 2000 and slot_limit("profile", "bullets", "letter") is None
+    jobs = spark.createDataFrame([(1, "c", "r", "d" * 5000, "v")], "id long, company string, role string, description string, variant string")
+    people = spark.createDataFrame([(1, 7, "Ann B", "HR")], "job_id long, id long, name string, title string")
+    profiles = spark.createDataFrame([("v", "p" * 9000), ("w", "q")], "variant string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = prompt_table(jobs, people, profiles, "S")
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = plan[plan.index("Join"):]
+    assert "substring(text" in joined and ", 1, 2000)" in joined and ", 1, 600)" in joined
+    prompt = made.first()["prompt"]
+    assert prompt.count("p" * 2000) == 1 and "p" * 2001 not in prompt and "d" * 601 not in prompt
