@@ -55,7 +55,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 def _parsed_metadata(texts: DataFrame) -> DataFrame:
     kind = T.StructType([*schemas.METADATA.fields, T.StructField("_bad", T.StringType())])
     record = F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    # a file that is empty, no JSON object or of another kind throughout is damaged as well
+    # a file that is no JSON object or of another kind throughout is damaged as well
     some = F.coalesce(*[F.col(f"_m.{f.name}").cast("string") for f in schemas.METADATA.fields])
     rows = texts.select(record.alias("_m"), F.col("_metadata.file_path").alias("file"))
     return rows.select(*[F.col(f"_m.{f.name}").alias(f.name) for f in schemas.METADATA.fields], "file",
@@ -71,7 +71,7 @@ def scan_metadata(spark: SparkSession, path: str, pattern: str = "metadata.json"
     """Every metadata file below ``path`` with its ``file`` and whether it is ``damaged``.
 
     One bad file doesn't stop a scan over very many: what can be read of it is kept and marked. Files that
-    vanish between the listing and the read are skipped, as are folders without one. Reading is Spark's,
+    vanish between the listing and the read are skipped, as are empty files and folders without one. Reading is Spark's,
     so any store it can reach will do; only the fields that are used are parsed.
     """
     return _parsed_metadata(_folder(spark.read, path, pattern))
