@@ -64,7 +64,7 @@ def _parsed_metadata(texts: DataFrame) -> DataFrame:
 
 def _folder(reader, path: str, pattern: str) -> DataFrame:
     return (reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-            .option("ignoreMissingFiles", "true").option("wholetext", "true").text(path))
+            .option("ignoreMissingFiles", "true").text(path, wholetext=True))
 
 
 def scan_metadata(spark: SparkSession, path: str, pattern: str = "metadata.json") -> DataFrame:
