@@ -9,9 +9,10 @@ texts that share a band are candidates, and every link is confirmed on the full
   larger buckets the head is drawn by hash, so a node of a large group meets many others over
   its buckets. What is then linked is one component.
 * What is left are pairs of one bucket in different components. A node outside the bucket's
-  largest component is compared with that whole component, block by block (one row for
-  ``BLOCK`` x ``BLOCK`` texts, so neither pairs nor groups are listed); those outside it are
-  compared with each other, in blocks where they are many. Every candidate is decided exactly; none is dropped.
+  largest component is compared with that whole component, and those outside it with each other, all
+  in one pass block by block: a block holds at most ``BLOCK`` texts and about ``SHINGLES`` shingles, unless a
+  single text has more, and neither pairs nor groups are listed. Every candidate is decided exactly; none is dropped.
+* Links found there join components, so the last step works on roots only.
 * Chance of missing a link at similarity 0.8 with 32 bands of 6 values: 6e-5 for large sets, less
   above. Minimum and maximum of one permutation agree together with i(i-1)/(u(u-1)) for i common
   of u shingles, so small sets miss more: 4.2e-4 at 4 of 5, 1.5e-4 at 8 of 10.
@@ -29,15 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm import textbuf
 from leadloom.llm.common import components, growing, packed
-from leadloom.session import freeze
+from leadloom.session import freeze, lookup
 
 BANDS, ROWS = 32, 6
-BLOCK = 64
+BLOCK, SHINGLES = 64, 1 << 16
 SMALL = 8
 _SEED = 0x5DEECE66D
 
@@ -142,7 +143,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80,
     same = ["mark1", "mark2", "n_shingles"]
     reps = freeze(sig.where("n_shingles > 0").groupBy(*same).agg(
         F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "near-sets")
-    node = F.struct(F.col("rep").alias("id"), F.col("mark1").alias("mark"))
+    node = F.struct(F.col("rep").alias("id"), F.col("mark1").alias("mark"), F.col("n_shingles").alias("n"))
     entries = reps.where("rep IS NOT NULL").select(node.alias("node"), F.explode("bands").alias("key"))
     drawn = F.xxhash64("key", "node")
     heads = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"),
@@ -168,20 +169,17 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80,
     roots = freeze(components(links, "near-first"), "near-roots")
 
     outside = freeze(_outside(buckets, roots), "near-outside")
-    # buckets with few nodes outside give pairs, those with many are compared in blocks
-    many = outside.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key")
-    few = outside.join(many, "key", "left_anti")
-    pairs = few.alias("x").join(few.alias("y"), "key").where("x.node < y.node AND x.root <> y.root")
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = freeze(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-    crowd = outside.join(many, "key", "left_semi").select(F.col("key").alias("group"), "node", "root")
-    touching = outside.select(F.col("main").alias("group"), "node", "root").distinct()
-    found = _confirm(pairs, sets).where(linked).select("a", "b").union(
-        _block_links(touching, _members(touching, roots), sets, percent)).union(
-        _block_links(crowd, crowd, sets, percent))
-    found = freeze(found, "near-found")
+    # a component as a group: the nodes outside it that share a bucket, against all its members
+    touching = outside.select(_group(1, "main.id", "main.mark"), "node", "root").distinct()
+    # a bucket as a group: the nodes outside its largest component, if they are of several
+    several = outside.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+    among = lookup(outside, several, ["key"], "left_semi", ["node"]).select(
+        _group(0, "key", F.lit(0).cast("long")), "node", "root")
+    members = freeze(_on(touching, LEFT).union(_on(_members(outside, roots), RIGHT)).union(_on(among, BOTH)),
+                     "near-members")
+    found = freeze(_block_links(members, sets, percent), "near-found")
     if not found.isEmpty():
-        roots = components(links.unionByName(found), "near-last")
+        roots = _lifted(roots, components(found, "near-last"))
     best = roots.select(F.col("node.id").alias("_id"), F.col("node.mark").alias("_mark"),
                         F.col("root.id").alias("_root"))
     named = reps.drop("bands").join(best, (F.col("rep") == F.col("_id")) & (F.col("mark1") == F.col("_mark")),
@@ -203,76 +201,109 @@ def _outside(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed, "key").where("root <> main")
 
 
-def _members(touching: DataFrame, roots: DataFrame) -> DataFrame:
-    """(group, node, root): all nodes of the components that ``touching`` names as groups."""
-    groups = touching.select("group").distinct()
-    own = groups.join(roots, F.col("group") == F.col("root")).select("group", "node", "root")
-    alone = groups.join(roots.select("root"), F.col("group") == F.col("root"), "left_anti")
-    return own.union(alone.select("group", F.col("group").alias("node"), F.col("group").alias("root")))
+def _group(kind: int, one: str, two: str | Column) -> Column:
+    two = F.col(two) if isinstance(two, str) else two
+    return F.struct(F.lit(kind).alias("kind"), F.col(one).alias("one"), two.alias("two")).alias("group")
+
+
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def _on(members: DataFrame, side: int) -> DataFrame:
+    return members.withColumn("side", F.lit(side))
+
+
+def _members(outside: DataFrame, roots: DataFrame) -> DataFrame:
+    """(group, node, root): all nodes of the components that ``outside`` names as main."""
+    mains = outside.select(F.col("main").alias("root")).distinct()
+    own = lookup(roots, mains, ["root"], "left_semi", ["node"]).select("node", "root")
+    alone = mains.join(roots.where("node = root").select("root"), "root", "left_anti").select(
+        F.col("root").alias("node"), "root")
+    return own.union(alone).select(_group(1, "root.id", "root.mark"), "node", "root")
+
+
+def _lifted(roots: DataFrame, tops: DataFrame) -> DataFrame:
+    """(node, root) after components were joined: ``tops`` has for roots (and nodes without links) their new root."""
+    every = roots.union(tops.select("node", F.col("node").alias("root")))
+    joined = lookup(every, tops.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"], "left", ["node"])
+    return joined.select("node", F.coalesce("top", "root").alias("root")).distinct()
 
 
 def _blocks(members: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """(group, ``side``): the nodes of each group with their sets, in blocks of about ``BLOCK``."""
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    """(group, ``side``): the nodes of each group with their sets, in blocks of bounded number and size."""
+    sizes = members.groupBy("group").agg(F.ceil(F.greatest(
+        F.count("*") / BLOCK, F.sum("node.n") / SHINGLES)).alias("_n"))
     block = F.pmod(F.xxhash64("node", "group"), F.col("_n"))
-    return (members.join(sizes, "group").withColumn("_block", block).join(sets, "node")
+    return (lookup(members, sizes, ["group"], "inner", ["node"]).withColumn("_block", block).join(sets, "node")
             .groupBy("group", "_block").agg(F.collect_list(F.struct("node", "root", "shingles")).alias(side)))
 
 
-def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for (group, node, root) on both sides, per left node and right component of a block
-    one link between nodes of the same group, if there is any."""
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for (group, node, root, side), the roots of a left node and a right component of a group
+    between which there is some link."""
+    left, right = (members.where(F.col("side").bitwiseAND(side) > 0).drop("side") for side in (LEFT, RIGHT))
     pairs = _blocks(left, sets, "xs").join(_blocks(right, sets, "ys"), "group").select("xs", "ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         textbuf.hold("near dedup")
         for batch in batches:
             for i in range(batch.num_rows):
-                xs, ys = _unpack(batch.column(0), i), _unpack(batch.column(1), i)
-                links = [link for x in xs for link in _links_of(x, ys, percent)]
+                xs, block = _unpack(batch.column(0), i), Block(_unpack(batch.column(1), i))
+                links = [link for x in xs for link in block.links_of(x, percent)]
                 if links:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([{"id": n[0], "mark": n[1]} for n in side], _NODE) for side in zip(*links, strict=True)],
+                        [pa.array([dict(zip(_FIELDS, n, strict=True)) for n in side], _NODE) for side in zip(*links, strict=True)],
                         ["a", "b"])
-    return pairs.mapInArrow(run, "a struct<id: long, mark: long>, b struct<id: long, mark: long>")
+    kind = f"struct<{', '.join(f'{c}: long' for c in _FIELDS)}>"
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+class Block:
+    """The sets of a block as one sorted list of shingles with their owners: a set meets all of them at once."""
 
+    def __init__(self, entries: list[tuple]):
+        self.roots = [root for _, root, _ in entries]
+        self.sizes = np.array([len(shingles) for _, _, shingles in entries])
+        every = np.concatenate([shingles for _, _, shingles in entries])
+        order = np.argsort(every, kind="stable")
+        self.shingles, self.owner = every[order], np.repeat(np.arange(len(entries)), self.sizes)[order]
 
-def _links_of(x: tuple, ys: list[tuple], percent: int) -> Iterator[tuple]:
-    node, root, shingles = x
-    met = {root}
-    for other, its_root, its_shingles in ys:
-        if its_root not in met and _linked(shingles, its_shingles, percent):
-            met.add(its_root)
-            yield min(node, other), max(node, other)
+    def shared(self, shingles: np.ndarray) -> np.ndarray:
+        """Size of the intersection with each set of the block."""
+        low = np.searchsorted(self.shingles, shingles, "left")
+        many = np.searchsorted(self.shingles, shingles, "right") - low
+        ends = np.cumsum(many)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - many), many)
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
 
+    def links_of(self, x: tuple, percent: int) -> Iterator[tuple]:
+        """The roots on both sides of a link, once for each root of the block that ``x`` reaches."""
+        _, root, shingles = x
+        shared = self.shared(shingles)
+        linked = 100 * shared >= percent * (len(shingles) + self.sizes - shared)
+        for its_root in {self.roots[k] for k in np.flatnonzero(linked)} - {root}:
+            yield min(root, its_root), max(root, its_root)
 
-_NODE = pa.struct([("id", pa.int64()), ("mark", pa.int64())])
 
+_FIELDS = ("id", "mark", "n")
+_NODE = pa.struct([(c, pa.int64()) for c in _FIELDS])
 
-def _unpack(column: pa.Array, row: int) -> list[tuple[tuple[int, int], tuple[int, int], np.ndarray]]:
+
+def _unpack(column: pa.Array, row: int) -> list[tuple[tuple[int, ...], tuple[int, ...], np.ndarray]]:
     """Node, root and sorted shingles of the entries of a block."""
     entries = column[row].values
     lists = entries.field("shingles")
     ends = lists.offsets.to_numpy()
     flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
 
-    def names(field: str) -> Iterator[tuple[int, int]]:
-        pair = entries.field(field)
-        return zip(pair.field("id").to_pylist(), pair.field("mark").to_pylist(), strict=True)
+    def names(field: str) -> Iterator[tuple[int, ...]]:
+        parts = entries.field(field)
+        return zip(*(parts.field(c).to_pylist() for c in _FIELDS), strict=True)
 
     return [(n, r, flat[ends[k]:ends[k + 1]])
             for k, (n, r) in enumerate(zip(names("node"), names("root"), strict=True))]
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= percent * (len(x) + len(y) - shared)
-
-
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """All columns of ``docs``, one row per group of near-duplicates.
 
