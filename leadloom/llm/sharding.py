@@ -1,6 +1,7 @@
 """Sharding along a Hilbert curve over document metadata.
 
-Metadata dimensions are quantised to equal-mass levels, a row's place on the Hilbert curve
+Metadata dimensions are quantised to equal-mass levels (strings by their place among all
+strings of the column, whatever their length or prefix), a row's place on the Hilbert curve
 through those levels is its sort key, and the sorted rows are cut into runs of equal counts.
 Neighbours on the curve are near in every dimension, so each shard (and each row group in
 it) covers a small box and readers can skip files by any of the dimensions.
@@ -18,16 +19,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import running_totals
-from leadloom.session import freeze
+from leadloom.session import freeze, lookup
 
 BITS = 5
 DIMENSIONS = ("lang", "source", "text")
 
 
-def text_code(col: Column) -> Column:
-    """A number that orders strings by their first six bytes."""
-    head = F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6))
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+def string_levels(rows: DataFrame, name: str, n: int, bits: int) -> DataFrame:
+    """(``name``, _level) for each string in that column: how many of the ``n`` rows hold NULL or a string
+    that sorts before it, in parts of 2**bits. Whole strings are compared, so a common prefix
+    does not matter, and rows are counted per string before anything is sorted."""
+    counted = rows.groupBy(name).agg(F.count("*").alias("_rows"))
+    upto = running_totals(counted, [F.col(name).asc_nulls_first()], {"_upto": "_rows"}, "shard-levels")
+    return upto.where(F.col(name).isNotNull()).select(
+        name, F.expr(f"(_upto - _rows) * {1 << bits}L div {max(n, 1)}L").alias("_level"))
 
 
 def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
@@ -65,35 +70,44 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = BITS,
 
     Dimensions are columns of ``docs``; ``text`` stands for its size in bytes. Only narrow
     rows are sorted unless ``carry`` asks for more. The levels' bounds, 2**bits - 1 numbers
-    per dimension, are all that reaches the driver.
+    per dimension of numbers, are all that reaches the driver.
     """
     kinds = dict(docs.dtypes)
+    strings = [d != "text" and kinds[d] == "string" for d in dimensions]
 
-    def code(name: str) -> Column:
+    def code(name: str, is_string: bool) -> Column:
         if name == "text":
             return F.octet_length("text").cast("double")
-        return text_code(F.col(name)) if kinds[name] == "string" else F.col(name).cast("double")
+        return F.col(name) if is_string else F.col(name).cast("double")
 
     narrow = freeze(docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).alias("text_crc32"),
         *[c for c in carry if c not in ("doc_id", "size", "text_crc32")],
-        *[code(d).alias(f"_dim{i}") for i, d in enumerate(dimensions)]), "shard-rows")
+        *[code(d, s).alias(f"_dim{i}") for i, (d, s) in enumerate(zip(dimensions, strings, strict=True))]),
+        "shard-rows")
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
     row = narrow.agg(F.count("*").alias("n"), *[
         F.percentile_approx(f"_dim{i}", cuts, 10000).alias(f"c{i}")
-        for i in range(len(dimensions))]).first()
-    bounds = [np.array(row[f"c{i}"] or [], dtype=float) for i in range(len(dimensions))]
+        for i, s in enumerate(strings) if not s]).first()
+    bounds = [None if s else np.array(row[f"c{i}"] or [], dtype=float) for i, s in enumerate(strings)]
+    levelled = narrow
+    for i, s in enumerate(strings):
+        if s:
+            levels = string_levels(narrow, f"_dim{i}", row["n"], bits)
+            levelled = lookup(levelled, levels, [f"_dim{i}"], spread=["doc_id", "text_crc32"]).withColumn(
+                f"_dim{i}", F.coalesce("_level", F.lit(0))).drop("_level")
 
     @F.pandas_udf("long")
     def curve(*cols: pd.Series) -> pd.Series:
-        levels = [np.where(np.isnan(c.to_numpy(dtype=float)), 0,
+        levels = [c.to_numpy() if b is None else
+                  np.where(np.isnan(c.to_numpy(dtype=float)), 0,
                            np.searchsorted(b, c.to_numpy(dtype=float), "right"))
                   for c, b in zip(cols, bounds, strict=True)]
         return pd.Series(hilbert_index(np.array(levels), bits))
 
     order = ["curve", "doc_id", "size", "text_crc32"]
-    placed = narrow.withColumn("curve", curve(*[f"_dim{i}" for i in range(len(dimensions))])).drop(
+    placed = levelled.withColumn("curve", curve(*[f"_dim{i}" for i in range(len(dimensions))])).drop(
         *[f"_dim{i}" for i in range(len(dimensions))])
     ranked = running_totals(placed, [F.col(c).asc_nulls_first() for c in order],
                             {"_row": F.lit(1).cast("long")}, "shard-order")

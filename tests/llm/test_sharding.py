@@ -39,6 +39,21 @@ def test_law_and_slots(spark):
     check(rows, sharding.hilbert_shards(documents(spark, rows).repartition(4)).collect(), 16)
 
 
+def test_strings_with_a_long_common_prefix_keep_their_order(spark):
+    names = [f"https://corpus.example.org/crawl/part-{k:02d}" for k in range(8)] + [None]
+    rows = [(i, "t", names[i % 9]) for i in range(360)] + [(1000 + i, "t", names[3]) for i in range(180)]
+    n = len(rows)
+    by_name = Counter(name for _, _, name in rows)
+    want = {a: sum(c for b, c in by_name.items() if b is None or b < a) * 32 // n for a in names[:8]}
+    assert len(set(want.values())) == 8
+    docs = documents(spark, rows).repartition(3)
+    assert {r.source: r._level for r in sharding.string_levels(docs, "source", n, 5).collect()} == want
+    got = sharding.hilbert_shards(docs, shards=9, dimensions=("source",)).collect()
+    curve = {i: s for i, _, s in rows}
+    assert all(r.curve == want.get(curve[r.doc_id], 0) for r in got)
+    check(rows, got, 9)
+
+
 def test_messy_and_empty(spark):
     check(MESSY, sharding.hilbert_shards(messy(spark)).collect(), 16)
     assert sharding.hilbert_shards(empty(spark)).collect() == []
