@@ -15,6 +15,7 @@ no rows give no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.llm.common import SPACE
-from leadloom.session import freeze, scratch_path
+from leadloom.session import freeze, list_dirs, scratch_path
 
 STORE = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -60,13 +61,13 @@ def _setting(spark: SparkSession, values: dict[str, str]):
 
 
 def stream_groups(spark: SparkSession, digests: str, schema: T.StructType, state: str, out: str,
-                  files_per_batch: int | None = None) -> DataFrame:
+                  files_per_batch: int | None = None, trace: list[dict] | None = None) -> DataFrame:
     """Streams the folder ``digests`` through the state; digest, group_size, keep_id, n_points, file.
 
     Called again with the same ``state`` and ``out`` after files were added, it goes on from
     the stored state: earlier documents are still known, however long ago they came.
     """
-    source = spark.readStream.schema(schema)
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("first"), "file"))
@@ -80,8 +81,10 @@ def stream_groups(spark: SparkSession, digests: str, schema: T.StructType, state
         query = (groups.writeStream.outputMode("update").foreachBatch(keep)
                  .option("checkpointLocation", state).trigger(availableNow=True).start())
     query.awaitTermination()
+    if trace is not None:
+        trace += [json.loads(p.json) for p in query.recentProgress]
     kind = T.StructType([*groups.schema.fields, T.StructField("epoch", T.LongType())])
-    seen = (spark.read.schema(kind).parquet(out) if query.lastProgress or files_per_batch
+    seen = (spark.read.schema(kind).parquet(out) if list_dirs(spark, out)
             else spark.createDataFrame([], kind))
     last = seen.groupBy("digest").agg(F.max(F.struct("epoch", "group_size", "best")).alias("last"))
     return last.select("digest", F.col("last.group_size").alias("group_size"),
@@ -91,16 +94,27 @@ def stream_groups(spark: SparkSession, digests: str, schema: T.StructType, state
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256,
-                 files_per_batch: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
+                 waves: int = 2, trace: list[dict] | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
+
+    The documents reach the stream in ``waves`` batches, spread by a hash of their id, so
+    equal texts meet in the stored state and not only within one batch. The result is the same for
+    every number of waves. ``trace`` gets the stream's progress reports.
+    """
     spark = docs.sparkSession
     folder = scratch_path(spark, "dedup-digests")
     docs.select("doc_id", digest(normalised()).alias("digest"), sha256(normalised()).alias("text_sha256"),
                 F.coalesce(F.length("text"), F.lit(0)).alias("n_points"),
-                F.input_file_name().alias("file")).write.parquet(folder)
-    digests = spark.read.parquet(folder)
-    groups = freeze(stream_groups(spark, folder, digests.schema, scratch_path(spark, "dedup-state"),
-                                  scratch_path(spark, "dedup-groups"), files_per_batch), "dedup-last")
+                F.input_file_name().alias("file"),
+                F.pmod(F.xxhash64("doc_id"), F.lit(waves)).alias("wave")).write.partitionBy("wave").parquet(folder)
+    schema = T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("digest", T.StringType()),
+        T.StructField("text_sha256", T.StringType()), T.StructField("n_points", T.IntegerType()),
+        T.StructField("file", T.StringType())])
+    digests = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+    files = max(1, -(-len(digests.inputFiles()) // waves))
+    groups = freeze(stream_groups(spark, folder, schema, scratch_path(spark, "dedup-state"),
+                                  scratch_path(spark, "dedup-groups"), files, trace), "dedup-last")
     placed = digests.join(groups, "digest")
     result = ["doc_id", "keep_id", "group_size",
               F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]

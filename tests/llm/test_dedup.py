@@ -51,7 +51,19 @@ def test_equal_digests_of_different_texts(spark, width):
     assert rows_of(dedup.exact_groups(documents(spark, rows), digest=weak)) == brute(rows)
 
 
-def test_state_is_kept_between_batches(spark):
+@pytest.mark.parametrize("waves", [1, 2, 5])
+def test_state_is_kept_between_batches(spark, waves):
     rows = [(i, f"text {i % 5}", "s") for i in range(40)]
-    docs = documents(spark, rows).repartition(6)
-    assert rows_of(dedup.exact_groups(docs, files_per_batch=1)) == brute(rows)
+    docs, trace = documents(spark, rows).coalesce(1), []
+    assert rows_of(dedup.exact_groups(docs, waves=waves, trace=trace)) == brute(rows)
+    batches = [p for p in trace if p["numInputRows"] > 0]
+    assert len(batches) == waves
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in batches]
+    assert held == sorted(held) and held[-1] == 5  # a wave may lack a text, none is ever forgotten
+
+
+def test_query_hits_the_stored_state(spark):
+    rows, trace = [(i, f"same text {i % 3}", "s") for i in range(30)], []
+    assert rows_of(dedup.exact_groups(documents(spark, rows), trace=trace)) == brute(rows)
+    later = [p for p in trace if p["numInputRows"] > 0][1:]
+    assert later and all(p["stateOperators"][0]["numRowsUpdated"] == 3 for p in later)
