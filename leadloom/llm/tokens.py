@@ -16,7 +16,7 @@ samples    select support: position in ``high`` of every 256th set bit
 
 Boundary i is where document i ends, so it starts at boundary i - 1. The n boundaries of
 u ids take about n * (2 + log2(u / n)) bits. ``EliasFano.select`` reads one boundary from a
-sample and a short scan; ``EliasFano.all`` decodes all of them at once.
+sample and a short scan, ``EliasFano.range`` those of a run of documents in the same way.
 
 Defined results: NULL text counts as empty, which is encoded as the end id alone; documents
 are in ascending doc_id order, NULL ids first, rows with equal ids in any order but each
@@ -42,6 +42,7 @@ from leadloom.session import freeze, scratch_path
 BLOCK_TOKENS = 1 << 20
 END_ID = 0
 SAMPLE = 256
+READ_RUN = 64 * SAMPLE
 BLOCK_SCHEMA = ("part int, seq int, docs int, tokens long, id_bytes int, low_bits int, "
                 "doc_ids array<long>, low binary, high binary, samples binary, ids binary")
 
@@ -66,13 +67,22 @@ class EliasFano:
                    np.packbits(bits, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes())
 
     def all(self) -> np.ndarray:
-        bits = np.unpackbits(np.frombuffer(self.high, dtype=np.uint8), bitorder="little")
-        ones = np.flatnonzero(bits)[:self.count].astype(np.int64)
-        value = (ones - np.arange(self.count)) << self.low_bits
+        return self.range(0, self.count)
+
+    def range(self, first: int, stop: int) -> np.ndarray:
+        """Values ``first`` up to ``stop``: only the bits between their samples are looked at."""
+        if stop <= first:
+            return np.zeros(0, dtype=np.int64)
+        at, after = int(self.samples[first // SAMPLE]), -(-stop // SAMPLE)
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high[at // 8:-(-end // 8)], dtype=np.uint8), bitorder="little")
+        ones = np.flatnonzero(bits[at % 8:])[first % SAMPLE:][:stop - first].astype(np.int64) + at
+        value = (ones - np.arange(first, stop)) << self.low_bits
         if self.low_bits:
-            lows = np.unpackbits(np.frombuffer(self.low, dtype=np.uint8), bitorder="little")
-            lows = lows[:self.count * self.low_bits].reshape(self.count, self.low_bits)
-            value |= (lows.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+            begin, over = divmod(first * self.low_bits, 8)
+            lows = np.frombuffer(self.low[begin:-(-stop * self.low_bits // 8)], dtype=np.uint8)
+            lows = np.unpackbits(lows, bitorder="little")[over:][:len(value) * self.low_bits]
+            value |= (lows.reshape(-1, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
         return value
 
     def select(self, i: int) -> int:
@@ -270,27 +280,70 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return blocks.join(bases, ["part", "seq"])
 
 
+def _boundaries(block: dict) -> EliasFano:
+    return EliasFano(block["docs"], block["low_bits"], block["low"], block["high"], block["samples"])
+
+
+def _documents(block: dict, names: list[int], starts: np.ndarray, ends: np.ndarray,
+               fields: str) -> pa.RecordBatch:
+    """Documents of one block that begin and end at the given ids of it, as the columns ``fields``."""
+    ids = np.frombuffer(block["ids"], dtype=f"<u{block['id_bytes']}")
+    texts = [ids[a:e].astype("<u4") for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    out = [pa.array(names, pa.int64()), pa.array(starts + block["base"], pa.int64()),
+           pa.array(ends - starts, pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())]
+    if fields.endswith("array<long>"):
+        out.append(pa.array(texts, pa.list_(pa.int64())))
+    return pa.RecordBatch.from_arrays(out, [f.split()[0] for f in fields.split(", ")])
+
+
+def _fields(with_ids: bool) -> str:
+    return "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+
+
 def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and the ids) of every document, from the files alone."""
-    fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    """doc_id, start, n_tokens, ids_crc32 (and the ids) of every document, from the files alone.
+
+    A block's boundaries are selected for ``READ_RUN`` documents at a time, so no table of all
+    its boundaries is built.
+    """
+    fields = _fields(with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
-                ends = EliasFano(b["docs"], b["low_bits"], b["low"], b["high"], b["samples"]).all()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = np.frombuffer(b["ids"], dtype=f"<u{b['id_bytes']}").astype("<u4")
-                view = memoryview(ids).cast("B")
-                sums = [zlib.crc32(view[a * 4:e * 4]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                out = [pa.array(b["doc_ids"], pa.int64()), pa.array(starts + b["base"]),
-                       pa.array(ends - starts), pa.array(sums, pa.int64())]
-                if with_ids:
-                    at = pa.array(np.concatenate([starts, ends[-1:]]).astype(np.int32))
-                    out.append(pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int64))))
-                yield pa.RecordBatch.from_arrays(out, [f.split()[0] for f in fields.split(", ")])
+                ef, start = _boundaries(b), 0
+                for first in range(0, ef.count, READ_RUN):
+                    ends = ef.range(first, min(first + READ_RUN, ef.count))
+                    names = b["doc_ids"][first:first + len(ends)]
+                    yield _documents(b, names, np.concatenate([[start], ends[:-1]]), ends, fields)
+                    start = int(ends[-1])
     return read_blocks(spark, path).mapInArrow(run, fields)
 
 
+def fetch_documents(spark: SparkSession, path: str, wanted: DataFrame, with_ids: bool = True) -> DataFrame:
+    """As :func:`read_documents`, for the documents whose id is in ``wanted`` (doc_id).
+
+    The ids alone find the blocks and places; a document at place i then lies between ``select(i - 1)``
+    and ``select(i)``. Rows that share an asked id all come, repeated and unknown ids change
+    nothing, NULL is never asked for.
+    """
+    fields = _fields(with_ids)
+    blocks = read_blocks(spark, path)
+    named = blocks.select("part", "seq", F.posexplode("doc_ids").alias("_place", "doc_id"))
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    places = named.join(asked, "doc_id").groupBy("part", "seq").agg(
+        F.sort_array(F.collect_list("_place")).alias("_places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.to_pylist():
+                ef, at = _boundaries(b), b["_places"]
+                starts = np.array([ef.select(i - 1) if i else 0 for i in at], dtype=np.int64)
+                ends = np.array([ef.select(i) for i in at], dtype=np.int64)
+                yield _documents(b, [b["doc_ids"][i] for i in at], starts, ends, fields)
+    return blocks.join(places, ["part", "seq"]).mapInArrow(run, fields)
+
+
 def encode_and_read(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """Writes the data set (to ``path``, else the shared folder) and reads it back."""
     path = path or scratch_path(docs.sparkSession, "tokens")

@@ -46,6 +46,21 @@ def test_odd_white_space_and_small_blocks(spark):
     got = tokens.read_documents(spark, path, with_ids=True).collect()
     check(rows, got)
     assert all(len(r.ids) == r.n_tokens and r.ids[-1] == 0 for r in got)
+    asked = spark.createDataFrame([(k,) for k in (0, 3, 3, 7, 120, 149, -1, None)], "doc_id long")
+    fetched = tokens.fetch_documents(spark, path, asked).collect()
+    assert sorted(fetched) == sorted(r for r in got if r.doc_id in (0, 3, 7, 120, 149))
+
+
+def test_boundaries_are_read_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "READ_RUN", 3)
+    rows = [(k // 2, prose(k, k % 7), "s") for k in range(40)]
+    path = scratch_path(spark, "tokens-test")
+    tokens.write_tokens(documents(spark, rows), path, PATH)
+    got = tokens.read_documents(spark, path).collect()
+    check(rows, got)
+    asked = spark.createDataFrame([(4,), (19,)], "doc_id long")
+    fetched = tokens.fetch_documents(spark, path, asked, with_ids=False).collect()
+    assert sorted(fetched) == sorted(r for r in got if r.doc_id in (4, 19)) and len(fetched) == 4
 
 
 def test_empty(spark):
@@ -68,5 +83,8 @@ def test_elias_fano(steps):
     ef = tokens.EliasFano.build(ends)
     assert ef.all().tolist() == ends.tolist()
     assert [ef.select(i) for i in range(len(ends))] == ends.tolist()
+    for first, stop in [(0, 1), (1, len(ends)), (len(ends) // 3, len(ends) // 2), (255, 258), (256, 600)]:
+        stop = min(stop, len(ends))
+        assert ef.range(first, stop).tolist() == ends[first:stop].tolist()
     bits = 8 * (len(ef.low) + len(ef.high))
     assert bits <= len(ends) * (3 + max(0.0, np.log2(ends[-1] / len(ends)))) + 16
