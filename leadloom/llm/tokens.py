@@ -43,6 +43,8 @@ BLOCK_TOKENS = 1 << 20
 END_ID = 0
 SAMPLE = 256
 READ_RUN = 64 * SAMPLE
+CALL = 1 << 12  # texts in one call of the library
+SPAN = 1 << 16  # characters after which a long text may be cut
 BLOCK_SCHEMA = ("part int, seq int, docs int, tokens long, id_bytes int, low_bits int, "
                 "doc_ids array<long>, low binary, high binary, samples binary, ids binary")
 
@@ -106,6 +108,8 @@ class EliasFano:
 
 
 _PAIRS = ["  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f"]
+# A space between ASCII letters or digits: no word of the splitter has a space after its first character.
+_PLAIN = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 _RARE = re.compile(r"[^\S\x00-\x20]")
 
 # Characters whose kind (letter, digit, space, other) Python's classes tell as the splitter's do,
@@ -140,12 +144,24 @@ class Encoder:
         import json
         state = json.loads(self.tokenizer.to_str())
         step = state.get("pre_tokenizer") or {}
-        return (step.get("type") == "ByteLevel" and not step.get("add_prefix_space")
+        strips = any(t.lstrip or t.rstrip or " " in t.content
+                     for t in self.tokenizer.get_added_tokens_decoder().values())
+        return (not strips and step.get("type") == "ByteLevel" and not step.get("add_prefix_space")
                 and step.get("use_regex", True) and not state.get("normalizer"))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.kind).tobytes() for first in range(0, len(texts), CALL)
+                for e in self.tokenizer.encode_batch_fast(texts[first:first + CALL], add_special_tokens=False)]
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that is not cut at every space; a long one is cut at some plain spaces, since the
+        library holds many bytes per token of a call."""
+        spans, first = [], 0
+        while len(text) - first > SPAN and (cut := _PLAIN.search(text, first + SPAN)):
+            spans.append(text[first:cut.start()])
+            first = cut.start()
+        spans.append(text[first:])
+        return b"".join([self._ids([span])[0] for span in spans])
 
     def _odd(self, text: str) -> bool:
         """Whether a space may belong to the white space before it, or a special token is there."""
@@ -194,8 +210,12 @@ class Encoder:
             return self._ids(texts)
         out: list[bytes] = [b""] * len(texts)
         odd = [i for i, t in enumerate(texts) if self._odd(t)]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
+        short = [i for i in odd if len(texts[i]) <= SPAN]
+        for i, ids in zip(short, self._ids([texts[i] for i in short]), strict=True):
             out[i] = ids
+        for i in odd:
+            if len(texts[i]) > SPAN:
+                out[i] = self._whole(texts[i])
         skip = set(odd)
         split = {i: t.replace(" ", "\0 ").split("\0") for i, t in enumerate(texts) if t and i not in skip}
         new = set()

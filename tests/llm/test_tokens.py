@@ -77,6 +77,18 @@ def test_memory_of_the_encoder_does_not_matter(remember):
         assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize(("call", "span"), [(1, 5), (3, 40), (7, 1000)])
+def test_size_of_library_calls_does_not_matter(monkeypatch, call, span):
+    monkeypatch.setattr(tokens, "CALL", call)
+    monkeypatch.setattr(tokens, "SPAN", span)
+    encoder, plain = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(2)
+    texts = ODD + ["".join(rng.choice("  ab1\n'é.\u00a0") for _ in range(200)) for _ in range(200)]
+    texts.append("one two  three <|endoftext|> four\n five\u2028six 7 eight " * 100)
+    got = [np.frombuffer(b, dtype="<u2").tolist() for b in encoder.encode(texts)]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("steps", [[1], [1, 1, 1], [5, 1, 100_000, 2], [3] * 1000, [1, 2, 9, 400] * 300, [2**33, 1]])
 def test_elias_fano(steps):
     ends = np.cumsum(np.array(steps, dtype=np.int64))
