@@ -127,7 +127,7 @@ class Encoder:
     token's string or rare white space go through the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 800_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
@@ -136,7 +136,6 @@ class Encoder:
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
         self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
         self.remember = remember
 
     def _facts(self) -> bool:
@@ -170,27 +169,31 @@ class Encoder:
                 or self.special is not None and self.special.search(text) is not None)
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces. Those of common characters are cut on into the splitter's own words."""
-        cut = {p: _SPLIT.findall(p) for p in pieces if _COMMON.fullmatch(p)}
-        rest = [p for p in pieces if p not in cut]
-        out = dict(zip(rest, self._ids(rest), strict=True)) if rest else {}
-        parts = self.parts
-        new = [w for w in {w for ws in cut.values() for w in ws} if w not in parts]
-        fresh = self._words(new)
-        room = self.remember - len(parts)
-        if room >= len(fresh):
-            parts.update(fresh)
-        elif room > 0:
-            parts.update(list(fresh.items())[:room])
+        """Ids of new pieces and of the new words in them. Pieces of common characters are cut on into the
+        splitter's own words; most are one word already."""
+        known, whole, rest, cut = self.known, [], [], {}
+        for p in pieces:
+            if p[1:].isalpha() and p[0] == " " and (p.isascii() or _COMMON.fullmatch(p)):
+                whole.append(p)
+            elif _COMMON.fullmatch(p):
+                cut[p] = _SPLIT.findall(p)
+            else:
+                rest.append(p)
+        inner = {w for ws in cut.values() for w in ws if w not in known}
+        inner.difference_update(whole)
+        out = self._words(whole, inner)
         for p, ws in cut.items():
-            out[p] = b"".join([fresh[w] if w in fresh else parts[w] for w in ws])
+            if len(ws) > 1:
+                out[p] = b"".join([out[w] if w in out else known[w] for w in ws])
+        if rest:
+            out.update(zip(rest, self._ids(rest), strict=True))
         return out
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of the splitter. Those that begin with a space are encoded as one text and
+    def _words(self, whole: list[str], inner: set[str]) -> dict[str, bytes]:
+        """Ids of words of the splitter. Letters after a space (all of ``whole``) are encoded as one text and
         told apart by their word numbers."""
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        spaced = whole + [w for w in inner if w[0] == " " and w[1:].isalpha()]
+        rest = [w for w in inner if not (w[0] == " " and w[1:].isalpha())]
         out = dict(zip(rest, self._ids(rest), strict=True)) if rest else {}
         if spaced:
             made = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
