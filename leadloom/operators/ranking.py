@@ -102,7 +102,8 @@ def running_offset(df: DataFrame, key: str, order: str, size: str,
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(key, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     within = frozen.withColumn("_local", F.coalesce(F.sum(size).over(local), F.lit(0)))
-    return (within.join(bases, [key, "_part"])
+    # as many rows as there are keys, however well their file packs: never broadcast
+    return (within.join(bases.hint("merge"), [key, "_part"])
             .withColumn(name, (F.col("_base") + F.col("_local")).cast("bigint"))
             .drop("_part", "_base", "_local"))
 
@@ -113,7 +114,8 @@ def distribute_bullets(entries: DataFrame, bullets: DataFrame, key: str,
 
     ``entries``: key, pos, ``bullets`` (array); ``bullets``: one row per key with
     the array ``new_bullets``. An entry that gets none keeps its own. Entries and
-    bullets meet on (key, slot number), which is unique on both sides.
+    bullets meet on (key, slot number), which is unique on both sides. The planner knows the
+    size of the bullets only before they are exploded, so that join is planned as a shuffle.
     """
     sized = entries.withColumn("_size", F.size("bullets"))
     placed = running_offset(sized, key, pos, "_size")
@@ -122,7 +124,7 @@ def distribute_bullets(entries: DataFrame, bullets: DataFrame, key: str,
         .alias("_slot"))
     fresh = bullets.select(key, F.posexplode("new_bullets").alias("_at", "_text")).select(
         key, F.col("_at").cast("bigint").alias("_slot"), "_text")
-    given = (slots.join(fresh, [key, "_slot"]).groupBy(key, pos)
+    given = (slots.join(fresh.hint("merge"), [key, "_slot"]).groupBy(key, pos)
              .agg(F.array_sort(F.collect_list(F.struct("_slot", "_text"))).alias("_given")))
     joined = placed.drop("_size", "offset").join(given, [key, pos], "left")
     return joined.withColumn(

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,6 +240,15 @@ def test_distribute_bullets(spark, new, want):
     assert sorted(tuple(r) for r in out.select("pos", "bullets").collect()) == want
 
 
+def test_exploded_bullets_are_never_broadcast(spark):
+    """Their size is unknown before they are exploded: a small table may hold very many."""
+    entries = spark.createDataFrame([(1, 0, ["a", "b"])], "key int, pos int, bullets array<string>")
+    bullets = spark.createDataFrame([(1, ["n"])], "key int, new_bullets array<string>")
+    plan = R.distribute_bullets(entries, bullets, "key")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[key#\d+, _slot#", plan)
+    assert re.search(r"SortMergeJoin \[key#\d+, _part#", plan)
+
+
 def test_latest_first_cap(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")],
                                "k string, n int, v string")
