@@ -1,6 +1,8 @@
 """Extraction, payloads, metadata and sinks."""
 
 import json
+import random
+from unittest import mock
 
 from pyspark.sql import functions as F
 
@@ -52,6 +54,34 @@ def test_text_block(spark):
     assert [r["text"] for r in out] == ["A\nb\nc", ""]
 
 
+def test_a_reference_cut_off_before_its_end_stays(spark):
+    cut = "<article>a &amp; b &amp</article>"
+    out = G.extract_text(pages(spark, cut, cut + "<script>x &amp; y</script>"), "article").collect()
+    assert [r["text"] for r in out] == ["a & b &amp", "a & b &amp"]
+    card = '<div class="c"><a href="/x?a=1&amp;b&lt" class="go">x &am&copy;&notit;</a></div>'
+    fields = (G.TagField("text", "a"), G.TagField("jd_url", "a", attr="href"))
+    out = G.extract_nested_cards(pages(spark, card, card + "<br/>"), "div", "c", fields).collect()
+    assert [(r["text"], r["jd_url"]) for r in out] == [("x &am©&notit;", "/x?a=1&b&lt")] * 2
+
+
+def test_regular_pages_are_read_without_the_parser_and_alike():
+    bits = ('<div class="base-card x">', "<table class='tbl wide'>", "<TR>", "</tr>", "<td>", "</td>", "</div>", "</a>", "a &amp; b",
+            '<h3 class="base-search-card__title">', '<h4 class="base-search-card__subtitle">', "<a href='x?y=1&amp;z' class=\"k\">",
+            '<a class="base-card__full-link" href="/j">', "&eacute;", " ", "<br>", "</table>", "<input disabled>")
+    rnd, regular = random.Random(3), 0
+    for layout in (G.LISTING_FULL, G.SPONSOR_ROW):
+        plan = G._Plan(layout)
+        for _ in range(300):
+            html = "".join(rnd.choices(bits, k=rnd.randint(1, 40)))
+            whole = G._Cards(plan)
+            G._Irregular(whole).run(html)
+            assert G._read(html, lambda: G._Cards(plan)).cards == whole.cards
+            regular += bool(whole.cards)
+    assert regular > 100
+    with mock.patch.object(G._Irregular, "run", side_effect=AssertionError("parsed")):
+        assert len(G._read(CARD, lambda: G._Cards(G._Plan(G.Layout("div.base-card", ())))).cards) == 1
+
+
 def test_payloads(spark):
     mail = {"data": {"emails": [
         {"first_name": "Ann", "last_name": "", "position": None, "value": "a@x"},
