@@ -82,6 +82,20 @@ def test_regular_pages_are_read_without_the_parser_and_alike():
         assert len(G._read(CARD, lambda: G._Cards(G._Plan(G.Layout("div.base-card", ())))).cards) == 1
 
 
+def test_stream_batches_look_up_their_files_without_a_job(spark, tmp_path):
+    from leadloom.session import listed_on_driver
+    for n in range(40):
+        (tmp_path / f"in/f{n}").mkdir(parents=True)
+        (tmp_path / f"in/f{n}/metadata.json").write_text(f'{{"job_id": {n}}}')
+    key, seen = "spark.sql.sources.parallelPartitionDiscovery.threshold", []
+    before = spark.conf.get(key)
+    with listed_on_driver(spark, 40):
+        (T.stream_metadata(spark, str(tmp_path / "in"), max_files=40).writeStream
+         .foreachBatch(lambda batch, _: seen.append((batch.count(), spark.conf.get(key))))
+         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination())
+    assert seen == [(40, "40")] and spark.conf.get(key) == before
+
+
 def test_payloads(spark):
     mail = {"data": {"emails": [
         {"first_name": "Ann", "last_name": "", "position": None, "value": "a@x"},
