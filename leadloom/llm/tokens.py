@@ -25,6 +25,7 @@ on its own; an empty table gives a data set without blocks; other columns are no
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import ChainMap
@@ -44,6 +45,8 @@ END_ID = 0
 SAMPLE = 256
 READ_RUN = 64 * SAMPLE
 CALL = 1 << 12  # texts in one call of the library
+CHUNK = 1 << 18  # bytes of text encoded at a time: its pieces and the library's tokens are held together
+REMEMBER = 400_000  # pieces of text that an encoder keeps, some 130 bytes each
 SPAN = 1 << 16  # characters after which a long text may be cut
 BLOCK_SCHEMA = ("part int, seq int, docs int, tokens long, id_bytes int, low_bits int, "
                 "doc_ids array<long>, low binary, high binary, samples binary, ids binary")
@@ -127,7 +130,7 @@ class Encoder:
     token's string or rare white space go through the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
@@ -240,7 +243,9 @@ class Encoder:
 
 
 def _encoder(path: str) -> Encoder:
-    """One encoder per worker process, kept between its tasks."""
+    """One encoder per worker process, kept between its tasks. A task has one core, so the library
+    gets no threads of its own, each of which would hold memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return textbuf.hold(f"tokens {path}", lambda: Encoder(path))
 
 
@@ -258,7 +263,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         for batch in batches:
             part = batch.column(2)[0].as_py() if len(batch) else part
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for first, stop, _, _ in textbuf.chunks(texts):
+            for first, stop, _, _ in textbuf.chunks(texts, CHUNK):
                 rows = [t or "" for t in texts.slice(first, stop - first).to_pylist()]
                 for name, raw in zip(ids[first:stop], encoder.encode(rows), strict=True):
                     names.append(name)

@@ -1,6 +1,7 @@
 """Token files: exact round trip against the tokenizers library, and the boundary structure."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -89,6 +90,17 @@ def test_size_of_library_calls_does_not_matter(monkeypatch, call, span):
     assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_an_encoder_keeps_a_bounded_amount_of_memory(monkeypatch):
+    monkeypatch.setattr(tokens.Encoder, "_learn", lambda self, pieces: {p: p[-6:].encode() for p in pieces})
+    encoder = tokens.Encoder(PATH)
+    tracemalloc.start()
+    for first in range(0, 900_000, 30_000):
+        encoder.encode(["".join(f" word{k:06d}" for k in range(first, first + 30_000))])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 70e6
+
+
 @pytest.mark.parametrize("steps", [[1], [1, 1, 1], [5, 1, 100_000, 2], [3] * 1000, [1, 2, 9, 400] * 300, [2**33, 1]])
 def test_elias_fano(steps):
     ends = np.cumsum(np.array(steps, dtype=np.int64))
