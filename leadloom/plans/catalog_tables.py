@@ -21,7 +21,7 @@ from leadloom.operators.ranking import fill_ids, first_per_key
 from leadloom.plans.catalog_rows import JOB_LIST, SQL_BAD, sql_removed
 from leadloom.plans.registry import ORACLE, query
 from leadloom.plans.views import Views, q, sql_first_match, with_views
-from leadloom.session import listed_on_driver, scratch_path
+from leadloom.session import listed_in_tasks, listed_on_driver, scratch_path
 from leadloom.sources import sinks as K
 from leadloom.sources.keyed import KeyedTable
 from leadloom.sources.payloads import contacts_from_payload
@@ -623,6 +623,9 @@ _FOLDERS = """m AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'applied' WHEN
     page_id % 5 = 0 AS damaged FROM pages WHERE page_id % 7 <> 0)"""
 
 
+FOLDER_TASKS = 96
+
+
 def _metadata_folders(v: Views) -> str:
     """A folder per page with a metadata file: a fifth is cut short, a seventh of the folders has none."""
     key, path = F.col("page_id"), scratch_path(v.spark, "metadata-folders")
@@ -631,14 +634,19 @@ def _metadata_folders(v: Views) -> str:
     rows = v.pages().where(key % 7 != 0).select(
         F.concat(F.lit("folder_"), key.cast("string")).alias("folder"),
         F.when(key % 5 == 0, F.substring(text, 1, 12)).otherwise(text).alias("value"))
-    rows.write.partitionBy("folder").text(path)
+    # rows are dealt by their folder into tasks that put their files in place themselves: a task that
+    # runs again writes the same names, and no file waits for the driver
+    (rows.repartition(FOLDER_TASKS, "folder").write.partitionBy("folder")
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path))
     return path
 
 
 @query("metadata_folders", f"""WITH {_FOLDERS} SELECT 'folder_' || page_id AS folder, damaged,
     CASE WHEN NOT damaged THEN page_id END AS job_id, CASE WHEN NOT damaged THEN status END AS status FROM m""")
 def _(v):
-    rows = scan_metadata(v.spark, _metadata_folders(v), "part-*.txt")
+    path = _metadata_folders(v)
+    with listed_in_tasks(v.spark, FOLDER_TASKS):
+        rows = scan_metadata(v.spark, path, "part-*.txt")
     good = ~F.col("damaged")
     return rows.select(F.regexp_extract("file", r"folder=(\w+)", 1).alias("folder"), "damaged",
                        F.when(good, F.col("job_id")).alias("job_id"), F.when(good, F.col("applied_status")).alias("status"))

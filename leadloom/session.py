@@ -101,6 +101,19 @@ def scratch_scope(spark: SparkSession):
         delete_paths(spark, paths)
 
 
+@contextmanager
+def listed_in_tasks(spark: SparkSession, tasks: int):
+    """For a scan of very many folders that is set up inside: they are listed by at most ``tasks`` tasks of
+    many folders each. By default every folder is a task of its own, up to 10,000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), tasks)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def listed_on_driver(spark: SparkSession, max_files: int):
     """For a file stream in batches of ``max_files`` that starts and ends inside: a batch looks up its files

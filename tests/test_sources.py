@@ -255,3 +255,18 @@ def test_prompts_cut_texts_before_the_join(spark):
     assert "substring(text" in joined and ", 1, 2000)" in joined and ", 1, 600)" in joined
     prompt = made.first()["prompt"]
     assert prompt.count("p" * 2000) == 1 and "p" * 2001 not in prompt and "d" * 601 not in prompt
+
+
+def test_metadata_folders_are_listed_by_few_tasks(spark):
+    from leadloom.plans.catalog import QUERIES
+    base, key = "/root/testdata/sf0.01", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    pages = spark.read.parquet(f"{base}/pages.parquet").where("page_id % 7 <> 0").count()
+    before, track = spark.conf.get(key), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("folders", "listing and writing of metadata folders")
+    try:
+        assert QUERIES["metadata_folders"](spark, base).count() == pages
+        stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("folders") for s in track.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(key) == before
+    assert pages > 200 and max(s.numTasks for s in stages if s) < pages / 2
