@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.session import small_partitions
+
 Metrics = dict[str, dict[str, Column]]
 
 
@@ -70,7 +72,8 @@ class MaintainedCounts:
         self.spark, self.base, self.metrics = spark, base.rstrip("/"), metrics
 
     def _put(self, rows: DataFrame, step: int) -> None:
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/step={step}")
+        with small_partitions(self.spark):
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/step={step}")
 
     def start(self, tables: dict[str, DataFrame]) -> None:
         """Count every table in full, once."""

@@ -101,6 +101,19 @@ def scratch_scope(spark: SparkSession):
         delete_paths(spark, paths)
 
 
+@contextmanager
+def small_partitions(spark: SparkSession, size: str = "4m"):
+    """For jobs that run inside and sort narrow rows: shuffle partitions are joined up to ``size`` only. Ids and flags
+    compress so well that the usual 64 MB of shuffle unfold to several GB of one task's memory."""
+    key, to_bytes = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark._jvm.org.apache.spark.network.util.JavaUtils
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(to_bytes.byteStringAsBytes(before), to_bytes.byteStringAsBytes(size))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def listed_in_tasks(spark: SparkSession, tasks: int):
     """For a scan of very many folders that is set up inside: they are listed by at most ``tasks`` tasks of

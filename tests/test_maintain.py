@@ -2,6 +2,7 @@
 
 import random
 import re
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,13 @@ def test_only_the_days_asked_for_are_opened(spark, tmp_path):
     assert sorted(r["id"] for r in fresh.collect())[0] == 40 * 24 + 12 - 30
     assert {r["id"] for r in P.last_day(stored, 83).collect()} == set(range(24))
     assert P.fresh_stored(stored, 0, ASOF).count() == 2000
+
+
+def test_a_step_joins_up_small_partitions_only(spark, tmp_path):
+    """64 MB of shuffled ids unfold to several GB of sorted rows in one task."""
+    key, asked = "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+    counts = D.MaintainedCounts(spark, str(tmp_path / "counts"), D.dashboard_metrics())
+    before, rows = spark.conf.get(key), spark.range(10).select("id", F.lit("draft").alias("status"))
+    with mock.patch("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda *_: asked.append(spark.conf.get(key))):
+        counts.apply(1, "outreach", rows, rows)
+    assert [int(a) for a in asked] == [4 << 20] and spark.conf.get(key) == before
