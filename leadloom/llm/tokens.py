@@ -45,8 +45,9 @@ END_ID = 0
 SAMPLE = 256
 READ_RUN = 64 * SAMPLE
 CALL = 1 << 12  # texts in one call of the library
-CHUNK = 1 << 18  # bytes of text encoded at a time: its pieces and the library's tokens are held together
-REMEMBER = 400_000  # pieces of text that an encoder keeps, some 130 bytes each
+CHUNK = 1 << 20  # bytes of text encoded at a time
+PIECES = 1 << 18  # bytes of text cut into pieces at a time: these and the library's tokens are held together
+REMEMBER = 400_000  # words and pieces of text that an encoder keeps, some 130 bytes each
 SPAN = 1 << 16  # characters after which a long text may be cut
 BLOCK_SCHEMA = ("part int, seq int, docs int, tokens long, id_bytes int, low_bits int, "
                 "doc_ids array<long>, low binary, high binary, samples binary, ids binary")
@@ -120,12 +121,65 @@ _RARE = re.compile(r"[^\S\x00-\x20]")
 _COMMON = re.compile(r"[\x20-\x7e\n\t\r\xc0-\u024f]+")
 _SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
+# The kind of every byte of the common characters; bytes of other characters are odd.
+_SPACE, _LETTER, _DIGIT, _OTHER, _UNCOMMON = range(5)
+_KIND = np.full(256, _UNCOMMON, dtype=np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = _SPACE
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+
+# The characters by which a byte-level model spells the bytes 1 to 255: visible ones stand for themselves, the others
+# for 256, 257, … in order, byte 0 being the first of these.
+_SPELLED = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (
+    0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)) if b}
+
+
+def _word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the splitter's words begin in the texts of a buffer, and in which texts they cannot be told so: texts
+    with other characters than the common ones, or with a space before white space or at the end."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data >= 0xC3)
+    head, after = data[lead], data[lead + 1]
+    signs = lead[(head == 0xC3) & ((after == 0x97) | (after == 0xB7))]
+    kind[signs] = kind[signs + 1] = _OTHER
+    kind[lead[(head == 0xC9) & (after > 0x8F)]] = _UNCOMMON
+
+    begin = np.zeros(len(data) + 1, dtype=bool)
+    begin[offsets] = True
+    last = begin[1:]
+    space, white = data == 0x20, kind == _SPACE
+    before_white = np.zeros(len(data), dtype=bool)
+    before_white[:-1] = white[1:]
+    uncommon = np.flatnonzero((kind == _UNCOMMON) | space & (last | before_white))
+    odd = np.zeros(len(offsets) - 1, dtype=bool)
+    odd[np.searchsorted(offsets, uncommon, "right") - 1] = True
+
+    starts = begin[:-1].copy()
+    starts[1:] |= (kind[1:] != kind[:-1]) & ~space[:-1]
+    starts |= space
+    starts |= white & ~before_white & ~last  # of several white characters the last stands alone before a word
+    quote = np.flatnonzero((data == 0x27) & starts & ~last)
+    if len(quote):
+        one = quote[np.isin(data[quote + 1], np.frombuffer(b"stmd", dtype=np.uint8))]
+        starts[one + 1] = False
+        starts[(one + 2)[one + 2 < len(data)]] = True
+        two = quote[~begin[np.minimum(quote + 2, len(data))]]
+        pair = data[two + 1].astype(np.int64) << 8 | data[two + 2]
+        two = two[np.isin(pair, [int.from_bytes(p) for p in (b"re", b"ve", b"ll")])]
+        starts[two + 1] = False
+        starts[(two + 3)[two + 3 < len(data)]] = True
+    return starts, odd
+
 
 class Encoder:
     """Whole texts to ids with a tokenizers file, remembering the ids of pieces of text.
 
-    A byte-level tokenizer never joins across a space that a visible character follows, so a
-    text is cut there and each piece has ids of its own. Pieces seen before come from
+    Texts of common characters are cut into the splitter's words all at once, as bytes; Arrow
+    finds the distinct ones, and only those not seen before go through the library's model.
+
+    Of other texts: a byte-level tokenizer never joins across a space that a visible character follows,
+    so a text is cut there and each piece has ids of its own. Pieces seen before come from
     memory, new ones are encoded by the library, many in one call. Texts with a special
     token's string or rare white space go through the library whole.
     """
@@ -138,6 +192,8 @@ class Encoder:
         self.cuts = self._facts()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
+        self.special_bytes = re.compile("|".join(special).encode()) if special else None
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
         self.remember = remember
 
@@ -183,8 +239,8 @@ class Encoder:
             else:
                 rest.append(p)
         inner = {w for ws in cut.values() for w in ws if w not in known}
-        inner.difference_update(whole)
-        out = self._words(whole, inner)
+        inner.update(whole)
+        out = dict(zip(inner, self._words(list(inner)), strict=True))
         for p, ws in cut.items():
             if len(ws) > 1:
                 out[p] = b"".join([out[w] if w in out else known[w] for w in ws])
@@ -192,26 +248,83 @@ class Encoder:
             out.update(zip(rest, self._ids(rest), strict=True))
         return out
 
-    def _words(self, whole: list[str], inner: set[str]) -> dict[str, bytes]:
-        """Ids of words of the splitter. Letters after a space (all of ``whole``) are encoded as one text and
-        told apart by their word numbers."""
-        spaced = whole + [w for w in inner if w[0] == " " and w[1:].isalpha()]
-        rest = [w for w in inner if not (w[0] == " " and w[1:].isalpha())]
-        out = dict(zip(rest, self._ids(rest), strict=True)) if rest else {}
-        if spaced:
-            made = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
-            number = np.array(made.word_ids)
-            ids = np.array(made.ids, dtype=self.kind)
-            begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-            if len(begin) == len(spaced):
-                raw, size = ids.tobytes(), ids.itemsize
-                ends = [*begin[1:].tolist(), len(ids)]
-                out.update((w, raw[a * size:e * size]) for w, a, e in zip(spaced, begin.tolist(), ends, strict=True))
-            else:
-                out.update(zip(spaced, self._ids(spaced), strict=True))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of the splitter, without NUL, from the library's model: it need not split them again."""
+        tokenize, flat, ends = self.model.tokenize, [], []
+        for word in "\0".join(words).encode().decode("latin-1").translate(_SPELLED).split("\0") if words else []:
+            flat += [t.id for t in tokenize(word)]
+            ends.append(len(flat))
+        ids = np.array(flat, dtype=self.kind)
+        raw, size = ids.tobytes(), ids.itemsize
+        return [raw[a * size:e * size] for a, e in zip([0, *ends], ends)]
+
+    def _remembered(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words of the splitter."""
+        out = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        fresh = [words[i] for i in new]
+        made = self._words(fresh)
+        for i, ids in zip(new, made, strict=True):
+            out[i] = ids
+        self.known.update(islice(zip(fresh, made), max(0, self.remember - len(self.known))))
+        return out
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Ids of the texts of a buffer from the places where their words begin."""
+        at = np.flatnonzero(starts)
+        if not len(at):
+            return [b""] * (len(offsets) - 1)
+        bounds = np.append(at, len(data))
+        words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        number = words.indices.to_numpy()
+        ids = self._remembered(words.dictionary.to_pylist())
+        size = np.dtype(self.kind).itemsize
+        many = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // size
+        where = np.cumsum(many) - many
+        flat = np.frombuffer(b"".join(ids), dtype=self.kind)
+        counts = many[number]
+        ends = np.zeros(len(at) + 1, dtype=np.int64)
+        np.cumsum(counts, out=ends[1:])
+        raw = flat[np.repeat(where[number] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[np.searchsorted(at, offsets)] * size).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_utf8(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of the texts whose UTF-8 bytes lie one after another in ``data``, bounded by ``offsets``."""
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        if self.cuts:
+            starts, odd = _word_starts(data, offsets)
+            if self.special_bytes is not None and self.special_bytes.search(data):
+                odd |= [self.special_bytes.search(data, a, b) is not None for a, b in zip(offsets, offsets[1:])]
+        else:
+            starts, odd = None, np.ones(len(offsets) - 1, dtype=bool)
+        if not odd.any():
+            return self._plain(data, offsets, starts)
+        out: list[bytes] = [b""] * len(odd)
+        sizes = np.diff(offsets)
+        if not odd.all():
+            keep = np.repeat(~odd, sizes)
+            plain = self._plain(data[keep], np.append(0, np.cumsum(sizes[~odd])), starts[keep])
+            for i, ids in zip(np.flatnonzero(~odd).tolist(), plain, strict=True):
+                out[i] = ids
+        rows, texts, held = np.flatnonzero(odd).tolist(), [], 0
+        first = 0
+        for n, i in enumerate(rows):
+            texts.append(data[offsets[i]:offsets[i + 1]].tobytes().decode())
+            held += int(sizes[i])
+            if held >= PIECES or n + 1 == len(rows):
+                for k, ids in zip(rows[first:n + 1], self._mixed(texts), strict=True):
+                    out[k] = ids
+                texts, held, first = [], 0, n + 1
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, raw)], dtype=np.int64)
+        return self.encode_utf8(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
+
+    def _mixed(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._ids(texts)
         out: list[bytes] = [b""] * len(texts)
@@ -263,9 +376,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         for batch in batches:
             part = batch.column(2)[0].as_py() if len(batch) else part
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for first, stop, _, _ in textbuf.chunks(texts, CHUNK):
-                rows = [t or "" for t in texts.slice(first, stop - first).to_pylist()]
-                for name, raw in zip(ids[first:stop], encoder.encode(rows), strict=True):
+            for first, stop, data, offsets in textbuf.chunks(texts, CHUNK):
+                for name, raw in zip(ids[first:stop], encoder.encode_utf8(data, offsets), strict=True):
                     names.append(name)
                     waiting.append(raw + end)
                     tokens += len(raw) // size + 1

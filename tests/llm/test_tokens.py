@@ -101,6 +101,26 @@ def test_an_encoder_keeps_a_bounded_amount_of_memory(monkeypatch):
     assert held < 70e6
 
 
+def test_common_texts_are_cut_into_words_and_each_goes_through_the_model_once(monkeypatch):
+    encoder, plain, seen = tokens.Encoder(PATH), Tokenizer.from_file(PATH), []
+    words = encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda new: seen.extend(new) or words(new))
+    texts = ["one, two", "Two two! (two) two's", "\n\nd\u00e9j\u00e0\u00d72 two?", "two two! it've'", "", "'s two"]
+    for _ in range(2):
+        got = [np.frombuffer(b, dtype="<u2").tolist() for b in encoder.encode(texts)]
+        assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(seen) == sorted({w for t in texts for w in tokens._SPLIT.findall(t)})
+
+
+def test_words_of_every_character_equal_the_library():
+    encoder, plain, rng = tokens.Encoder(PATH), Tokenizer.from_file(PATH), random.Random(5)
+    texts = [f"a{c}b 1{c}2 !{c}! {c} x{c}\n'{c} '{c}" for c in map(chr, range(1, 0x800))]
+    for letters in (" a\n'\u00e9x1.!\u00d7_", "'stmdrelv ", "\n\t\r a'", "a\u00e9\u4e2d ' \n1\u0250\u00f7"):
+        texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    got = [np.frombuffer(b, dtype="<u2").tolist() for b in encoder.encode(texts)]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("steps", [[1], [1, 1, 1], [5, 1, 100_000, 2], [3] * 1000, [1, 2, 9, 400] * 300, [2**33, 1]])
 def test_elias_fano(steps):
     ends = np.cumsum(np.array(steps, dtype=np.int64))
