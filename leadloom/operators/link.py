@@ -32,6 +32,8 @@ LETTERS = 1024
 #: as bit g - 1. anchored: the anchors that a name of the other side can have, at each of a name's positions,
 #: and once the empty anchor, which stands for the empty name; a position whose letter begins no name
 #: of the other side is dropped before anything is cut. candidates: pieces as long as some name with that anchor.
+#: The planner knows the names only as a file, where some 300 times their size in memory fits below the limit
+#: for a broadcast once they are repeated per salt; so the join that looks them up is planned as a shuffle.
 _ANCHORED = """
 WITH bits AS (
   SELECT is_left, pmod(ascii(name), {letters}) AS letter,
@@ -64,7 +66,7 @@ candidates AS (
   FROM (SELECT a.*, explode(l.lengths) AS n FROM (SELECT *, pmod(xxhash64(name, at), {salts}) AS salt FROM anchored) a
         JOIN spread l ON a.anchor = l.anchor AND a.other = l.other AND a.salt = l.salt)
   WHERE at + n - 1 <= length(name))
-SELECT DISTINCT if(long_left, long, c.name) AS name
+SELECT /*+ MERGE(t) */ DISTINCT if(long_left, long, c.name) AS name
 FROM candidates c LEFT SEMI JOIN (SELECT *, explode(sequence(0, {salts} - 1)) AS salt FROM {names}) t
   ON c.name = t.name AND c.is_left = t.is_left AND c.salt = t.salt
 """

@@ -339,3 +339,15 @@ def test_link_cuts_only_anchors_that_occur(spark):
     firsts = {side: {(m[:1], min(4, len(m))) for m in (left if side else right)} for side in (True, False)}
     assert all((r["anchor"][:1], len(r["anchor"])) in firsts[r["other"]] for r in cut)
     assert not [r for r in cut if r["anchor"].startswith("z") and not r["other"]]  # no right name begins with it
+
+
+def test_names_of_a_small_file_are_looked_up_by_shuffle(spark, tmp_path):
+    from leadloom.operators.link import linked_names
+    spark.range(20_000).selectExpr("concat('customer ', id) AS name", "id % 2 = 0 AS is_left").write.parquet(f"{tmp_path}/names")
+    linked = linked_names(spark.read.parquet(f"{tmp_path}/names"))
+    want = {f"customer {n}" for n in range(2, 20_000, 2)  # no longer number begins with 0
+            if any(int(str(n)[:k]) % 2 for k in range(1, len(str(n)))) or n * 10 + 1 < 20_000}
+    assert {r["name"] for r in linked.collect()} == want
+    plan = linked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.splitlines() if "Join" in line and "LeftSemi" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
