@@ -95,7 +95,8 @@ def digits_to_int(c: Column | str) -> Column:
 
 
 def norm_text(c: Column | str) -> Column:
-    return F.translate(F.lower(col(c)), "-_", "  ")
+    spaced = F.replace(F.lower(col(c)), F.lit("-"), F.lit(" "))
+    return F.replace(spaced, F.lit("_"), F.lit(" "))
 
 
 def quantity_mentions(c: Column | str,

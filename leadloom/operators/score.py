@@ -60,8 +60,12 @@ def _best(scored: DataFrame, key: str) -> list[Column]:
 
 def topk_scored(scored: DataFrame, k: int = 20, threshold: int = vocab.DEFAULT_THRESHOLD,
                 key: str = "id", company: str = "company", role: str = "role") -> DataFrame:
-    """The best ``k`` above the threshold with rank and list line; ties by ``key``."""
-    top = ranked(scored.where(F.col("score.score") >= threshold), _best(scored, key), k)
+    """The best ``k`` above the threshold with rank and list line; ties by ``key``.
+
+    The threshold is applied to the best ``k``, which are the same rows: it is on what they are ordered
+    by. As a filter before, it would have every score computed twice.
+    """
+    top = ranked(scored, _best(scored, key), k).where(F.col("score.score") >= threshold)
     s = F.col("score")
     return top.select(
         "rank", key, role, company, s["score"].alias("score"), s["grade"].alias("grade"),
