@@ -2,8 +2,10 @@
 
 import json
 import random
+import re
 from unittest import mock
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadloom import schemas, vocab
@@ -270,3 +272,67 @@ def test_metadata_folders_are_listed_by_few_tasks(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert spark.conf.get(key) == before
     assert pages > 200 and max(s.numTasks for s in stages if s) < pages / 2
+
+
+def folder_pages(spark, base):
+    """A table of pages under ``base``, some of them twice or without a number, and the numbers that get a folder."""
+    ids = [*range(300), *range(0, 300, 50), None]
+    rows = [(n, f"http://h.example/{n}?a=\"é\"", "<p>x</p>") for n in ids]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{base}/pages.parquet")
+    return [n for n in range(300) if n % 7]
+
+
+def stages_of(spark, run):
+    """What ``run`` returns, and the number of tasks of every stage that ended meanwhile, in whatever thread."""
+    track, last = spark.sparkContext.statusTracker(), []
+    for step in (lambda: None, run):
+        out = step()
+        spark.sparkContext.setJobGroup("last", "a job that tells the next stage")
+        spark.range(1).rdd.count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        last.append(max(s for j in track.getJobIdsForGroup("last") for s in track.getJobInfo(j).stageIds))
+    found = [track.getStageInfo(s) for s in range(last[0] + 1, last[1])]
+    return out, [s.numTasks for s in found if s]
+
+
+def test_folders_are_put_in_place_as_spark_would(spark, tmp_path):
+    names = ["folder_1", "folder_1", "folder_-2", "a=b/c d%\"é^", "", None, "folder_3"]
+    values = ['{"a": 1}', "two\nlines", None, "é", "e", "n", ""]
+    rows = spark.createDataFrame([*zip(names, values)], "folder string, value string")
+    K.write_folders(rows, str(tmp_path / "own"), 4)
+    rows.repartition(4, "folder").write.partitionBy("folder").text(str(tmp_path / "spark"))
+
+    def files(top):
+        found = [f for f in (tmp_path / top).rglob("*") if f.is_file() and not f.name.startswith(("_", "."))]
+        assert all(re.fullmatch(r"part-\d+.*\.txt", f.name) for f in found)
+        return sorted((f.parent.name, sorted(f.read_bytes().split(b"\n"))) for f in found)
+
+    assert files("own") == files("spark") and len(files("own")) >= 5
+    assert not [f for f in (tmp_path / "own").rglob(".*")]  # nothing half done, and no second file made for each
+    with pytest.raises(FileExistsError):
+        K.write_folders(rows, str(tmp_path / "own"), 4)
+    K.write_folders(rows.limit(0), f"file://{tmp_path}/none", 4)
+    assert T.scan_metadata(spark, str(tmp_path / "none"), "part-*.txt").count() == 0
+
+
+def test_folders_in_a_store_that_only_spark_reaches(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.folders.link./out", f"file://{tmp_path}")
+    rows = spark.createDataFrame([("f1", "x"), ("f2", "y")], "folder string, value string")
+    K.write_folders(rows, "viewfs://folders/out/t", 2)
+    back = spark.read.text("viewfs://folders/out/t")
+    assert sorted((r["folder"], r["value"]) for r in back.collect()) == [("f1", "x"), ("f2", "y")]
+
+
+def test_metadata_stream_lists_its_folders_in_few_tasks(spark, tmp_path):
+    from leadloom.plans.catalog import QUERIES
+    from leadloom.plans.catalog_tables import FOLDER_TASKS
+    wanted = folder_pages(spark, tmp_path)
+    keys = ["spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism"]
+    before = [spark.conf.get(k) for k in keys]
+    out, tasks = stages_of(spark, lambda: QUERIES["metadata_folders_stream"](spark, str(tmp_path)))
+    assert len(wanted) > 2 * FOLDER_TASKS and len(tasks) >= 5 and max(tasks) == FOLDER_TASKS
+    good = [n for n in wanted if n % 5]
+    applied = sum(n % 3 == 0 for n in good)
+    assert sorted(map(tuple, out.collect())) == [("applied", applied), ("pending", len(good) - applied)]
+    assert [spark.conf.get(k) for k in keys] == before
