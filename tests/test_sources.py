@@ -324,6 +324,22 @@ def test_folders_in_a_store_that_only_spark_reaches(spark, tmp_path):
     assert sorted((r["folder"], r["value"]) for r in back.collect()) == [("f1", "x"), ("f2", "y")]
 
 
+def test_metadata_folders_are_read_in_few_tasks(spark, tmp_path):
+    from leadloom.plans.catalog import QUERIES
+    wanted, key = folder_pages(spark, tmp_path), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16m")  # four files a task, by Spark's count
+    try:
+        out = QUERIES["metadata_folders"](spark, str(tmp_path))
+        assert out.rdd.getNumPartitions() == len(wanted) // T.FILES_A_TASK == 2
+        got = sorted(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.set(key, before)
+    status = ["applied", "pending", None]
+    assert got == sorted((f"folder_{n}", n % 5 == 0, n if n % 5 else None, status[n % 3] if n % 5 else None)
+                         for n in wanted)
+
+
 def test_metadata_stream_lists_its_folders_in_few_tasks(spark, tmp_path):
     from leadloom.plans.catalog import QUERIES
     from leadloom.plans.catalog_tables import FOLDER_TASKS
